@@ -7,8 +7,6 @@ import re
 from collections.abc import Callable, Iterable, Mapping
 from typing import Any
 
-from pyspark.sql import functions as F
-
 from ..spec import Param
 
 # A quoted literal, a comment, or a whole #name outside both.
@@ -64,8 +62,6 @@ def _unquoted_value(param: Param) -> Any:
             return int(value)
         if re.fullmatch(r"[+-]?(\d+\.\d*|\.\d+|\d+)([eE][+-]?\d+)?", value.strip()):
             return float(value)
-    if isinstance(value, dt.datetime):
-        return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
     return value
 
 
@@ -79,7 +75,11 @@ def sql_arguments(text: str, params: Iterable[Param]) -> tuple[str, Mapping[str,
     args: dict[str, Any] = {}
 
     def bare(name: str) -> str:
-        args[f"v_{name}"] = _unquoted_value(by_name[name])
+        value = _unquoted_value(by_name[name])
+        if isinstance(value, dt.datetime):
+            args[f"v_{name}"] = value.isoformat(sep=" ")
+            return f"cast(:v_{name} AS timestamp_ntz)"
+        args[f"v_{name}"] = value
         return f":v_{name}"
 
     def quoted(literal: str) -> str:
