@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import blank
 from ..sources.shared import shared_folder
 from ..spec import SpecError
-from .lookup import lookup_join
+from .lookup import lookup_join, measured_bytes
 from .paging import with_position
 
 MAX_DEPTH = 100
@@ -32,10 +32,13 @@ def category_paths(
         "id", F.lit(0).alias("depth"), F.array("step").alias("path"), F.array("label").alias("labels")
     )
     found = level = level.checkpoint()
-    for depth in range(1, max_depth + 1):
+    for depth in range(1, max_depth + 2):
+        size = measured_bytes(level)
+        if size == 0:
+            return found
         above = level.select(F.col("id").alias("parent"), F.col("path").alias("up"), F.col("labels").alias("names"))
         level = (
-            lookup_join(children, "parent", above, "inner")
+            lookup_join(children, "parent", above, "inner", size=size)
             .select(
                 "id",
                 F.lit(depth).alias("depth"),
@@ -44,8 +47,6 @@ def category_paths(
             )
             .checkpoint()
         )
-        if level.isEmpty():
-            return found
         found = found.unionByName(level)
     raise SpecError(f"category tree is deeper than {max_depth} levels")
 

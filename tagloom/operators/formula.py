@@ -80,45 +80,47 @@ def lenient_arithmetic(spark: SparkSession) -> Iterator[None]:
         spark.conf.set("spark.sql.ansi.enabled", before)
 
 
-def bind_constant(param: Param, mode: str) -> Column:
+def bind_constant(param: Param, mode: str) -> Bound:
     """Typed literal of a constant or variable parameter."""
     kind = param.type or "string"
     if kind == "int":
-        return F.lit(constant(param)).cast("double" if mode == "compat" else "bigint")
+        target = T.DoubleType() if mode == "compat" else T.LongType()
+        return Bound(F.lit(constant(param)).cast(target), target)
     if kind == "double":
-        return F.lit(constant(param)).cast("double")
+        return Bound(F.lit(constant(param)).cast("double"), T.DoubleType())
     if kind == "date":
         value = parse_date(param.value)
-        return F.lit(None if value is None else value.isoformat(sep=" ")).cast("timestamp_ntz")
-    return F.lit(None if param.value is None else str(param.value))
+        text = F.lit(None if value is None else value.isoformat(sep=" "))
+        return Bound(text.cast("timestamp_ntz"), T.TimestampNTZType())
+    return Bound(F.lit(None if param.value is None else str(param.value)).cast("string"), T.StringType())
 
 
-def bind_column(df: DataFrame, param: Param) -> Column:
+def bind_column(fields: Mapping[str, T.StructField], param: Param) -> Bound:
     """Result column of a tagitem parameter; number parameters read unusable cells as zero."""
-    name = {c.lower(): c for c in df.columns}.get(str(param.value).lower())
-    if name is None:
+    field = fields.get(str(param.value).lower())
+    if field is None:
         raise SpecError(f"parameter #{param.name}: the result has no column {param.value}")
-    column, dtype = F.col(f"`{name}`"), df.schema[name].dataType
-    if param.type in ("int", "double"):
-        if is_instant(dtype):
-            column = epoch_millis(column)
-        elif isinstance(dtype, T.StringType):
-            column = F.trim(column)
-        target = "bigint" if param.type == "int" else "double"
-        return F.coalesce(column.try_cast(target), F.lit(0).cast(target))
-    return column
-
-
-def bind_params(df: DataFrame, item: Item, mode: str) -> dict[str, Column]:
-    """Parameter name -> column; for floating-point results whole numbers become floating-point first."""
+    column, dtype = F.col(f"`{field.name}`"), field.dataType
+    if param.type not in ("int", "double"):
+        return Bound(column, dtype)
+    target = spark_type(param.type)
+    if is_instant(dtype):
+        column = epoch_millis(column)
+    elif isinstance(dtype, T.StringType):
+        column = F.trim(column)
+    if dtype != target:
+        column = column.try_cast(target)
+    return Bound(F.coalesce(column, F.lit(0).cast(target)), target)
+
+
+def bind_params(fields: Mapping[str, T.StructField], item: Item, mode: str) -> dict[str, Bound]:
+    """Bind all parameters; for floating-point results whole numbers become floating-point first."""
     bound = {}
     for param in item.params:
-        column = bind_column(df, param) if param.access == "tagitem" else bind_constant(param, mode)
-        if item.system_type == "double":
-            dtype = df.select(column.alias("p")).schema[0].dataType
-            if system_type_of(dtype) == "int":
-                column = column.cast("double")
-        bound[param.name] = column
+        one = bind_column(fields, param) if param.access == "tagitem" else bind_constant(param, mode)
+        if item.system_type == "double" and system_type_of(one.type) == "int":
+            one = Bound(one.column.cast("double"), T.DoubleType())
+        bound[param.name] = one
     return bound
 
 
@@ -168,35 +170,26 @@ def _expression(item: Item, bound: Mapping[str, Bound], names: Mapping[str, str]
 
 def evaluate(df: DataFrame, items: Sequence[Item], mode: str = "strict", prefix: str = "__f_") -> DataFrame:
     """Add ``<prefix><item>`` columns with the coerced results of formulas that do not refer to each other."""
+    fields = {field.name.lower(): field for field in df.schema.fields}
     with lenient_arithmetic(df.sparkSession):
         inputs: dict[str, Column] = {}
-        names: dict[str, dict[str, str]] = {}
+        formulas: dict[str, Column] = {}
         for item in items:
-            names[item.name] = {}
-            for name, column in bind_params(df, item, mode).items():
-                names[item.name][name] = f"__p_{item.name}_{name}"
-                inputs[names[item.name][name]] = column
-        with_params = df.withColumns(inputs) if inputs else df
-        results = {}
-        for item in items:
-            bound = {
-                name: Bound(F.col(f"`{column}`"), with_params.schema[column].dataType)
-                for name, column in names[item.name].items()
-            }
-            results[f"{prefix}{item.name}"] = _expression(item, bound, names[item.name])
-        raw = with_params.withColumns(results)
+            bound, names = {}, {}
+            for name, one in bind_params(fields, item, mode).items():
+                names[name] = f"__p_{item.name}_{name}"
+                inputs[names[name]] = one.column
+                bound[name] = Bound(F.col(f"`{names[name]}`"), one.type)
+            formulas[f"{prefix}{item.name}"] = _expression(item, bound, names)
+        raw = (df.withColumns(inputs) if inputs else df).withColumns(formulas)
+        types = {field.name: field.dataType for field in raw.schema.fields}
         coerced = {
-            name: coerce_result(F.col(f"`{name}`"), raw.schema[name].dataType, item.system_type, mode)
-            for name, item in zip(results, items, strict=True)
+            name: coerce_result(F.col(f"`{name}`"), types[name], item.system_type, mode)
+            for name, item in zip(formulas, items, strict=True)
         }
         return raw.withColumns(coerced).drop(*inputs)
 
 
-def check(df: DataFrame, item: Item, mode: str = "strict") -> None:
-    """Raise the analysis error of a formula, if it has one, without running anything."""
-    evaluate(df, [item], mode).schema  # noqa: B018
-
-
 def apply_formula(df: DataFrame, key: str, item: Item, mode: str = "strict") -> DataFrame:
     """``(key, value)`` frame of one formula over a result; rows without a value are left out."""
     name = f"__f_{item.name}"

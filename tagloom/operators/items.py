@@ -20,25 +20,26 @@ from ..types import is_instant, spark_type, to_system
 from .values import is_valid, single_value
 
 
-def source_column(df: DataFrame, name: str) -> Column:
-    """A column given by name, or by an SQL expression if no column has that name."""
-    lowered = {c.lower(): c for c in df.columns}
-    if name.lower() in lowered:
-        return F.col(f"`{lowered[name.lower()]}`")
-    return F.expr(name)
+def source_column(df: DataFrame, name: str) -> tuple[Column, T.DataType]:
+    """A column given by name, or by an SQL expression if no column has that name, and its type."""
+    for field in df.schema.fields:
+        if field.name.lower() == name.lower():
+            return F.col(f"`{field.name}`"), field.dataType
+    column = F.expr(name)
+    return column, df.select(column.alias("value")).schema[0].dataType
 
 
 def is_incremental(item: Item) -> bool:
     return item.extract == "incremental" and bool(item.increment_column)
 
 
-def key_source(catalog: Catalog, key: Item) -> tuple[DataFrame, Column]:
-    """Rows the key item reads, and its key column, before filtering."""
+def key_source(catalog: Catalog, key: Item) -> tuple[DataFrame, Column, T.DataType]:
+    """Rows the key item reads, its key column and the type of that column, before filtering."""
     if key.key_kind == "sql":
         df = catalog.sql(str(key.content), key.params)
-        return df, F.col(f"`{df.columns[0]}`")
+        return df, F.col(f"`{df.columns[0]}`"), df.schema[0].dataType
     df = catalog.table(key.table)
-    return df, source_column(df, str(key.content))
+    return df, *source_column(df, str(key.content))
 
 
 def row_condition(df: DataFrame, item: Item, watermark: dt.datetime | None) -> Column | None:
@@ -53,21 +54,28 @@ def row_condition(df: DataFrame, item: Item, watermark: dt.datetime | None) -> C
     return conditions[0] if len(conditions) == 1 else conditions[0] & conditions[1]
 
 
-def typed_key(df: DataFrame, column: Column, key: Item) -> Column:
+def typed_key(column: Column, dtype: T.DataType, key: Item) -> Column:
     """The key brought to the declared type of the key item, or left as it is."""
-    if key.type is None:
-        return column
-    return to_system(column, df.select(column.alias("k")).schema[0].dataType, key.type)
+    return column if key.type is None else to_system(column, dtype, key.type)
+
+
+def key_type(dtype: T.DataType, key: Item) -> T.DataType:
+    return dtype if key.type is None else spark_type(key.type)
 
 
 def key_spine(catalog: Catalog, key: Item, watermark: dt.datetime | None = None, mode: str = "strict") -> DataFrame:
     """Distinct valid keys of the run."""
-    df, column = key_source(catalog, key)
+    df, column, dtype = key_source(catalog, key)
     condition = row_condition(df, key, watermark)
     if condition is not None:
         df = df.where(condition)
-    spine = df.select(typed_key(df, column, key).alias(key.name))
-    return spine.where(is_valid(F.col(key.name), spine.schema[0].dataType, mode)).distinct()
+    spine = df.select(typed_key(column, dtype, key).alias(key.name))
+    return spine.where(is_valid(F.col(f"`{key.name}`"), key_type(dtype, key), mode)).distinct()
+
+
+def _kept_pairs(pairs: DataFrame, key: Item, item: Item, dtype: T.DataType, mode: str) -> DataFrame:
+    """Pairs with a key and a valid value."""
+    return pairs.where(F.col(f"`{key.name}`").isNotNull() & is_valid(F.col(f"`{item.name}`"), dtype, mode))
 
 
 def basic_pairs(
@@ -78,13 +86,11 @@ def basic_pairs(
     condition = row_condition(df, item, watermark)
     if condition is not None:
         df = df.where(condition)
+    value, dtype = source_column(df, str(item.content))
     pairs = df.select(
-        typed_key(df, source_column(df, item.key_column), key).alias(key.name),
-        source_column(df, str(item.content)).alias(item.name),
-    )
-    return pairs.where(
-        F.col(key.name).isNotNull() & is_valid(F.col(item.name), pairs.schema[1].dataType, mode)
+        typed_key(*source_column(df, item.key_column), key).alias(key.name), value.alias(item.name)
     )
+    return _kept_pairs(pairs, key, item, dtype, mode)
 
 
 def shared_scan(items: Sequence[Item]) -> list[list[Item]]:
@@ -109,20 +115,19 @@ def basic_frame(
     aggregation: the flag is true for keys it selects.
     """
     df = catalog.table(items[0].table)
-    key_column = source_column(df, items[0].key_column)
+    key_column, key_dtype = source_column(df, items[0].key_column)
     conditions, inputs, aggregates = [], {}, []
     for item in items:
-        value = source_column(df, str(item.content))
-        dtype = df.select(value.alias("v")).schema[0].dataType
+        value, dtype = source_column(df, str(item.content))
         condition = row_condition(df, item, watermark)
         conditions.append(condition)
         kept = is_valid(value, dtype, mode)
         if condition is not None:
             kept = condition & kept
         inputs[item.name] = F.when(kept, to_system(value, dtype, item.system_type))
-        order = source_column(df, item.increment_column) if item.increment_column else None
-        if item.duplicates == "latest" and order is not None:
-            inputs[f"{item.name}__order"] = order
+        order = None
+        if item.duplicates == "latest" and item.increment_column:
+            inputs[f"{item.name}__order"] = source_column(df, item.increment_column)[0]
             order = F.col(f"`{item.name}__order`")
         aggregates.append(single_value(item.duplicates, F.col(f"`{item.name}`"), order).alias(item.name))
     if spine_flag is not None:
@@ -136,12 +141,11 @@ def basic_frame(
             wanted = wanted | condition
         df = df.where(wanted)
     rows = df.select(
-        typed_key(df, key_column, key).alias(key.name), *[column.alias(name) for name, column in inputs.items()]
-    )
-    valid_key = F.col(key.name).isNotNull() if spine_flag is None else is_valid(
-        F.col(key.name), rows.schema[0].dataType, mode
+        typed_key(key_column, key_dtype, key).alias(key.name), *[column.alias(name) for name, column in inputs.items()]
     )
-    return rows.where(valid_key).groupBy(key.name).agg(*aggregates)
+    named_key = F.col(f"`{key.name}`")
+    usable = named_key.isNotNull() if spine_flag is None else is_valid(named_key, key_type(key_dtype, key), mode)
+    return rows.where(usable).groupBy(key.name).agg(*aggregates)
 
 
 def sql_pairs(
@@ -152,46 +156,36 @@ def sql_pairs(
     A third date or timestamp column is the increment column; it is kept as ``<item>__order``.
     """
     df = catalog.sql(str(item.content), item.params)
-    if len(df.columns) < 2:
+    types = [field.dataType for field in df.schema.fields]
+    if len(types) < 2:
         raise SpecError(f"item {item.name}: the query must return a key and a value column")
-    names = [f"c{i}" for i in range(len(df.columns))]
-    df = df.toDF(*names)
-    ordered = is_incremental(item) and len(names) > 2 and is_instant(df.schema[2].dataType)
+    df = df.toDF(*[f"c{i}" for i in range(len(types))])
+    ordered = is_incremental(item) and len(types) > 2 and is_instant(types[2])
     if ordered:
         df = df.where(newer_than(df, "c2", watermark))
-    columns = [typed_key(df, F.col("c0"), key).alias(key.name), F.col("c1").alias(item.name)]
+    columns = [typed_key(F.col("c0"), types[0], key).alias(key.name), F.col("c1").alias(item.name)]
     if ordered:
         columns.append(F.col("c2").alias(f"{item.name}__order"))
-    pairs = df.select(*columns)
-    return pairs.where(
-        F.col(key.name).isNotNull() & is_valid(F.col(item.name), pairs.schema[1].dataType, mode)
-    )
+    return _kept_pairs(df.select(*columns), key, item, types[1], mode)
 
 
 def declared_pairs(df: DataFrame, key: Item, item: Item, mode: str = "strict") -> DataFrame:
     """First two columns of a user frame, cast to the declared types of the key and the item."""
-    if len(df.columns) < 2:
+    types = [field.dataType for field in df.schema.fields]
+    if len(types) < 2:
         raise SpecError(f"item {item.name}: the method must return a key and a value column")
-    df = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    df = df.toDF(*[f"c{i}" for i in range(len(types))])
     pairs = df.select(
-        typed_key(df, F.col("c0"), key).alias(key.name),
-        to_system(F.col("c1"), df.schema[1].dataType, item.system_type).alias(item.name),
-    )
-    return pairs.where(
-        F.col(key.name).isNotNull() & is_valid(F.col(item.name), spark_type(item.system_type), mode)
+        typed_key(F.col("c0"), types[0], key).alias(key.name),
+        to_system(F.col("c1"), types[1], item.system_type).alias(item.name),
     )
+    return _kept_pairs(pairs, key, item, spark_type(item.system_type), mode)
 
 
 def one_per_key(pairs: DataFrame, key: Item, item: Item) -> DataFrame:
     """Bring the value to the declared type and keep one value per key by the item's rule."""
-    dtype = pairs.schema[item.name].dataType
+    fields = {field.name: field.dataType for field in pairs.schema.fields}
+    value = to_system(F.col(f"`{item.name}`"), fields[item.name], item.system_type)
     order = f"{item.name}__order"
-    typed = pairs.withColumn(item.name, to_system(F.col(f"`{item.name}`"), dtype, item.system_type))
-    return typed.groupBy(key.name).agg(
-        single_value(item.duplicates, F.col(f"`{item.name}`"), F.col(f"`{order}`") if order in pairs.columns else None)
-        .alias(item.name)
-    )
-
-
-def value_type(df: DataFrame, column: str) -> T.DataType:
-    return df.schema[column].dataType
+    chosen = single_value(item.duplicates, value, F.col(f"`{order}`") if order in fields else None)
+    return pairs.groupBy(key.name).agg(chosen.alias(item.name))

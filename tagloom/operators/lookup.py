@@ -44,27 +44,33 @@ def named_code_map(codename: str, local: Catalog, datasource: Catalog | None = N
     return code_map(catalog.table("code_main"), catalog.table("code_items"), codename)
 
 
-def fits_broadcast(lookup: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
-    """Measure a lookup side: true if its rows are at most ``limit`` bytes."""
+def measured_bytes(lookup: DataFrame) -> int:
+    """Size of the rows of a lookup side: eight bytes per column and what text and nested columns hold."""
     row = F.lit(8 * (len(lookup.columns) + 2))
     for field in lookup.schema.fields:
         if field.dataType.typeName() not in ("integer", "long", "double", "boolean", "date", "timestamp"):
             row = row + F.coalesce(F.octet_length(F.to_json(F.struct(F.col(f"`{field.name}`")))), F.lit(0))
-    size = lookup.agg(F.coalesce(F.sum(row), F.lit(0)).alias("bytes")).first()["bytes"]
-    return size <= limit
+    return lookup.agg(F.coalesce(F.sum(row), F.lit(0)).alias("bytes")).first()["bytes"]
 
 
 def lookup_join(
-    df: DataFrame, on: str, lookup: DataFrame, how: str = "left", salts: int = LOOKUP_SALTS, limit: int = BROADCAST_BYTES
+    df: DataFrame,
+    on: str,
+    lookup: DataFrame,
+    how: str = "left",
+    *,
+    size: int | None = None,
+    limit: int = BROADCAST_BYTES,
+    salts: int = LOOKUP_SALTS,
 ) -> DataFrame:
     """Join rows with a lookup that has at most one row per value of ``on``.
 
-    A lookup of measured small size is broadcast. A larger one is joined by value and salt: the lookup rows are
+    A lookup of at most ``limit`` bytes (``size`` if already measured) is broadcast. A larger one is joined by value and salt: the lookup rows are
     repeated per salt and the rows of one value spread over all salts, so a value that holds a third of all rows
     (or the rows without a value) does not land in one task. The salt mixes row content and input partition:
     it is the same when a task is retried, and exact copies of a row still spread.
     """
-    if fits_broadcast(lookup, limit):
+    if (measured_bytes(lookup) if size is None else size) <= limit:
         return df.join(F.broadcast(lookup), on, how)
     repeated = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     content = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.formula import check, evaluate
+from ..operators.formula import evaluate
 from ..operators.items import (
     basic_frame,
     declared_pairs,
@@ -198,16 +198,22 @@ def _as_new(frame: DataFrame, part: Part) -> DataFrame:
 def _apply_level(result: DataFrame, items: list[Item], build: _Builder) -> tuple[DataFrame, list[Item]]:
     """Evaluate formulas of one level over all result rows; rows without a valid value keep the old one."""
     mode = build.tag.values
-    good = []
-    for item in items:
-        try:
-            check(result, item, mode)
-            good.append(item)
-        except Exception as error:
-            build.fail(item, error)
-    if not good:
-        return result, good
-    evaluated = evaluate(result, good, mode)
+    if not items:
+        return result, items
+    good = items
+    try:
+        evaluated = evaluate(result, good, mode)
+    except Exception:
+        good = []
+        for item in items:
+            try:
+                evaluate(result, [item], mode)
+                good.append(item)
+            except Exception as error:
+                build.fail(item, error)
+        if not good:
+            return result, good
+        evaluated = evaluate(result, good, mode)
     columns: dict[str, Column] = {}
     for item in good:
         raw, dtype = F.col(f"`__f_{item.name}`"), spark_type(item.system_type)
