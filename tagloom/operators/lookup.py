@@ -23,9 +23,9 @@ POINT_KEYS = 1_000
 
 def code_map(main: DataFrame, items: DataFrame, codename: str) -> DataFrame:
     """``(itemvalue, itemtext)`` of the dictionaries with this name, one text per value."""
-    wanted = main.where(F.col("codename") == codename).select("codeid")
+    wanted = main.where(F.col("codename") == codename).select("codeid").distinct()
     return (
-        items.join(wanted, "codeid", "left_semi")
+        lookup_join(items, "codeid", wanted, "left_semi")
         .where(F.col("itemvalue").isNotNull())
         .groupBy(F.col("itemvalue").cast("string").alias("itemvalue"))
         .agg(F.max("itemtext").alias("itemtext"))
@@ -95,4 +95,5 @@ def multi_get(df: DataFrame, key: str, keys: Sequence[Any] | DataFrame, columns:
         if len(keys) <= POINT_KEYS:
             return projected.where(F.col(f"`{key}`").isin(*keys))
         keys = df.sparkSession.createDataFrame([(k,) for k in keys], df.select(F.col(f"`{key}`")).schema)
-    return projected.join(keys.select(F.col(f"`{keys.columns[0]}`").alias(key)), key, "left_semi")
+    wanted = keys.select(F.col(f"`{keys.columns[0]}`").alias(key)).distinct()
+    return projected.join(wanted, key, "left_semi")

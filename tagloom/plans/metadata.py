@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import blank
 from ..operators.category import category_preorder
+from ..operators.lookup import lookup_join
 from ..sources import Catalog
 from ..spec import (
     ACCESSES,
@@ -95,9 +96,8 @@ def ordered_items(items: DataFrame, categories: DataFrame, names: Iterable[str]
         items = items.where(F.col("isenabled") == 1)
     if names is not None:
         items = items.where(F.col("itemanothername").isin(*names))
-    return items.join(
-        order.select(F.col("id").alias("itemcategoryguid"), F.col("pos").alias("category_pos")), "itemcategoryguid"
-    ).orderBy("category_pos", F.col("orderno").desc(), "itemanothername")
+    place = order.select(F.col("id").alias("itemcategoryguid"), F.col("pos").alias("category_pos"))
+    return lookup_join(items, "itemcategoryguid", place, "inner").orderBy("category_pos", F.col("orderno").desc(), "itemanothername")
 
 
 def load_model(metadata: Catalog, model_id: str) -> Model:

@@ -55,8 +55,10 @@ class TableStore:
     The earlier version is kept for readers that are still on it; older ones are dropped.
     """
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = 200):
-        self.spark, self.name, self.buckets = spark, name, buckets
+    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None):
+        # As many buckets as shuffle partitions, so that a join takes the buckets as they are.
+        self.spark, self.name = spark, name
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def version(self) -> int:
         if not self.spark.catalog.tableExists(self.name):

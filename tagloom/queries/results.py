@@ -10,6 +10,7 @@ from ..functions import date_text, lenient_double, trim_token_end
 from ..operators import result as R
 from ..operators.items import basic_frame, key_spine
 from ..plans.tag import compute_tag
+from ..sources import written
 from ..spec import Item
 from ..types import normalize_types as to_system_types
 from .common import CUSTOMER, TOTAL, Query, at, base_tag, catalog, customer_tag
@@ -100,7 +101,7 @@ def two_pass_incremental(spark, folder):
     tables = catalog(spark, folder)
     early = replace(TOTAL, name="price", filter="o_orderdate <= timestamp_ntz'2001-01-01 00:00:00'")
     later = replace(TOTAL, name="price", extract="incremental", increment_column="o_orderdate")
-    first = compute_tag(tables, customer_tag(early)).frame
+    first = written(compute_tag(tables, customer_tag(early)).frame, "first-run")
     return compute_tag(tables, customer_tag(later), first, at("2001-01-01")).frame
 
 
