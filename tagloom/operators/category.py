@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +34,12 @@ def category_paths(
         "id", F.lit(0).alias("depth"), F.array("step").alias("path"), F.array("label").alias("labels")
     )
     found = level = level.checkpoint()
-    for depth in range(1, max_depth + 2):
+    for depth in count(1):
         size = measured_bytes(level)
         if size == 0:
             return found
+        if depth > max_depth + 1:
+            raise SpecError(f"category tree is deeper than {max_depth} levels")
         above = level.select(F.col("id").alias("parent"), F.col("path").alias("up"), F.col("labels").alias("names"))
         level = (
             lookup_join(children, "parent", above, "inner", size=size)
@@ -48,7 +52,6 @@ def category_paths(
             .checkpoint()
         )
         found = found.unionByName(level)
-    raise SpecError(f"category tree is deeper than {max_depth} levels")
 
 
 def category_preorder(categories: DataFrame, id: str, parent: str, order: str) -> DataFrame:
