@@ -33,14 +33,18 @@ def category_paths(
     level = nodes.where(blank(F.col("parent"))).select(
         "id", F.lit(0).alias("depth"), F.array("step").alias("path"), F.array("label").alias("labels")
     )
+    parents = children.select(F.col("parent").alias("id")).distinct().checkpoint()
     found = level = level.checkpoint()
     for depth in count(1):
-        size = measured_bytes(level)
+        # Only categories that have children take part in the next level.
+        above = level.join(parents, "id", "left_semi").select(
+            F.col("id").alias("parent"), F.col("path").alias("up"), F.col("labels").alias("names")
+        )
+        size = measured_bytes(above)
         if size == 0:
             return found
-        if depth > max_depth + 1:
+        if depth > max_depth:
             raise SpecError(f"category tree is deeper than {max_depth} levels")
-        above = level.select(F.col("id").alias("parent"), F.col("path").alias("up"), F.col("labels").alias("names"))
         level = (
             lookup_join(children, "parent", above, "inner", size=size)
             .select(

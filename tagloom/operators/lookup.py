@@ -17,7 +17,7 @@ LOCAL_PREFIX = "local:"
 
 # A lookup side is broadcast only if it is at most this many bytes of text and numbers.
 BROADCAST_BYTES = 64 << 20
-LOOKUP_SALTS = 32
+HEAVY_VALUES = 10_000
 POINT_KEYS = 1_000
 
 
@@ -61,21 +61,33 @@ def lookup_join(
     *,
     size: int | None = None,
     limit: int = BROADCAST_BYTES,
-    salts: int = LOOKUP_SALTS,
+    heavy_values: int = HEAVY_VALUES,
 ) -> DataFrame:
-    """Join rows with a lookup that has at most one row per value of ``on``.
+    """Join rows with a lookup that has at most one row per value of ``on``; ``left``, ``inner`` or ``left_semi``.
 
-    A lookup of at most ``limit`` bytes (``size`` if already measured) is broadcast. A larger one is joined by value and salt: the lookup rows are
-    repeated per salt and the rows of one value spread over all salts, so a value that holds a third of all rows
-    (or the rows without a value) does not land in one task. The salt mixes row content and input partition:
-    it is the same when a task is retried, and exact copies of a row still spread.
+    A lookup of at most ``limit`` bytes (``size`` if already measured) is broadcast. For a larger one the rows
+    are split: those of the ``heavy_values`` most frequent values meet the few lookup rows of these values as a
+    broadcast, wherever they are, and only the other rows are shuffled by value. So a value that holds a third
+    of all rows never gathers in one task; neither do rows without a value, which match nothing.
     """
     if (measured_bytes(lookup) if size is None else size) <= limit:
         return df.join(F.broadcast(lookup), on, how)
-    repeated = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    content = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
-    spread = df.withColumn("__salt", F.pmod(content + F.spark_partition_id(), F.lit(salts)).cast("int"))
-    return spread.join(repeated, [on, "__salt"], how).drop("__salt")
+    value = F.col(f"`{on}`")
+    heavy = (
+        df.where(value.isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("__n"))
+        .orderBy(F.col("__n").desc(), value).limit(heavy_values).select(on)
+    )
+    flagged = df.join(F.broadcast(heavy.withColumn("__heavy", F.lit(True))), on, "left")
+    light = flagged.where(F.col("__heavy").isNull() & value.isNotNull()).drop("__heavy")
+    hot = flagged.where(F.col("__heavy").isNotNull()).drop("__heavy")
+    parts = [hot.join(F.broadcast(lookup.join(heavy, on, "left_semi")), on, how), light.join(lookup, on, how)]
+    if how == "left":
+        extra = {c: F.lit(None).cast(lookup.schema[c].dataType) for c in lookup.columns if c != on}
+        parts.append(df.where(value.isNull()).withColumns(extra) if extra else df.where(value.isNull()))
+    joined = parts[0]
+    for part in parts[1:]:
+        joined = joined.unionByName(part)
+    return joined
 
 
 def decode(df: DataFrame, column: str, codes: DataFrame, alias: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -64,6 +65,16 @@ def grid_page(df: DataFrame, first: int, size: int, sort: Column | None, *defaul
     return page(df, first, size, *([sort] if sort is not None else []), *default_sort)
 
 
+def table_page(
+    df: DataFrame, columns: Sequence[str], condition: str | None, first: int, size: int, *order: Column
+) -> DataFrame:
+    """Columns of the rows that meet a condition, cut to a page; all rows when ``size`` is not positive."""
+    rows = df.where(condition) if condition else df
+    if size <= 0:
+        return rows.select(*columns)
+    return page(rows.select(*columns), first, size, *order)
+
+
 def key_page(df: DataFrame, key: str, first: int, size: int) -> DataFrame:
     """A page of row keys in byte order of their text."""
     return page(df.select(F.col(f"`{key}`").cast("string").alias("row_key")), first, size, F.col("row_key"))

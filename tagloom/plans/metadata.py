@@ -32,9 +32,10 @@ from ..spec import (
 )
 from ..types import SYSTEM_TYPES
 
-# Extraction codes of the metadata tables.
+# The column names of metadata tables, read below by their names, and the codes in them.
+# Extraction codes of the metadata tables.
 EXTRACT_CODES = {1: "full", 2: "incremental", 3: "reload"}
-# Storage codes of the run configuration and the storage behaviour they stand for.
+# Storage codes of the run configuration and the storage behaviour they stand for.
 SAVE_CODES = {"mysql": "table", "hbase": "cell"}
 
 Row = Mapping[str, Any]

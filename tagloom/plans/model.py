@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import Catalog
 from ..spec import Model, Tag
@@ -81,6 +83,27 @@ def run_tag(catalog: Catalog, tag: Tag, store: ResultStore, watermark: dt.dateti
             excluded |= found
 
 
+@contextmanager
+def model_settings(spark: SparkSession, model: Model) -> Iterator[None]:
+    """Apply the Spark settings of a model's run configuration for one run.
+
+    Settings that are fixed once a session exists (memory, cores) belong to the submitting command and are left
+    alone here.
+    """
+    wanted = json.loads(model.config.get("configcontent") or "{}")
+    before = {name: spark.conf.get(name, None) for name in wanted if spark.conf.isModifiable(name)}
+    try:
+        for name in before:
+            spark.conf.set(name, str(wanted[name]))
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def run_model(
     catalog: Catalog,
     model: Model,
@@ -92,10 +115,11 @@ def run_model(
     operated_at = operated_at or log.now()
     watermark = log.last_success(model.name)
     report = RunReport(log.start(model.name, operated_at), list(model.problems))
-    for tag in model.tags:
-        try:
-            report.messages += run_tag(catalog, tag, store_for(tag), watermark)
-        except Exception as error:
-            report.messages.append(f"tag {tag.name}: {type(error).__name__}: {error}")
+    with model_settings(catalog.spark, model):
+        for tag in model.tags:
+            try:
+                report.messages += run_tag(catalog, tag, store_for(tag), watermark)
+            except Exception as error:
+                report.messages.append(f"tag {tag.name}: {type(error).__name__}: {error}")
     log.finish(report.run_id, model.name, operated_at, report.messages)
     return report

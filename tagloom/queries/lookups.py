@@ -45,6 +45,12 @@ def page_with_tiebreak(spark, folder):
     return paging.grid_page(customers, 40, 20, F.col("c_mktsegment").desc(), F.col("c_custkey"))
 
 
+def page_with_condition(spark, folder):
+    orders = catalog(spark, folder).table("orders")
+    order = (F.col("o_totalprice").desc(), F.col("o_orderkey"))
+    return paging.table_page(orders, ["o_orderkey", "o_totalprice"], "o_orderstatus = 'F'", 30, 15, *order)
+
+
 def row_positions(spark, folder):
     """Position of every order by falling price: what a page of any depth is cut from."""
     orders = catalog(spark, folder).table("orders").select("o_orderkey", "o_totalprice")
@@ -130,6 +136,7 @@ QUERIES: dict[str, Query] = {
         code_decode,
         code_decode_lines,
         page_with_tiebreak,
+        page_with_condition,
         row_positions,
         key_page,
         key_page_from,

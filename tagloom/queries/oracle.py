@@ -172,6 +172,9 @@ _ORACLE = {
                    WHERE n_name = 'NATION_9') ON s_suppkey = l_suppkey""",
     "page_with_tiebreak": """
         SELECT c_custkey, c_mktsegment FROM customer ORDER BY c_mktsegment DESC, c_custkey LIMIT 20 OFFSET 40""",
+    "page_with_condition": """
+        SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'
+        ORDER BY o_totalprice DESC, o_orderkey LIMIT 15 OFFSET 30""",
     "row_positions": """
         SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS position FROM orders""",
     "key_page": "SELECT CAST(c_custkey AS VARCHAR) AS row_key FROM customer ORDER BY row_key LIMIT 10 OFFSET 100",

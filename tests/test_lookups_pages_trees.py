@@ -40,7 +40,7 @@ def test_decode_keeps_unknown_codes(spark, codes):
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi"])
-def test_salted_lookup_equals_broadcast_lookup(spark, how):
+def test_split_lookup_equals_broadcast_lookup(spark, how):
     """One value holds most rows, many of them exact copies, and some rows have no value."""
     rows = spark.range(3000).select(
         F.when(F.col("id") % 3 > 0, F.lit(7)).when(F.col("id") % 9 == 0, F.lit(None)).otherwise(F.col("id") % 50).alias("v"),
@@ -48,20 +48,21 @@ def test_salted_lookup_equals_broadcast_lookup(spark, how):
     ).repartition(6)
     lookup = spark.range(40).select(F.col("id").alias("v"), F.concat(F.lit("t"), "id").alias("text"))
     assert measured_bytes(lookup) > 40
-    small, large = lookup_join(rows, "v", lookup, how), lookup_join(rows, "v", lookup, how, limit=0)
+    small = lookup_join(rows, "v", lookup, how)
+    large = lookup_join(rows, "v", lookup, how, limit=0, heavy_values=5)
     assert "BroadcastHashJoin" in small._jdf.queryExecution().toString()
-    assert "__salt" in large._jdf.queryExecution().toString()
+    assert "__heavy" in large._jdf.queryExecution().toString()
     columns = small.columns
     assert large.select(columns).exceptAll(small).count() == 0 and small.exceptAll(large.select(columns)).count() == 0
 
 
-def test_salts_spread_exact_copies(spark):
-    copies = spark.range(4000).repartition(8).select(F.lit(1).alias("v"))
-    lookup = spark.createDataFrame([(1, "one")], "v int, text string")
-    joined = lookup_join(copies, "v", lookup, limit=0)
-    assert joined.count() == 4000 and joined.where("text = 'one'").count() == 4000
-    salts = copies.select(F.pmod(F.xxhash64("v") + F.spark_partition_id(), F.lit(32)).alias("s"))
-    assert salts.distinct().count() == 8
+def test_split_lookup_shuffles_no_heavy_rows(spark):
+    """All rows have one of the heavy values: nothing is left for the shuffled join."""
+    rows = spark.range(4000).select((F.col("id") % 3).alias("v"))
+    lookup = spark.range(2).select(F.col("id").alias("v"), F.lit("t").alias("text"))
+    joined = lookup_join(rows, "v", lookup, limit=0)
+    counts = {(r["v"], r["text"]): r["count"] for r in joined.groupBy("v", "text").count().collect()}
+    assert counts == {(0, "t"): 1334, (1, "t"): 1333, (2, None): 1333}
 
 
 def test_multi_get(spark):
@@ -81,6 +82,13 @@ def test_pages_of_any_depth(spark, shallow, monkeypatch):
         assert [tuple(r) for r in got] == want[first:first + size]
 
 
+def test_table_page(spark):
+    df = spark.range(50).selectExpr("id", "id % 2 AS odd", "'x' AS other")
+    out = paging.table_page(df, ["id"], "odd = 1", 2, 3, F.col("id"))
+    assert out.columns == ["id"] and [r[0] for r in out.collect()] == [5, 7, 9]
+    assert paging.table_page(df, ["id"], None, 0, 0).count() == 50
+
+
 def test_key_pages_are_in_byte_order(spark):
     df = spark.range(30)
     texts = sorted(str(i) for i in range(30))

@@ -130,6 +130,20 @@ def test_messages_are_appended_to_the_json_array():
     assert json.loads(messages_json(["b", "c"], messages_json(["a"]))) == ["a", "b", "c"]
 
 
+def test_run_settings_hold_for_one_run(spark, catalog, tmp_path):
+    seen = []
+
+    def watch(df, params):
+        seen.append(spark.conf.get("spark.sql.shuffle.partitions"))
+        return df.select("k", "v")
+
+    tag = Tag("t", (KEY, Item("v", "method", watch, table="facts", type="double")))
+    settings = {"configcontent": '{"spark.sql.shuffle.partitions": "3", "spark.driver.memory": "1g", "spark.own.key": "x"}'}
+    log = RunLog(spark, str(tmp_path / "log"))
+    report = run_model(catalog, Model("m", (tag,), config=settings), lambda t: PathStore(spark, str(tmp_path / "r")), log)
+    assert report.status == "success" and seen == ["3"] and spark.conf.get("spark.sql.shuffle.partitions") == "8"
+
+
 def test_require_all(spark, catalog):
     tag = Tag("t", (KEY, Item("bad", "sql", "SELECT x")))
     with pytest.raises(SpecError, match="bad"):
