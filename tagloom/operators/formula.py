@@ -7,15 +7,15 @@ no shuffle, no Python worker.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping, Sequence
-from contextlib import contextmanager
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import round_half_up
+from ..lenient import lenient_analysis
 from ..sources.sqltext import constant, parse_date, replace_names
 from ..spec import Item, Param, SpecError
 from ..types import epoch_millis, is_instant, spark_type, system_type_of
@@ -66,20 +66,6 @@ def sum_of_params(params: Mapping[str, Bound], returntype: str) -> Column:
     return F.lit(None).cast(spark_type(returntype))
 
 
-@contextmanager
-def lenient_arithmetic(spark: SparkSession) -> Iterator[None]:
-    """Analyse expressions so that a zero divisor gives null in its row instead of failing the job.
-
-    The mode is fixed when an expression is analysed, so it is restored before any job runs.
-    """
-    before = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", before)
-
-
 def bind_constant(param: Param, mode: str) -> Bound:
     """Typed literal of a constant or variable parameter."""
     kind = param.type or "string"
@@ -171,7 +157,7 @@ def _expression(item: Item, bound: Mapping[str, Bound], names: Mapping[str, str]
 def evaluate(df: DataFrame, items: Sequence[Item], mode: str = "strict", prefix: str = "__f_") -> DataFrame:
     """Add ``<prefix><item>`` columns with the coerced results of formulas that do not refer to each other."""
     fields = {field.name.lower(): field for field in df.schema.fields}
-    with lenient_arithmetic(df.sparkSession):
+    with lenient_analysis(df.sparkSession):
         inputs: dict[str, Column] = {}
         formulas: dict[str, Column] = {}
         for item in items:

@@ -7,12 +7,14 @@ result is joined with: both join sides are unique on the key, so no key can be h
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..lenient import lenient_analysis
 from ..sources import Catalog
 from ..spec import Item, SpecError
 from ..streaming.highwater import newer_than
@@ -20,6 +22,17 @@ from ..types import is_instant, spark_type, to_system
 from .values import is_valid, single_value
 
 
+def _leniently(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Analyse the user's filters and column expressions so that bad casts give null."""
+
+    @wraps(build)
+    def wrapped(catalog: Catalog, *args, **kwargs) -> DataFrame:
+        with lenient_analysis(catalog.spark):
+            return build(catalog, *args, **kwargs)
+
+    return wrapped
+
+
 def source_column(df: DataFrame, name: str) -> tuple[Column, T.DataType]:
     """A column given by name, or by an SQL expression if no column has that name, and its type."""
     for field in df.schema.fields:
@@ -63,6 +76,7 @@ def key_type(dtype: T.DataType, key: Item) -> T.DataType:
     return dtype if key.type is None else spark_type(key.type)
 
 
+@_leniently
 def key_spine(catalog: Catalog, key: Item, watermark: dt.datetime | None = None, mode: str = "strict") -> DataFrame:
     """Distinct valid keys of the run."""
     df, column, dtype = key_source(catalog, key)
@@ -78,6 +92,7 @@ def _kept_pairs(pairs: DataFrame, key: Item, item: Item, dtype: T.DataType, mode
     return pairs.where(F.col(f"`{key.name}`").isNotNull() & is_valid(F.col(f"`{item.name}`"), dtype, mode))
 
 
+@_leniently
 def basic_pairs(
     catalog: Catalog, key: Item, item: Item, watermark: dt.datetime | None = None, mode: str = "strict"
 ) -> DataFrame:
@@ -101,6 +116,7 @@ def shared_scan(items: Sequence[Item]) -> list[list[Item]]:
     return list(groups.values())
 
 
+@_leniently
 def basic_frame(
     catalog: Catalog,
     key: Item,

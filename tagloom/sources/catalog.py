@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..lenient import lenient_analysis
 from ..spec import Param, SpecError
 from .sqltext import sql_arguments
 
@@ -92,8 +93,12 @@ class Catalog:
         return self._frames[known]
 
     def sql(self, text: str, params: Iterable[Param] = ()) -> DataFrame:
-        """Run user SQL; the tables it names become temporary views first."""
+        """Run user SQL; the tables it names become temporary views first.
+
+        Casts and divisions that fail give null, as the databases such queries are written for do.
+        """
         for name in sorted(set(re.findall(r"\w+", text.lower())) & self._readers.keys()):
             self.table(name).createOrReplaceTempView(name)
         query, args = sql_arguments(text, params)
-        return self.spark.sql(query, args) if args else self.spark.sql(query)
+        with lenient_analysis(self.spark):
+            return self.spark.sql(query, args) if args else self.spark.sql(query)

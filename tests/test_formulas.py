@@ -7,7 +7,8 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.operators.formula import apply_formula, evaluate, lenient_arithmetic, prepared_formula
+from tagloom.lenient import lenient_analysis
+from tagloom.operators.formula import apply_formula, evaluate, prepared_formula
 from tagloom.spec import Item, Param
 
 
@@ -54,7 +55,7 @@ def test_division_by_zero(spark):
 
 
 def test_arithmetic_mode_is_restored_after_errors(spark):
-    with pytest.raises(RuntimeError), lenient_arithmetic(spark):
+    with pytest.raises(RuntimeError), lenient_analysis(spark):
         raise RuntimeError
     assert spark.conf.get("spark.sql.ansi.enabled") == "true"
 

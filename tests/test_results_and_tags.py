@@ -148,6 +148,18 @@ def test_every_kind_of_planning_error_stays_with_its_item(spark):
     assert as_dict(result.frame, "v", "no_table", "bad_formula") == {1: (4.0, -1, 0)}
 
 
+def test_bad_casts_of_user_expressions_are_nulls(spark):
+    catalog = tables(spark, [1, 2], [(1, "5"), (2, "x")], "k long, s string")
+    items = (
+        Item("a", "basic", "cast(s AS int)", table="facts", key_column="k", type="int", default="-1"),
+        Item("b", "sql", "SELECT k, 10 / cast(s AS int) FROM facts", type="double", default="-1"),
+        Item("c", "basic", "s", table="facts", key_column="k", filter="cast(s AS int) > 0", default="none"),
+    )
+    result = compute_tag(catalog, Tag("t", (KEY, *items)))
+    assert as_dict(result.frame) == {1: (5, 2.0, "5"), 2: (-1, -1.0, "none")} and not result.messages
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+
+
 def test_methods_get_parameters_and_source(spark):
     def over(df, params):
         return df.where(F.col("v") > params["low"]).select("k", "v")

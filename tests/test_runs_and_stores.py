@@ -73,8 +73,8 @@ def test_bucketed_prior_result_joins_without_another_shuffle_of_its_rows(spark,
 
 
 def test_items_that_fail_while_running_are_left_out(spark, catalog, tmp_path):
-    group_mate = Item("bad_cast", "basic", "cast(s AS int)", table="facts", key_column="k", type="int", default="-1")
-    bad_sql = Item("bad_sql", "sql", "SELECT k, cast(s AS int) FROM facts", type="int", default="-1")
+    group_mate = Item("bad_cast", "basic", "if(s = 'x', raise_error('no'), 1)", table="facts", key_column="k", type="int", default="-1")
+    bad_sql = Item("bad_sql", "sql", "SELECT k, if(s = 'x', raise_error('no'), 1) FROM facts", type="int", default="-1")
     bad_formula = Item(
         "bad_formula", "formula", "if(#v > 3, raise_error('no'), 1)", type="int", params=(Param("v", "v", "double", "tagitem"),)
     )
