@@ -51,7 +51,8 @@ class PathStore:
 class TableStore:
     """Versions as metastore tables ``<name>_vN`` bucketed by key, and a view ``<name>`` over the current one.
 
-    Bucketing by key lets the next run join its items with the prior result without shuffling the wide rows.
+    Bucketing by key lets the next run join its items with the prior result without shuffling the wide rows,
+    and write them back without shuffling them either.
     The earlier version is kept for readers that are still on it; older ones are dropped.
     """
 
@@ -72,9 +73,11 @@ class TableStore:
     def publish(self, frame: DataFrame) -> None:
         current = self.version()
         key, table = frame.columns[0], f"{self.name}_v{current + 1}"
-        # Rows go to the task of their bucket first, so every bucket is one file.
-        rows = frame.repartition(self.buckets, key)
-        rows.write.mode("overwrite").bucketBy(self.buckets, key).sortBy(key).format("parquet").saveAsTable(table)
+        # The result of a tag is hash-partitioned by key like the buckets are. If the bucket count divides the
+        # partition count, every task holds whole buckets or parts of one, and no further shuffle is needed.
+        if int(self.spark.conf.get("spark.sql.shuffle.partitions")) % self.buckets:
+            frame = frame.repartition(self.buckets, key)
+        frame.write.mode("overwrite").bucketBy(self.buckets, key).sortBy(key).format("parquet").saveAsTable(table)
         self.spark.sql(
             f"CREATE OR REPLACE VIEW {self.name} TBLPROPERTIES ('version' = '{current + 1}') AS SELECT * FROM {table}"
         )

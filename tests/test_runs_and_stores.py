@@ -13,7 +13,8 @@ from tagloom import (
     Catalog, Item, Model, Param, PathStore, PostProcess, RunLog, SpecError, TableStore, Tag, compute_tag, load_model,
     require_all, run_model,
 )
-from tagloom.plans.metadata import item_from_row, param_from_row
+from tagloom.operators.result import drop_column, truncate
+from tagloom.plans.metadata import item_from_row, ordered_items, param_from_row
 from tagloom.queries.profiles import _metadata
 from tagloom.streaming.runlog import messages_json
 
@@ -72,6 +73,28 @@ def test_bucketed_prior_result_joins_without_another_shuffle_of_its_rows(spark,
     assert plan.count("Exchange hashpartitioning") <= 3 and "Bucketed: true" in plan
 
 
+def test_bucketed_result_is_written_as_it_is_partitioned(spark, catalog):
+    people = spark.range(2000).withColumnRenamed("id", "k")
+    facts = people.select("k", F.col("k").cast("double").alias("v"))
+    catalog.add("people", people).add("facts", facts)
+    aligned, other = TableStore(spark, f"b{uuid.uuid4().hex}", 4), TableStore(spark, f"b{uuid.uuid4().hex}", 3)
+    for store in (aligned, other):
+        for _ in range(2):
+            store.publish(compute_tag(catalog, Tag("t", (KEY, VALUE)), store.read()).frame)
+        assert len(store.read().inputFiles()) <= 8
+        assert rows(store.read()) == [(k, float(k)) for k in range(2000)]
+
+
+@pytest.mark.parametrize("kind", ["path", "table"])
+def test_truncated_and_narrowed_results_are_published(spark, tmp_path, kind):
+    store = PathStore(spark, str(tmp_path / "r")) if kind == "path" else TableStore(spark, f"r{uuid.uuid4().hex}", 4)
+    store.publish(spark.range(2).select(F.col("id").alias("k"), F.lit(1).alias("v"), F.lit(2).alias("w")))
+    store.publish(drop_column(store.read(), "w"))
+    assert rows(store.read()) == [(0, 1), (1, 1)]
+    store.publish(truncate(store.read()))
+    assert store.read().columns == ["k", "v"] and store.read().count() == 0
+
+
 def test_items_that_fail_while_running_are_left_out(spark, catalog, tmp_path):
     group_mate = Item("bad_cast", "basic", "if(s = 'x', raise_error('no'), 1)", table="facts", key_column="k", type="int", default="-1")
     bad_sql = Item("bad_sql", "sql", "SELECT k, if(s = 'x', raise_error('no'), 1) FROM facts", type="int", default="-1")
@@ -175,6 +198,21 @@ def test_model_from_metadata_tables(spark):
         load_model(metadata, "m2")
 
 
+def test_item_order(spark):
+    categories = spark.createDataFrame(
+        [("c1", None, 1), ("c2", None, 2), ("c3", "c1", 1)], "itemcategoryguid string, parentguid string, orderno int"
+    )
+    items = spark.createDataFrame(
+        [("a", "c1", 1, 1), ("b", "c1", 2, 1), ("c", "c2", 1, 1), ("d", "c3", 1, 0), ("e", "gone", 1, 1)],
+        "itemanothername string, itemcategoryguid string, orderno int, isenabled int",
+    )
+
+    def names(*args):
+        return [r["itemanothername"] for r in ordered_items(items, categories, *args).collect()]
+
+    assert names() == ["c", "b", "a"] and names(["a", "d"]) == ["a"] and names(None, False) == ["c", "b", "a", "d"]
+
+
 def test_unusable_tags_of_a_model_are_listed(spark):
     metadata = _metadata(spark)
     links = spark.createDataFrame([("m1", "gone", 2), ("m1", "t1", 1)], "modelguid string, tagguid string, orderno int")
