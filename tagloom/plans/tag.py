@@ -150,7 +150,9 @@ def compute_tag(
         base = spine if fresh else base_result(prior, spine, everything, tag.storage)
 
     for item in build.items:
-        if item.kind in ("sql", "method"):
+        if item.kind == "key":
+            build.fail(item, SpecError("a tag has one key item"))
+        elif item.kind in ("sql", "method"):
             try:
                 parts.append(Part([item], build.single(item), build.single))
             except Exception as error:

@@ -83,11 +83,11 @@ def sql_arguments(text: str, params: Iterable[Param]) -> tuple[str, Mapping[str,
         return f":v_{name}"
 
     def quoted(literal: str) -> str:
-        pieces, at = [], 1
+        quote, pieces, at = literal[0], [], 1
         for m in _NAME.finditer(literal, 1, len(literal) - 1):
             if m[1] in by_name:
                 if m.start() > at:
-                    pieces.append(f"'{literal[at:m.start()]}'")
+                    pieces.append(f"{quote}{literal[at:m.start()]}{quote}")
                 value = by_name[m[1]].value
                 args[f"t_{m[1]}"] = None if value is None else str(value)
                 pieces.append(f":t_{m[1]}")
@@ -95,12 +95,12 @@ def sql_arguments(text: str, params: Iterable[Param]) -> tuple[str, Mapping[str,
         if not pieces:
             return literal
         if at < len(literal) - 1:
-            pieces.append(f"'{literal[at:-1]}'")
+            pieces.append(f"{quote}{literal[at:-1]}{quote}")
         return pieces[0] if len(pieces) == 1 else "concat(" + ", ".join(pieces) + ")"
 
     def rewrite(m: re.Match) -> str:
         if m[1] is not None:
             return bare(m[1]) if m[1] in by_name else m[0]
-        return quoted(m[0]) if m[0].startswith("'") else m[0]
+        return quoted(m[0]) if m[0][0] in "'\"" else m[0]
 
     return _TOKENS.sub(rewrite, text), args

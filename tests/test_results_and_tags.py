@@ -140,6 +140,7 @@ def test_every_kind_of_planning_error_stays_with_its_item(spark):
         Item("one_column", "sql", "SELECT k FROM facts", type="int"),
         Item("no_method", "method", "missing", table="facts", type="int"),
         Item("no_staging", "sql", "SELECT 1, 2", type="int", staging=("gone",)),
+        Item("second_key", "key", "v", table="facts", type="int"),
         Item("bad_formula", "formula", "#x +", type="int", params=(Param("x", "v", "int", "tagitem"),)),
         Item("no_param", "formula", "#x", type="int", params=(Param("x", "absent", "int", "tagitem"),)),
     )

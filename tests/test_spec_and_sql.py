@@ -61,6 +61,7 @@ def test_parameters_inside_literals(spark):
     assert [r[0] for r in catalog.sql("SELECT s FROM t WHERE s = '#p' -- #p\n", params).collect()] == ["it's"]
     assert [r[0] for r in catalog.sql("SELECT s FROM t WHERE s LIKE '%#q'", params).collect()] == ["b#d"]
     assert [r[0] for r in catalog.sql("SELECT s FROM t WHERE s = 'b#d'", params).collect()] == ["b#d"]
+    assert [r[0] for r in catalog.sql('SELECT s FROM t WHERE s LIKE "%#q" OR s = "#n\'s"', params).collect()] == ["b#d"]
     assert catalog.sql("SELECT #n + 1 AS v FROM t", params).first()["v"] == 4
 
 
