@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import blank
-from ..sources.shared import shared_folder
+from ..sources.shared import written
 from ..spec import SpecError
 from .lookup import lookup_join, measured_bytes
 from .paging import with_position
@@ -21,10 +21,10 @@ def category_paths(
 ) -> DataFrame:
     """Every category that hangs on a root, with its depth, its sort path and the labels from the root down.
 
-    One join per level; each level is checkpointed so that the plan of the next one stays short. Categories
+    One join per level; each level is written to the shared folder, so that the plan of the next one stays short
+    and readers of the result still read only the columns they need. Categories
     whose parents never reach a root (a missing parent or a cycle) are left out.
     """
-    shared_folder(categories.sparkSession)
     step = F.struct((-F.col(order).cast("double")).alias("o"), F.col(id).cast("string").alias("i"))
     nodes = categories.select(
         F.col(id).alias("id"), F.col(parent).alias("parent"), step.alias("step"), F.col(label).alias("label")
@@ -33,8 +33,8 @@ def category_paths(
     level = nodes.where(blank(F.col("parent"))).select(
         "id", F.lit(0).alias("depth"), F.array("step").alias("path"), F.array("label").alias("labels")
     )
-    parents = children.select(F.col("parent").alias("id")).distinct().checkpoint()
-    found = level = level.checkpoint()
+    parents = written(children.select(F.col("parent").alias("id")).distinct(), "tree-parents")
+    found = level = written(level, "tree-level")
     for depth in count(1):
         # Only categories that have children take part in the next level.
         above = level.join(parents, "id", "left_semi").select(
@@ -45,16 +45,13 @@ def category_paths(
             return found
         if depth > max_depth:
             raise SpecError(f"category tree is deeper than {max_depth} levels")
-        level = (
-            lookup_join(children, "parent", above, "inner", size=size)
-            .select(
-                "id",
-                F.lit(depth).alias("depth"),
-                F.concat("up", F.array("step")).alias("path"),
-                F.concat("names", F.array("label")).alias("labels"),
-            )
-            .checkpoint()
+        below = lookup_join(children, "parent", above, "inner", size=size).select(
+            "id",
+            F.lit(depth).alias("depth"),
+            F.concat("up", F.array("step")).alias("path"),
+            F.concat("names", F.array("label")).alias("labels"),
         )
+        level = written(below, "tree-level")
         found = found.unionByName(level)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import round_half_up
+from ..functions import blank, round_half_up
 from ..lenient import lenient_analysis
 from ..sources.sqltext import constant, parse_date, replace_names
 from ..spec import Item, Param, SpecError
@@ -81,13 +81,18 @@ def bind_constant(param: Param, mode: str) -> Bound:
     return Bound(F.lit(None if param.value is None else str(param.value)).cast("string"), T.StringType())
 
 
-def bind_column(fields: Mapping[str, T.StructField], param: Param) -> Bound:
-    """Result column of a tagitem parameter; number parameters read unusable cells as zero."""
+def bind_column(fields: Mapping[str, T.StructField], param: Param, storage: str = "table") -> Bound:
+    """Result column of a tagitem parameter; number parameters read unusable cells as zero.
+
+    In ``cell`` storage blank text cells read as ''.
+    """
     field = fields.get(str(param.value).lower())
     if field is None:
         raise SpecError(f"parameter #{param.name}: the result has no column {param.value}")
     column, dtype = F.col(f"`{field.name}`"), field.dataType
     if param.type not in ("int", "double"):
+        if storage == "cell" and isinstance(dtype, T.StringType):
+            column = F.when(blank(column), F.lit("")).otherwise(column)
         return Bound(column, dtype)
     target = spark_type(param.type)
     if is_instant(dtype):
@@ -99,11 +104,13 @@ def bind_column(fields: Mapping[str, T.StructField], param: Param) -> Bound:
     return Bound(F.coalesce(column, F.lit(0).cast(target)), target)
 
 
-def bind_params(fields: Mapping[str, T.StructField], item: Item, mode: str) -> dict[str, Bound]:
+def bind_params(
+    fields: Mapping[str, T.StructField], item: Item, mode: str, storage: str = "table"
+) -> dict[str, Bound]:
     """Bind all parameters; for floating-point results whole numbers become floating-point first."""
     bound = {}
     for param in item.params:
-        one = bind_column(fields, param) if param.access == "tagitem" else bind_constant(param, mode)
+        one = bind_column(fields, param, storage) if param.access == "tagitem" else bind_constant(param, mode)
         if item.system_type == "double" and system_type_of(one.type) == "int":
             one = Bound(one.column.cast("double"), T.DoubleType())
         bound[param.name] = one
@@ -154,19 +161,19 @@ def _expression(item: Item, bound: Mapping[str, Bound], names: Mapping[str, str]
     return F.expr(replace_names(str(item.content), names, lambda n: f"`{names[n]}`"))
 
 
-def evaluate(df: DataFrame, items: Sequence[Item], mode: str = "strict", prefix: str = "__f_") -> DataFrame:
-    """Add ``<prefix><item>`` columns with the coerced results of formulas that do not refer to each other."""
+def evaluate(df: DataFrame, items: Sequence[Item], mode: str = "strict", storage: str = "table") -> DataFrame:
+    """Add ``__f_<item>`` columns with the coerced results of formulas that do not refer to each other."""
     fields = {field.name.lower(): field for field in df.schema.fields}
     with lenient_analysis(df.sparkSession):
         inputs: dict[str, Column] = {}
         formulas: dict[str, Column] = {}
         for item in items:
             bound, names = {}, {}
-            for name, one in bind_params(fields, item, mode).items():
+            for name, one in bind_params(fields, item, mode, storage).items():
                 names[name] = f"__p_{item.name}_{name}"
                 inputs[names[name]] = one.column
                 bound[name] = Bound(F.col(f"`{names[name]}`"), one.type)
-            formulas[f"{prefix}{item.name}"] = _expression(item, bound, names)
+            formulas[f"__f_{item.name}"] = _expression(item, bound, names)
         raw = (df.withColumns(inputs) if inputs else df).withColumns(formulas)
         types = {field.name: field.dataType for field in raw.schema.fields}
         coerced = {

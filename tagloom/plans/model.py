@@ -81,6 +81,8 @@ def run_tag(catalog: Catalog, tag: Tag, store: ResultStore, watermark: dt.dateti
             if not found:
                 raise
             excluded |= found
+        finally:
+            result.release()
 
 
 @contextmanager

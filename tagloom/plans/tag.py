@@ -40,13 +40,17 @@ class Part:
 
 @dataclass
 class TagResult:
-    """The lazy result of a tag, the items that could not be planned, and the parts it is made of."""
+    """The lazy result of a tag, the items that could not be planned, and the parts it is made of.
+
+    ``release`` frees the staging queries that were written for it, once the frame has been used.
+    """
 
     frame: DataFrame
     messages: list[str] = field(default_factory=list)
     failed: set[str] = field(default_factory=set)
     parts: list[Part] = field(default_factory=list)
     formulas: list[list[Item]] = field(default_factory=list)
+    release: Callable[[], None] = lambda: None
 
 
 def item_message(tag: Tag, item: Item, error: BaseException) -> str:
@@ -190,7 +194,7 @@ def compute_tag(
     for level in formula_levels(tuple(everything)):
         result, done = _apply_level(result, [i for i in level if i.name not in exclude], build)
         levels.append(done)
-    return TagResult(result, build.messages, build.failed, parts, levels)
+    return TagResult(result, build.messages, build.failed, parts, levels, build.staging.release)
 
 
 def _as_new(frame: DataFrame, part: Part) -> DataFrame:
@@ -199,23 +203,23 @@ def _as_new(frame: DataFrame, part: Part) -> DataFrame:
 
 def _apply_level(result: DataFrame, items: list[Item], build: _Builder) -> tuple[DataFrame, list[Item]]:
     """Evaluate formulas of one level over all result rows; rows without a valid value keep the old one."""
-    mode = build.tag.values
+    mode, storage = build.tag.values, build.tag.storage
     if not items:
         return result, items
     good = items
     try:
-        evaluated = evaluate(result, good, mode)
+        evaluated = evaluate(result, good, mode, storage)
     except Exception:
         good = []
         for item in items:
             try:
-                evaluate(result, [item], mode)
+                evaluate(result, [item], mode, storage)
                 good.append(item)
             except Exception as error:
                 build.fail(item, error)
         if not good:
             return result, good
-        evaluated = evaluate(result, good, mode)
+        evaluated = evaluate(result, good, mode, storage)
     columns: dict[str, Column] = {}
     for item in good:
         raw, dtype = F.col(f"`__f_{item.name}`"), spark_type(item.system_type)

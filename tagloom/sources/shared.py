@@ -21,13 +21,20 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def emptied(spark: SparkSession, path: str) -> None:
+    """Free the space of a frame that was ``written``, once no plan reads it any more."""
+    spark.range(0).write.mode("overwrite").parquet(path)
+
+
+def written(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Unlike a cached frame it outlives its executors, and unlike a checkpoint it stays columnar, so later
-    readers still prune columns and push filters.
+    readers still prune columns and push filters. The path is added to ``paths``, if given.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from ..spec import Item, SpecError, Staging
 from .catalog import Catalog
-from .shared import written
+from .shared import emptied, written
 
 
 class StagingViews:
@@ -21,6 +21,7 @@ class StagingViews:
         self._queries = {q.name.lower(): q for q in queries}
         self._built: set[str] = set()
         self._readers: dict[str, int] = {}
+        self._paths: list[str] = []
         for item in items:
             for name in {s.lower() for s in item.staging}:
                 self._readers[name] = self._readers.get(name, 0) + 1
@@ -34,6 +35,11 @@ class StagingViews:
             query = self._queries[name]
             frame = self._catalog.sql(query.sql, query.params)
             if self._readers.get(name, 0) > 1:
-                frame = written(frame, f"staging-{name}")
+                frame = written(frame, f"staging-{name}", self._paths)
             self._catalog.add(name, frame)
             self._built.add(name)
+
+    def release(self) -> None:
+        """Free what was written; frames that read it must have been used up."""
+        while self._paths:
+            emptied(self._catalog.spark, self._paths.pop())

@@ -99,6 +99,15 @@ def test_cell_storage_fills_blanks_of_the_runs_keys_only(spark):
     assert as_dict(out) == {1: "none", 2: "", 3: "x", 4: "none"}
 
 
+def test_formulas_read_blank_cells_as_empty_values(spark):
+    prior = spark.createDataFrame([(1, None, None)], "k long, s string, n long")
+    params = (Param("s", "s", "string", "tagitem"), Param("n", "n", "int", "tagitem"))
+    items = (KEY, Item("f", "formula", "concat('<', #s, '>', #n)", params=params))
+    catalog = tables(spark, [1], [(1, 1.0)])
+    assert as_dict(compute_tag(catalog, Tag("t", items, storage="cell"), prior).frame, "f") == {1: "<>0"}
+    assert as_dict(compute_tag(catalog, Tag("t", items), prior).frame, "f") == {1: ""}
+
+
 def test_formula_covers_rows_outside_the_run_and_sees_defaults(spark, prior):
     twice = Item("w", "formula", "#v * 2", type="double", params=(Param("v", "v", "double", "tagitem"),))
     out = compute_tag(tables(spark, [2, 3], [(2, 5.0)]), Tag("t", (KEY, twice, VALUE)), prior).frame

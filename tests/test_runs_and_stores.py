@@ -10,9 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tagloom import (
-    Catalog, Item, Model, Param, PathStore, PostProcess, RunLog, SpecError, TableStore, Tag, compute_tag, load_model,
+    Catalog, Item, Model, Param, PathStore, PostProcess, RunLog, SpecError, Staging, TableStore, Tag, compute_tag, load_model,
     require_all, run_model,
 )
+from tagloom.sources import staging as staging_module
 from tagloom.operators.result import drop_column, truncate
 from tagloom.plans.metadata import item_from_row, ordered_items, param_from_row
 from tagloom.queries.profiles import _metadata
@@ -167,6 +168,18 @@ def test_run_settings_hold_for_one_run(spark, catalog, tmp_path):
     assert report.status == "success" and seen == ["3"] and spark.conf.get("spark.sql.shuffle.partitions") == "8"
 
 
+def test_a_run_frees_the_staging_queries_it_wrote(spark, catalog, tmp_path, monkeypatch):
+    freed = []
+    emptied = staging_module.emptied
+    monkeypatch.setattr(staging_module, "emptied", lambda s, path: (freed.append(path), emptied(s, path)))
+    items = tuple(Item(n, "sql", f"SELECT k, {n} FROM big", type="double", staging=("big",)) for n in ("v", "w"))
+    tag = Tag("t", (KEY, *items), (Staging("big", "SELECT k, v, v * 2 AS w FROM facts"),))
+    store = PathStore(spark, str(tmp_path / "r"))
+    run_model(catalog, Model("m", (tag,)), lambda t: store, RunLog(spark, str(tmp_path / "log")))
+    assert rows(store.read()) == [(1, 3.0, 6.0), (2, 4.0, 8.0)]
+    assert len(freed) == 1 and spark.read.parquet(freed[0]).count() == 0
+
+
 def test_require_all(spark, catalog):
     tag = Tag("t", (KEY, Item("bad", "sql", "SELECT x")))
     with pytest.raises(SpecError, match="bad"):
