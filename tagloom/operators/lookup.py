@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import Catalog
+from ..sources import Catalog, written
 from ..spec import SpecError
 
 # Prefixes of a code name that say which catalog holds the dictionary.
@@ -73,10 +73,9 @@ def lookup_join(
     if (measured_bytes(lookup) if size is None else size) <= limit:
         return df.join(F.broadcast(lookup), on, how)
     value = F.col(f"`{on}`")
-    heavy = (
-        df.where(value.isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("__n"))
-        .orderBy(F.col("__n").desc(), value).limit(heavy_values).select(on)
-    )
+    counts = df.where(value.isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("__n"))
+    # Written once, so that every branch below splits by the same values.
+    heavy = written(counts.orderBy(F.col("__n").desc(), value).limit(heavy_values).select(on), "heavy-values")
     flagged = df.join(F.broadcast(heavy.withColumn("__heavy", F.lit(True))), on, "left")
     light = flagged.where(F.col("__heavy").isNull() & value.isNotNull()).drop("__heavy")
     hot = flagged.where(F.col("__heavy").isNotNull()).drop("__heavy")

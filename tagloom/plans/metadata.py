@@ -90,7 +90,9 @@ def item_from_row(row: Row, params: Iterable[Row] = (), staging_names: Mapping[s
     )
 
 
-def ordered_items(items: DataFrame, categories: DataFrame, names: Iterable[str] | None = None, only_enabled: bool = True) -> DataFrame:
+def ordered_items(
+    items: DataFrame, categories: DataFrame, names: Iterable[str] | None = None, only_enabled: bool = True
+) -> DataFrame:
     """Items by the pre-order of their categories, then by falling order number; the rank is in two columns."""
     order = category_preorder(categories, "itemcategoryguid", "parentguid", "orderno")
     if only_enabled:
@@ -108,11 +110,8 @@ def load_model(metadata: Catalog, model_id: str) -> Model:
     ``stagingtable_param``, ``tag_item_category``, ``tag_item`` and ``tag_item_param``. Tags that cannot be used
     are listed in ``Model.problems``; the others stay.
     """
-    config = _rows(
-        metadata.table("runconfig").join(
-            metadata.table("model").where(F.col("modelguid") == model_id).select("configguid"), "configguid", "left_semi"
-        )
-    )
+    of_model = metadata.table("model").where(F.col("modelguid") == model_id).select("configguid")
+    config = _rows(metadata.table("runconfig").join(of_model, "configguid", "left_semi"))
     if not config:
         raise SpecError(f"model {model_id}: no run configuration")
     storage = SAVE_CODES.get(str(config[0].get("savetype") or "").lower(), "cell")
@@ -134,9 +133,12 @@ def load_tag(metadata: Catalog, tag_id: str, storage: str = STORAGES[0], only_en
         raise SpecError("not found")
     staging_rows = _rows(metadata.table("stagingtable").where(of_tag))
     staging_ids = [r["stagingtableguid"] for r in staging_rows]
-    staging_params = _rows(
-        metadata.table("stagingtable_param").where(F.col("stagingtableguid").isin(*staging_ids)).orderBy(F.col("orderno").desc())
-    ) if staging_ids else []
+    of_staging = F.col("stagingtableguid").isin(*staging_ids)
+    staging_params = (
+        _rows(metadata.table("stagingtable_param").where(of_staging).orderBy(F.col("orderno").desc()))
+        if staging_ids
+        else []
+    )
     categories = metadata.table("tag_item_category").where(of_tag & ~blank(F.col("itemcategoryguid")))
     item_rows = _rows(ordered_items(metadata.table("tag_item"), categories, None, only_enabled))
     if not item_rows:

@@ -97,7 +97,9 @@ def runlog_messages(spark, folder):
 
 def _tree(tables: Catalog):
     """Regions, their nations and their customers as one category tree."""
-    region = tables.table("region").selectExpr("concat('r', r_regionkey) AS id", "'' AS parent", "r_regionkey AS orderno", "r_name AS name")
+    region = tables.table("region").selectExpr(
+        "concat('r', r_regionkey) AS id", "'' AS parent", "r_regionkey AS orderno", "r_name AS name"
+    )
     nation = tables.table("nation").selectExpr(
         "concat('n', n_nationkey) AS id", "concat('r', n_regionkey) AS parent", "n_nationkey AS orderno", "n_name AS name"
     )
