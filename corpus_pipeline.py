@@ -33,3 +33,49 @@ def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 def personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The documents with personal data masked."""
     return pii.masked(docs, pii.fit(docs)).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Documents kept at their mixing rate.
+
+    A document stays with its rate as probability, decided by a hash of its id. One that is most probably of a domain kept in
+    full always stays, whatever small share of other domains the classifier sees in it.
+    """
+    model = mixing.fit(docs, mixing.domains(table(spark, folder, "labels")))
+    members = written(mixing.posteriors(mixing.features(docs), model), "pipeline-members")
+    names = model.domains
+    sums = members.agg(*(F.sum(F.col("n_tokens") * F.get("p", F.lit(k))).alias(n) for k, n in enumerate(names)))
+    totals = sums.first().asDict() if names else {}
+    fit = mixing.fit_rates(members, names, {n: KEEP.get(n, 1.0) * (totals[n] or 0.0) for n in names})
+    full = [n for n in names if KEEP.get(n, 1.0) >= 1]
+    top = F.array_max("p")
+    whole = F.lit(not names)
+    for k, n in enumerate(names):
+        if n in full:
+            whole = whole | (F.get("p", F.lit(k)) == top)
+    chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+    kept = members.where(whole | (chance < fit.rate)).select("doc_id").distinct()
+    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """Padded sequences in token-budget batches."""
+    return packing.pack(packing.word_lengths(docs))
+
+
+STAGES = [
+    ("language", language),
+    ("personal_data", personal_data),
+    ("mixing", mixed),
+    ("packing", packed),
+]
+# The stages hold trained models, which SQL cannot express; tests compare them with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet and read back by the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
