@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import langid, mixing, packing, pii
+from tagloom.llm import langid, mixing, neardup, packing, pii
 from tagloom.llm.queries import tokenizer_file
 from tagloom.llm.text import table
 from tagloom.sources.shared import written
@@ -30,6 +30,15 @@ def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return found.where(sure).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest id; of rows that repeat it, one."""
+    found = neardup.near_duplicates(docs)
+    lead = found.where("kept").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(lead, "doc_id", "left_semi")
+    # Rows without an id cannot be told apart by it and stay as they are.
+    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """The documents with personal data masked."""
     return pii.masked(docs, pii.fit(docs)).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
@@ -65,6 +74,7 @@ def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 STAGES = [
     ("language", language),
+    ("near_duplicates", near_duplicates),
     ("personal_data", personal_data),
     ("mixing", mixed),
     ("packing", packed),

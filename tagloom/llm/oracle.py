@@ -87,4 +87,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 FROM judged
 """
 
-ORACLE_SQL = {"op1_packing": PACKING, "op4_topk": TOPK, "op10_quality": QUALITY}
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+shingles AS (
+  SELECT DISTINCT doc_id, list_slice(w, i, i + 4) AS s
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM words WHERE len(w) > 0)
+),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+classes AS (
+  SELECT min(doc_id) AS rep, list(doc_id) AS ids FROM (
+    SELECT doc_id, list(s ORDER BY s) AS set FROM shingles GROUP BY doc_id) GROUP BY set
+),
+own AS (SELECT rep, unnest(ids) AS doc_id FROM classes),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id
+  WHERE a.doc_id IN (SELECT rep FROM classes) AND b.doc_id IN (SELECT rep FROM classes) GROUP BY 1, 2
+),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * pairs.n >= 75 * (x.n + y.n - pairs.n)
+),
+edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (
+  SELECT rep AS a, rep AS b FROM classes UNION SELECT reach.a, edges.b FROM reach JOIN edges ON edges.a = reach.b
+),
+part AS (SELECT a AS rep, min(b) AS c FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS component_id,
+  d.doc_id = coalesce(c, d.doc_id) AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN part USING (rep)
+"""
+
+ORACLE_SQL = {"op6_near_duplicates": NEAR_DUPLICATES, "op1_packing": PACKING, "op4_topk": TOPK, "op10_quality": QUALITY}

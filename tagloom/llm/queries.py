@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, pii, quality, sequences, topk
+from . import langid, licenses, lm, mixing, neardup, packing, pii, quality, sequences, topk
 from .oracle import ORACLE_SQL
 from .text import crc, table
 
@@ -54,6 +54,20 @@ def op5_sequences(spark: SparkSession, folder: str) -> DataFrame:
     return sequences.read_documents(spark, parts)
 
 
+def op6_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
+def op7_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    rows = lm.score(docs, F.pmod(crc(), F.lit(10)) != 0)
+    return rows.withColumn("train", ~F.col("train")).withColumnRenamed("train", "held_out")
+
+
+def op8_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -77,7 +91,7 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_pii, op3_language, op4_topk, op5_sequences, op9_mixing, op10_quality)
+    for f in (op1_packing, op2_pii, op3_language, op4_topk, op5_sequences, op6_near_duplicates, op7_language_model, op8_licenses, op9_mixing, op10_quality)
 }
 
 

@@ -50,15 +50,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches into consecutive pieces of about ``SLICE_BYTES`` of the text column."""
+def slices(
+    batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches into consecutive pieces of about ``size`` bytes of the text column."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes.astype(np.int64))
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
-            end = max(at + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
+            end = max(at + 1, int(np.searchsorted(ends, base + size, "right")))
             yield batch.slice(at, end - at)
             at = end
 
