@@ -150,18 +150,20 @@ def fit_rates(members: DataFrame, names: tuple[str, ...], targets: Mapping[str,
     ``members`` has ``n_tokens`` and ``p``. Starts from rate 1. Domains without expected tokens cannot be reached and are
     left out, as are targets for unknown domains; a domain without a target gets 0.
     """
+    if not names:
+        return Fit(F.lit(1.0), {}, 0)
     n, p = F.col("n_tokens"), [F.get("p", F.lit(k)) for k in range(len(names))]
     size = range(len(names))
     first = members.agg(*(F.sum(n * p[i] * p[j]).alias(f"g{i}_{j}") for i in size for j in size if i <= j)).first()
     gram = [[first[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in size] for i in size]
     want = [float(targets.get(name, 0.0)) for name in names]
     scale = [1 / gram[k][k] if gram[k][k] > 0 else 0.0 for k in size]
-    step = 1 / max(_largest([[math.sqrt(scale[i] * scale[j]) * gram[i][j] for j in size] for i in size]), 1e-300) if names else 0
+    step = 1 / max(_largest([[math.sqrt(scale[i] * scale[j]) * gram[i][j] for j in size] for i in size]), 1e-300)
     rate = F.lit(1.0)
     reached = [0.0] * len(names)
     done = 0
     for done in range(rounds + 1):
-        sums = members.agg(*(F.sum(n * rate * p[k]).alias(f"e{k}") for k in size)).first() if names else []
+        sums = members.agg(*(F.sum(n * rate * p[k]).alias(f"e{k}") for k in size)).first()
         reached = [x or 0.0 for x in sums]
         off = [scale[k] * (reached[k] - want[k]) for k in size]
         if done == rounds or all(abs(reached[k] - want[k]) <= CLOSE * max(want) for k in size if scale[k]):

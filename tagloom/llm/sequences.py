@@ -11,6 +11,7 @@ lets a reader jump to a batch.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,6 +31,7 @@ LENGTH = 2048
 BATCH = 256  # sequences
 END = 0
 CACHE_WORDS = 800_000
+_WHITE_RUN = re.compile(r" \s|\s ")
 
 
 class _Words(dict):
@@ -62,12 +64,13 @@ def _words(path: str) -> _Words:
 def encode(text: str, words: _Words) -> bytes:
     """Ids of a whole text.
 
-    The byte-level pre-tokenizer starts a new piece at every blank between two other characters, so such a text may
-    be encoded word by word. Texts with blanks in a row, or at an end, are given to the tokenizer whole.
+    The byte-level pre-tokenizer starts a new piece at every blank between two characters that are no white space, so
+    such a text may be encoded word by word. Texts with blanks beside white space, or at an end, are given to the
+    tokenizer whole.
     """
     if not text:
         return b""
-    if "  " in text or text[0] == " " or text[-1] == " ":
+    if text[0] == " " or text[-1] == " " or _WHITE_RUN.search(text):
         return words.encode(text)
     first, *rest = text.split(" ")
     return words.encode(first) + b"".join(map(words.__getitem__, rest))
