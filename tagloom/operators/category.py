@@ -2,63 +2,69 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import blank
-from ..sources.shared import written
+from ..sources.shared import emptied, written
 from ..spec import SpecError
-from .lookup import lookup_join, measured_bytes
 from .paging import with_position
 
-MAX_DEPTH = 100
-
 
 def category_paths(
-    categories: DataFrame, id: str, parent: str, order: str, label: str, *, max_depth: int = MAX_DEPTH
+    categories: DataFrame, id: str, parent: str, order: str, label: str, paths: list[str] | None = None
 ) -> DataFrame:
     """Every category that hangs on a root, with its depth, its sort path and the labels from the root down.
 
-    One join per level; each level is written to the shared folder, so that the plan of the next one stays short
-    and readers of the result still read only the columns they need. Categories
-    whose parents never reach a root (a missing parent or a cycle) are left out.
+    Every round doubles the number of ancestors a category knows, so a tree of any depth takes as many joins as its
+    depth has binary digits. A round is written to the shared folder and replaces the one before; the
+    last one, which the result reads, is added to ``paths``, if given. Categories whose parents never reach a root (a missing parent
+    or a cycle) are left out; an id that occurs again below itself is an error.
     """
     step = F.struct((-F.col(order).cast("double")).alias("o"), F.col(id).cast("string").alias("i"))
-    nodes = categories.select(
-        F.col(id).alias("id"), F.col(parent).alias("parent"), step.alias("step"), F.col(label).alias("label")
-    )
-    children = nodes.where(~blank(F.col("parent")))
-    level = nodes.where(blank(F.col("parent"))).select(
-        "id", F.lit(0).alias("depth"), F.array("step").alias("path"), F.array("label").alias("labels")
+    known = categories.select(
+        F.col(id).alias("id"),
+        F.when(~blank(F.col(parent)), F.col(parent)).alias("up"),  # the nearest ancestor that is not in the path yet
+        F.array(step).alias("path"),
+        F.array(F.col(label)).alias("labels"),
     )
-    parents = written(children.select(F.col("parent").alias("id")).distinct(), "tree-parents")
-    found = level = written(level, "tree-level")
-    for depth in count(1):
-        # Only categories that have children take part in the next level.
-        above = level.join(parents, "id", "left_semi").select(
-            F.col("id").alias("parent"), F.col("path").alias("up"), F.col("labels").alias("names")
+    ids = F.transform("path", lambda s: s["i"])
+    spark = categories.sparkSession
+    used: list[str] = []
+    known = written(known, "tree", used)
+    while True:
+        # A path that meets itself goes no further: it is on a cycle, or its id is there twice.
+        ended = F.col("up").isNull() | F.array_contains(ids, F.col("up").cast("string"))
+        open_ = known.where(~ended)
+        if open_.isEmpty():
+            break
+        above = known.select(
+            F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("p"), F.col("labels").alias("n")
         )
-        size = measured_bytes(above)
-        if size == 0:
-            return found
-        if depth > max_depth:
-            raise SpecError(f"category tree is deeper than {max_depth} levels")
-        below = lookup_join(children, "parent", above, "inner", size=size).select(
-            "id",
-            F.lit(depth).alias("depth"),
-            F.concat("up", F.array("step")).alias("path"),
-            F.concat("names", F.array("label")).alias("labels"),
+        longer = open_.join(above, "up").select(
+            "id", F.col("next").alias("up"), F.concat("p", "path").alias("path"), F.concat("n", "labels").alias("labels")
         )
-        level = written(below, "tree-level")
-        found = found.unionByName(level)
+        known = written(known.where(ended).unionByName(longer), "tree", used)
+        emptied(spark, used.pop(0))
+    found = known.where(F.col("up").isNull())
+    # An id that meets itself and also hangs on a root lies below itself; one on a mere cycle is not found.
+    met = known.where(F.col("up").isNotNull()).select(F.col("up").alias("id")).distinct()
+    twice = met.join(found.select("id"), "id", "left_semi").orderBy("id").first()
+    if twice is not None:
+        raise SpecError(f"category {twice.id} lies below itself")
+    if paths is not None:
+        paths += used
+    return found.select("id", (F.size("path") - 1).alias("depth"), "path", "labels")
 
 
 def category_preorder(categories: DataFrame, id: str, parent: str, order: str) -> DataFrame:
     """Position of every category: parents before children, higher order numbers first on each level."""
-    paths = category_paths(categories, id, parent, order, id)
-    return with_position(paths.select("id", "depth", "path"), F.col("path"), name="pos").select("id", "depth", "pos")
+    used: list[str] = []
+    found = category_paths(categories, id, parent, order, id, used).select("id", "depth", "path")
+    placed = with_position(found, F.col("path"), name="pos").select("id", "depth", "pos")
+    for path in used:
+        emptied(categories.sparkSession, path)
+    return placed
 
 
 def category_ancestors(categories: DataFrame, id: str, parent: str, order: str, label: str, sep: str = "/") -> DataFrame:

@@ -7,6 +7,7 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources import Catalog, written
 from ..spec import SpecError
@@ -99,12 +100,19 @@ def decode(df: DataFrame, column: str, codes: DataFrame, alias: str | None = Non
     return joined.withColumn(name, text).drop("__code", "__text")
 
 
+def _key(value: Column, kind: T.DataType) -> Column:
+    return value.cast("string").try_cast(kind)
+
+
 def multi_get(df: DataFrame, key: str, keys: Sequence[Any] | DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows of the listed keys. A short list becomes a scan filter, a long one or a DataFrame a semi-join."""
     projected = df.select(F.col(f"`{key}`"), *[F.col(f"`{c}`") for c in columns if c != key])
     if not isinstance(keys, DataFrame):
+        # Keys may come as text; both ways below compare them in the type of the key, and a key that does not fit is in no row.
+        kind = df.schema[key].dataType
         if len(keys) <= POINT_KEYS:
-            return projected.where(F.col(f"`{key}`").isin(*keys))
-        keys = df.sparkSession.createDataFrame([(k,) for k in keys], df.select(F.col(f"`{key}`")).schema)
-    wanted = keys.select(F.col(f"`{keys.columns[0]}`").alias(key)).distinct()
+            return projected.where(F.col(f"`{key}`").isin(*(_key(F.lit(k), kind) for k in keys)) if keys else F.lit(False))
+        texts = df.sparkSession.createDataFrame([(None if k is None else str(k),) for k in keys], "k string")
+        keys = texts.select(_key(F.col("k"), kind).alias(key))
+    wanted = keys.select(F.col(f"`{keys.columns[0]}`").alias(key)).where(F.col(f"`{key}`").isNotNull()).distinct()
     return projected.join(wanted, key, "left_semi")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterable, Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import blank, lenient_double, lenient_int
-from ..spec import Item
+from ..spec import Item, SpecError
 from ..types import epoch_millis, spark_type, to_system
 
 # Default of every system type when an item declares none.
@@ -24,13 +26,41 @@ def default_value(item: Item, system: str | None = None, storage: str = "table")
     if declared is None or str(declared).strip() == "":
         zero = TYPE_DEFAULTS.get(system) if storage == "table" else None
         return F.lit(zero).cast(target)
-    if system == "int":
-        return F.lit(int(float(str(declared)))).cast(target)
-    if system == "double":
-        return F.lit(float(str(declared))).cast(target)
+    text = str(declared).strip()
+    try:
+        if system == "int":
+            return F.lit(_whole(text)).cast(target)
+        if system == "double":
+            return F.lit(float(text)).cast(target)
+        if system == "date":
+            return F.lit(dt.datetime.fromisoformat(text).date()).cast(target)
+    except (ValueError, ArithmeticError):
+        raise SpecError(f"default {text} is no {system}") from None
     return F.lit(str(declared)).cast(target)
 
 
+def _whole(text: str) -> int:
+    """A whole number without going through floating point; digits after the point are cut off."""
+    try:
+        value = int(text)
+    except ValueError:
+        value = int(Decimal(text))
+    if not -(1 << 63) <= value < 1 << 63:
+        raise ValueError(text)
+    return value
+
+
+def default_problems(items: Iterable[Item], storage: str = "table") -> dict[str, SpecError]:
+    """The items whose declared default is no value of their type, by name."""
+    problems = {}
+    for item in items:
+        try:
+            column_defaults([item], storage)
+        except SpecError as error:
+            problems[item.name] = error
+    return problems
+
+
 def column_defaults(items: Iterable[Item], storage: str = "table") -> dict[str, Column]:
     """Default of every result column the items own, raw columns of post-processed items included."""
     return {

@@ -103,6 +103,31 @@ def ordered_items(
     return lookup_join(items, "itemcategoryguid", place, "inner").orderBy("category_pos", F.col("orderno").desc(), "itemanothername")
 
 
+def _in_order(items: list[dict[str, Any]], categories: list[dict[str, Any]]) -> list[dict[str, Any]]:
+    """``ordered_items`` for the few rows of one tag, which are on the driver anyway."""
+    falling = lambda row: (row["orderno"] is not None, -float(row["orderno"] or 0))
+    below: dict[str, list[dict[str, Any]]] = {}
+    for row in categories:
+        below.setdefault(_text(row, "parentguid") or "", []).append(row)
+    place: dict[Any, int] = {}
+    todo = [""]
+    while todo:
+        at = todo.pop()
+        if at:
+            if at in place:
+                raise SpecError(f"category {at} lies below itself")
+            place[at] = len(place)
+        children = sorted(below.get(at, ()), key=lambda r: (*falling(r), str(r["itemcategoryguid"])))
+        todo += [str(r["itemcategoryguid"]) for r in reversed(children)]
+    held = [r for r in items if str(r["itemcategoryguid"]) in place]
+    return sorted(
+        held,
+        key=lambda r: (
+            place[str(r["itemcategoryguid"])], r["orderno"] is None, -float(r["orderno"] or 0), str(r["itemanothername"])
+        ),
+    )
+
+
 def load_model(metadata: Catalog, model_id: str) -> Model:
     """Read the specification of a model.
 
@@ -140,7 +165,8 @@ def load_tag(metadata: Catalog, tag_id: str, storage: str = STORAGES[0], only_en
         else []
     )
     categories = metadata.table("tag_item_category").where(of_tag & ~blank(F.col("itemcategoryguid")))
-    item_rows = _rows(ordered_items(metadata.table("tag_item"), categories, None, only_enabled))
+    items = lookup_join(metadata.table("tag_item"), "itemcategoryguid", categories.select("itemcategoryguid").distinct(), "left_semi")
+    item_rows = _in_order(_rows(items.where(F.col("isenabled") == 1) if only_enabled else items), _rows(categories))
     if not item_rows:
         raise SpecError("no items")
     params = _rows(

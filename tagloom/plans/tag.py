@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Collection
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +20,7 @@ from ..operators.items import (
 )
 from ..operators.methods import method_result
 from ..operators.postprocess import post_value
-from ..operators.result import base_result, column_defaults, default_value
+from ..operators.result import base_result, column_defaults, default_problems, default_value
 from ..operators.values import is_valid
 from ..sources import Catalog, StagingViews
 from ..spec import Item, SpecError, Tag, formula_levels
@@ -131,7 +131,15 @@ def compute_tag(
     staging queries that several items read, nothing runs until the frame is used.
     """
     tag.validate()
+    # An item with a bad default fails like one that cannot be planned, and its column takes the default of its type.
+    bad = default_problems(tag.value_items, tag.storage)
+    if bad:
+        tag = replace(tag, items=tuple(replace(i, default=None) if i.name in bad else i for i in tag.items))
+    exclude = {*exclude, *bad}
     build = _Builder(catalog, tag, watermark, exclude)
+    for item in tag.value_items:
+        if item.name in bad:
+            build.fail(item, bad[item.name])
     key = tag.key
     fresh = prior is None or key.extract == "reload"
     everything = tag.value_items

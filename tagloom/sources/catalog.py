@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass
 
@@ -82,23 +83,52 @@ class Catalog:
         return self
 
     def table(self, name: str) -> DataFrame:
-        """The named table; names the catalog does not hold are looked up in the session."""
+        """The named table; names the catalog does not hold are looked up in the metastore."""
         if not name:
             raise SpecError("no source table given")
         known = name.lower()
         if known not in self._readers:
-            return self.spark.table(name)
+            return self._metastore_table(name)
         if known not in self._frames:
             self._frames[known] = self._readers[known]()
         return self._frames[known]
 
+    def _metastore_table(self, name: str) -> DataFrame:
+        """A table of the metastore, and not a temporary view of the same name."""
+        if "." not in name:
+            name = f"{self.spark.catalog.currentDatabase()}.{name}"
+        return self.spark.table(name)
+
     def sql(self, text: str, params: Iterable[Param] = ()) -> DataFrame:
-        """Run user SQL; the tables it names become temporary views first.
+        """Run user SQL over the catalog's tables; other names are looked up in the metastore only.
 
+        The tables it names are bound inside the query, as common table expressions over views that exist while it is
+        analysed. So a query sees neither the tables of another catalog nor the user's temporary views, and changes none.
         Casts and divisions that fail give null, as the databases such queries are written for do.
         """
-        for name in sorted(set(re.findall(r"\w+", text.lower())) & self._readers.keys()):
-            self.table(name).createOrReplaceTempView(name)
-        query, args = sql_arguments(text, params)
+        query, args = sql_arguments(text.strip().removesuffix(";"), params)
+        views = {}
         with lenient_analysis(self.spark):
-            return self.spark.sql(query, args) if args else self.spark.sql(query)
+            hidden = self._hide_views(text)
+            try:
+                for name in sorted(set(re.findall(r"\w+", text.lower())) & self._readers.keys()):
+                    views[name] = f"__tagloom_{uuid.uuid4().hex}"
+                    self.table(name).createTempView(views[name])
+                bound = ", ".join(f"`{name}` AS (SELECT * FROM {view})" for name, view in views.items())
+                whole = f"WITH {bound} SELECT * FROM (\n{query}\n)" if bound else query
+                return self.spark.sql(whole, args) if args else self.spark.sql(whole)
+            finally:
+                for view in views.values():
+                    self.spark.catalog.dropTempView(view)
+                for name, frame in hidden.items():
+                    frame.createOrReplaceTempView(name)
+
+    def _hide_views(self, text: str) -> dict[str, DataFrame]:
+        """Take away the session's temporary views of names in ``text`` that are no table of the catalog."""
+        named = set(re.findall(r"\w+", text.lower())) - self._readers.keys()
+        hidden = {}
+        for row in self.spark.sql("SHOW VIEWS").collect():
+            if row.isTemporary and not row.namespace and row.viewName.lower() in named:
+                hidden[row.viewName] = self.spark.table(row.viewName)
+                self.spark.catalog.dropTempView(row.viewName)
+        return hidden

@@ -130,11 +130,27 @@ def test_category_ancestors(spark, tree):
     assert {r["id"]: r["path"] for r in out.collect()} == {"a": "A", "b": "B", "a1": "A/A1", "a2": "A/A2", "a11": "A/A1/A11"}
 
 
-def test_category_depth_limit(spark):
-    chain = spark.range(6).selectExpr("id", "if(id = 0, NULL, id - 1) AS parent", "0 AS orderno", "'n' AS name")
-    assert category_paths(chain, "id", "parent", "orderno", "name", max_depth=5).count() == 6
-    with pytest.raises(SpecError):
-        category_paths(chain, "id", "parent", "orderno", "name", max_depth=4)
+def test_deep_category_tree(spark):
+    chain = spark.range(150).selectExpr("id", "if(id = 0, NULL, id - 1) AS parent", "0 AS orderno", "cast(id AS string) AS name")
+    out = {r["id"]: r for r in category_paths(chain, "id", "parent", "orderno", "name").collect()}
+    assert len(out) == 150 and out[149]["depth"] == 149
+    assert out[149]["labels"] == [str(k) for k in range(150)]
+
+
+def test_category_below_itself_is_named(spark):
+    rows = [("a", None, 1), ("b", "a", 1), ("a", "b", 1)]
+    looped = spark.createDataFrame(rows, "id string, parent string, orderno int")
+    with pytest.raises(SpecError, match="category a "):
+        category_preorder(looped, "id", "parent", "orderno")
+
+
+def test_many_text_keys_on_a_number_column(spark):
+    df = spark.range(6000).withColumn("v", F.col("id") * 2)
+    for n in (3, 5000):
+        keys = [str(k) for k in range(n)] + ["none", None]
+        got = multi_get(df, "id", keys, ["v"]).collect()
+        assert sorted((r["id"], r["v"]) for r in got) == [(k, 2 * k) for k in range(n)]
+    assert multi_get(df, "id", [], ["v"]).count() == 0
 
 
 def test_grouped_method_with_a_hot_key(spark):

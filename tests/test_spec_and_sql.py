@@ -6,7 +6,7 @@ import itertools
 
 import pytest
 
-from tagloom import Catalog, Item, JdbcPartitioning, Param, PostProcess, SpecError, Staging, Tag
+from tagloom import Catalog, Item, JdbcPartitioning, Param, PostProcess, SpecError, Staging, Tag, compute_tag
 from tagloom.sources import StagingViews, jdbc_options, sql_arguments
 from tagloom.spec import formula_levels
 
@@ -90,6 +90,52 @@ def test_catalog_names_ignore_case_and_scopes_do_not_leak(spark):
         catalog.table("")
 
 
+def _staged(spark, name, sql, uses):
+    catalog = Catalog(spark).add("facts", spark.range(5).withColumnRenamed("id", "k"))
+    items = (
+        Item("k", "key", "k", table="facts", type="int"),
+        Item("v", "sql", "SELECT k, n FROM stg", type="double", default="-1", staging=("stg",) if uses else ()),
+        Item("w", "sql", "SELECT k, n + 1 FROM stg", type="double", default="-1", staging=("stg",) if uses else ()),
+    )
+    return catalog, Tag(name, items, staging=(Staging("stg", sql),) if uses else ())
+
+
+@pytest.mark.parametrize("order", ["ab", "ba"])
+def test_sql_items_see_no_tables_of_other_tags(spark, order):
+    spark.range(7).createOrReplaceTempView("facts")
+    spark.range(9).selectExpr("id AS k", "id AS n").createOrReplaceTempView("stg")
+    tags = {"a": ("SELECT k, 10 * k AS n FROM facts", True), "b": ("", False)}
+    for name in order:
+        catalog, tag = _staged(spark, name, *tags[name])
+        result = compute_tag(catalog, tag)
+        rows = {r["k"]: r["v"] for r in result.frame.collect()}
+        result.release()
+        if name == "a":
+            assert rows == {k: 10.0 * k for k in range(5)} and not result.failed
+        else:
+            assert rows == dict.fromkeys(range(5), -1.0) and result.failed == {"v", "w"}
+    assert spark.table("facts").count() == 7 and spark.table("stg").count() == 9
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("__tagloom")]
+    spark.catalog.dropTempView("facts")
+    spark.catalog.dropTempView("stg")
+
+
+def test_a_bad_default_fails_its_item_only(spark):
+    catalog = Catalog(spark).add("facts", spark.range(2).withColumnRenamed("id", "k"))
+    items = (
+        Item("k", "key", "k", table="facts", type="int"),
+        Item("good", "sql", "SELECT k, k + 1 FROM facts", type="int"),
+        Item("bad", "sql", "SELECT k, 7 FROM facts", type="int", default="n/a"),
+        Item("day", "sql", "SELECT k, DATE '2020-01-01' FROM facts", type="date", default="soon"),
+        Item("big", "sql", "SELECT k, 7 FROM facts WHERE k > 9", type="int", default="9007199254740993"),
+        Item("since", "sql", "SELECT k, DATE '2020-01-01' FROM facts WHERE k > 9", type="date", default="2021-02-03"),
+    )
+    result = compute_tag(catalog, Tag("t", items))
+    row = result.frame.orderBy("k").first()
+    assert result.failed == {"bad", "day"} and "n/a" in " ".join(result.messages)
+    assert (row["good"], row["bad"], row["day"], row["big"], str(row["since"])) == (1, 0, None, 9007199254740993, "2021-02-03")
+
+
 def test_staging_shared_by_several_items_is_written_once(spark):
     def plan(readers):
         catalog = Catalog(spark).add("t", spark.range(4).withColumnRenamed("id", "k"))
