@@ -169,15 +169,16 @@ def sql_pairs(
 ) -> DataFrame:
     """Rows of an SQL item: its first column is the key, the second the value.
 
-    A third date or timestamp column is the increment column; it is kept as ``<item>__order``.
+    A third date or timestamp column orders the values of a key, and is kept as ``<item>__order``; an incremental item
+    reads only its newer rows.
     """
     df = catalog.sql(str(item.content), item.params)
     types = [field.dataType for field in df.schema.fields]
     if len(types) < 2:
         raise SpecError(f"item {item.name}: the query must return a key and a value column")
     df = df.toDF(*[f"c{i}" for i in range(len(types))])
-    ordered = is_incremental(item) and len(types) > 2 and is_instant(types[2])
-    if ordered:
+    ordered = len(types) > 2 and is_instant(types[2])
+    if ordered and is_incremental(item):
         df = df.where(newer_than(df, "c2", watermark))
     columns = [typed_key(F.col("c0"), types[0], key).alias(key.name), F.col("c1").alias(item.name)]
     if ordered:

@@ -70,6 +70,33 @@ def _sql(spark, folder, item, watermark=None):
     return one_per_key(sql_pairs(catalog(spark, folder), CUSTOMER, item, watermark), CUSTOMER, item)
 
 
+def sql_item_latest(spark, folder):
+    """A full SQL item of which the value with the latest third column counts."""
+    text = "SELECT o_custkey, o_totalprice, o_orderdate FROM orders"
+    return _sql(spark, folder, Item("last_price", "sql", text, type="double", duplicates="latest"))
+
+
+def sql_item_rollup(spark, folder):
+    """Grand totals, totals per customer and their parts in one grouping; the largest count of a customer is its total."""
+    text = """
+    SELECT o_custkey, n FROM (
+      SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ROLLUP (o_custkey, o_orderstatus)
+    ) WHERE o_custkey IS NOT NULL
+    """
+    return _sql(spark, folder, Item("most", "sql", text, type="int"))
+
+
+def staging_scope(spark, folder):
+    """Two tags whose staging queries have the same name and different SQL."""
+    found = []
+    for tag, status in (("a", "O"), ("b", "F")):
+        staging = Staging("counted", f"SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = '{status}' GROUP BY 1")
+        item = Item("n", "sql", "SELECT k, n FROM counted", type="double", default="-1", staging=("counted",))
+        frame = result_of(spark, folder, customer_tag(item, staging=(staging,)), "cust_id", "n")
+        found.append(frame.where("n >= 0").select(F.lit(tag).alias("tag"), "cust_id", "n"))
+    return found[0].unionByName(found[1])
+
+
 def sql_item(spark, folder):
     text = """
     SELECT o_custkey, sum(n) FROM orders JOIN
@@ -193,6 +220,9 @@ QUERIES: dict[str, Query] = {
         basic_item_incremental,
         basic_items_shared_scan,
         sql_item,
+        sql_item_latest,
+        sql_item_rollup,
+        staging_scope,
         sql_item_params,
         sql_item_incremental,
         method_dataframe,

@@ -90,7 +90,7 @@ def watermark_latest(spark, folder):
 
 def runlog_messages(spark, folder):
     """Messages of every run in order, numbered; a run of any length is spread over many tasks."""
-    events = catalog(spark, folder).table("events").where("event_type = 'error'")
+    events = catalog(spark, folder).table("events")
     messages = events.select(F.col("user_id").alias("run_id"), F.col("event_id").cast("string").alias("msg"), "event_id")
     return paging.with_position_in_group(messages, "run_id", F.col("event_id"), name="seq").select("run_id", "seq", "msg")
 
@@ -120,8 +120,7 @@ def category_ancestors(spark, folder):
 def item_order(spark, folder):
     """Suppliers as items of their nation, in the order in which a tag runs its items."""
     tables = catalog(spark, folder)
-    tree = _tree(tables).where("id NOT LIKE 'c%'")
-    categories = tree.selectExpr("id AS itemcategoryguid", "parent AS parentguid", "orderno")
+    categories = _tree(tables).selectExpr("id AS itemcategoryguid", "parent AS parentguid", "orderno")
     items = tables.table("supplier").selectExpr(
         "concat('n', s_nationkey) AS itemcategoryguid",
         "s_name AS itemanothername",

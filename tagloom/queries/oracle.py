@@ -58,6 +58,13 @@ _ORACLE = {
     "sql_item": """
         SELECT o.o_custkey AS cust_id, count(*) AS n_returned
         FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE l.l_returnflag = 'R' GROUP BY 1""",
+    "sql_item_latest": """
+        SELECT o_custkey AS cust_id, arg_max(o_totalprice, (o_orderdate, o_totalprice)) AS last_price FROM orders GROUP BY 1""",
+    "sql_item_rollup": """
+        SELECT o_custkey AS cust_id, count(*) AS most FROM orders GROUP BY 1""",
+    "staging_scope": """
+        SELECT 'a' AS tag, o_custkey AS cust_id, CAST(count(*) AS DOUBLE) AS n FROM orders WHERE o_orderstatus = 'O' GROUP BY 2
+        UNION ALL SELECT 'b', o_custkey, CAST(count(*) AS DOUBLE) FROM orders WHERE o_orderstatus = 'F' GROUP BY 2""",
     "sql_item_params": """
         SELECT o_custkey AS cust_id, count(*) AS n_big FROM orders
         WHERE o_totalprice > 200000 AND o_orderstatus = 'O' GROUP BY 1""",
@@ -142,13 +149,18 @@ _ORACLE = {
                         max(CASE WHEN o_orderdate <= TIMESTAMP '2001-01-01 00:00:00' THEN o_totalprice END), 0.0) AS price
         FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY 1""",
     "error_isolation": f"SELECT cust_id, n_orders, CAST(-1.0 AS DOUBLE) AS broken FROM {_BASE}",
+    "error_isolation_default": f"SELECT cust_id, n_orders, CAST(0 AS BIGINT) AS broken FROM {_BASE}",
+    "truncate_result": "SELECT CAST(0 AS BIGINT) AS n_rows, 4 AS n_columns",
+    "lenient_dates": """
+        SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL WHEN 0 THEN o_orderdate
+          ELSE CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) END AS d FROM orders""",
     "normalize_types": """
         SELECT l_orderkey, l_partkey, l_suppkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity,
                l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, CAST(l_shipdate AS DATE) AS l_shipdate
         FROM lineitem""",
     "date_encode": """
         SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, o_orderstatus,
-               CAST(epoch_ms(o_orderdate) AS VARCHAR) AS o_orderdate, o_orderpriority FROM orders""",
+               CAST(o_totalprice AS VARCHAR) AS o_totalprice, CAST(epoch_ms(o_orderdate) AS VARCHAR) AS o_orderdate, o_orderpriority FROM orders""",
     "cell_decode": """
         SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey,
                CASE WHEN o_orderstatus = 'P' THEN 0 ELSE o_custkey END AS o_custkey,
@@ -188,17 +200,15 @@ _ORACLE = {
     "watermark_latest": "SELECT event_type AS model, max(ts) AS last_ok FROM events WHERE value < 100 GROUP BY 1",
     "runlog_messages": """
         SELECT user_id AS run_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq,
-               CAST(event_id AS VARCHAR) AS msg FROM events WHERE event_type = 'error'""",
+               CAST(event_id AS VARCHAR) AS msg FROM events""",
     "category_preorder": f"""
         {_TREE} SELECT id, depth,
           row_number() OVER (ORDER BY a DESC, b DESC NULLS FIRST, c DESC NULLS FIRST) AS pos FROM tree""",
     "category_ancestors": f"{_TREE} SELECT id, path FROM tree",
-    "item_order": """
-        SELECT pos AS category_pos, s_suppkey AS orderno, s_name AS itemanothername FROM supplier JOIN (
-          SELECT b, row_number() OVER (ORDER BY a DESC, b DESC NULLS FIRST) AS pos FROM (
-            SELECT r_regionkey AS a, NULL::BIGINT AS b FROM region
-            UNION ALL SELECT n_regionkey, n_nationkey FROM nation)) ON b = s_nationkey
-        WHERE s_acctbal > 0""",
+    "item_order": f"""
+        {_TREE} SELECT pos AS category_pos, s_suppkey AS orderno, s_name AS itemanothername FROM supplier JOIN (
+          SELECT id, row_number() OVER (ORDER BY a DESC, b DESC NULLS FIRST, c DESC NULLS FIRST) AS pos FROM tree
+        ) ON id = concat('n', s_nationkey) WHERE s_acctbal > 0""",
     "user_profile": """
         SELECT user_id, n_events, n_errors, CAST(n_errors AS DOUBLE) / n_events AS error_rate,
                CAST(n_errors AS DOUBLE) / n_events AS health_ctr,

@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from ..functions import date_text, lenient_double, trim_token_end
+from ..functions import date_text, lenient_date, lenient_double, trim_token_end
 from ..operators import result as R
 from ..operators.items import basic_frame, key_spine
 from ..plans.tag import compute_tag
@@ -114,12 +114,40 @@ def error_isolation(spark, folder):
     return result.frame.select("cust_id", "n_orders", "broken")
 
 
+def error_isolation_default(spark, folder):
+    """An item whose declared default is no value of its type fails alone, and its column has the type's own default."""
+    broken = Item("broken", "sql", "SELECT o_custkey, 7 FROM orders", type="int", default="n/a")
+    result = compute_tag(catalog(spark, folder), base_tag(broken))
+    if result.failed != {"broken"}:
+        raise RuntimeError(f"failed items: {result.failed}")
+    return result.frame.select("cust_id", "n_orders", "broken")
+
+
+def truncate_result(spark, folder):
+    """Rows and columns left of a truncated result."""
+    result = R.truncate(compute_tag(catalog(spark, folder), base_tag()).frame)
+    return result.agg(F.count("cust_id").alias("n_rows")).withColumn("n_columns", F.lit(len(result.columns)))
+
+
+def lenient_dates(spark, folder):
+    """Order dates as the text forms in use, some of them no dates, read back."""
+    orders = catalog(spark, folder).table("orders")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    forms = (
+        F.when(F.col("o_orderkey") % 4 == 0, F.unix_millis(F.col("o_orderdate").cast("timestamp")).cast("string"))
+        .when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit(" "), day, F.lit(" 00:00:00")))
+        .when(F.col("o_orderkey") % 4 == 2, day)
+        .otherwise(F.concat(F.lit("on "), day))
+    )
+    return orders.select("o_orderkey", lenient_date(forms).cast("timestamp_ntz").alias("d"))
+
+
 def normalize_types(spark, folder):
     return to_system_types(catalog(spark, folder).table("lineitem"))
 
 
 def date_encode(spark, folder):
-    return R.encode_cells(catalog(spark, folder).table("orders").drop("o_totalprice"))
+    return R.encode_cells(catalog(spark, folder).table("orders"))
 
 
 def cell_decode(spark, folder):
@@ -165,6 +193,9 @@ QUERIES: dict[str, Query] = {
         drop_column,
         two_pass_incremental,
         error_isolation,
+        error_isolation_default,
+        truncate_result,
+        lenient_dates,
         normalize_types,
         date_encode,
         cell_decode,
