@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import written
-from .text import let, lower_ascii, words_of
+from .text import let
 
 TRAIN_ROWS = 20_000  # labelled documents, the bound of the training sample
 WORDS = 96  # words taken as features, those that tell the domains apart best
@@ -41,17 +41,17 @@ def features(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
     lines = F.split("__text", "\n")
 
     def share(chars: str) -> Column:
-        found = size - F.length(F.translate("__text", chars, ""))
+        found = F.regexp_count("__text", F.lit(f"[{chars}]"))
         return F.least(F.lit(9), F.ceil(20 * found / F.greatest(size, F.lit(1)))).cast("int")
 
     bins = (
         F.least(F.lit(9), F.floor(F.log2(size + 1) / 2)).cast("int"),
         share("#*$%&|<>"),
-        share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+        share("A-Z"),
         share("!?"),
         F.ceil(9 * (F.size(lines) - F.size(F.array_distinct(lines))) / F.size(lines)).cast("int"),
     )
-    return rows.withColumn("__words", words_of(lower_ascii(F.col("__text")))).select(
+    return rows.withColumn("__words", F.array_remove(F.split(F.lower("__text"), "[\\x20\\x09-\\x0D]+"), "")).select(
         "doc_id",
         (F.size("__words") + 1).cast("bigint").alias("n_tokens"),
         F.array(*(F.concat_ws("=", F.lit(n), b.cast("string")) for n, b in zip(SHAPES, bins))).alias("shape"),
@@ -130,6 +130,13 @@ def posteriors(rows: DataFrame, model: Model) -> DataFrame:
     return rows.select("doc_id", "n_tokens", let(likely, lambda e: F.transform(e, lambda x: x / whole(e))).alias("p"))
 
 
+def with_known(members: DataFrame, labelled: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """The memberships with those of labelled documents replaced by their label; ``labelled`` has unique ids."""
+    known = F.array(*(F.when(F.col("domain") == n, 1.0).otherwise(0.0) for n in names))
+    p = F.when(F.col("domain").isin(*names), known).otherwise(F.col("p")) if names else F.col("p")
+    return members.join(labelled, "doc_id", "left").select("doc_id", "n_tokens", p.alias("p"))
+
+
 def _largest(gram: list[list[float]]) -> float:
     """An upper estimate of the largest eigenvalue of a small nonnegative matrix: its largest row sum."""
     return max(sum(row) for row in gram)
