@@ -48,13 +48,16 @@ def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents kept at their mixing rate.
 
     A document stays with its rate as probability, decided by a hash of its id. One that is most probably of a domain kept in
-    full always stays, whatever small share of other domains the classifier sees in it.
+    full always stays, whatever small share of other domains the classifier sees in it. Labelled documents are of the
+    domain of their label.
     """
-    model = mixing.fit(docs, mixing.domains(table(spark, folder, "labels")))
-    members = written(mixing.posteriors(mixing.features(docs), model), "pipeline-members")
+    labelled = mixing.domains(table(spark, folder, "labels"))
+    model = mixing.fit(docs, labelled)
     names = model.domains
-    sums = members.agg(*(F.sum(F.col("n_tokens") * F.get("p", F.lit(k))).alias(n) for k, n in enumerate(names)))
-    totals = sums.first().asDict() if names else {}
+    members = mixing.posteriors(mixing.features(docs), model)
+    members = written(mixing.with_known(members, labelled, names), "pipeline-members")
+    sums = [F.sum(F.col("n_tokens") * F.get("p", F.lit(k))).alias(n) for k, n in enumerate(names)]
+    totals = members.agg(*sums).first().asDict() if names else {}
     fit = mixing.fit_rates(members, names, {n: KEEP.get(n, 1.0) * (totals[n] or 0.0) for n in names})
     full = [n for n in names if KEEP.get(n, 1.0) >= 1]
     top = F.array_max("p")
