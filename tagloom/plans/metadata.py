@@ -185,4 +185,5 @@ def load_tag(metadata: Catalog, tag_id: str, storage: str = STORAGES[0], only_en
             for r in staging_rows
         ),
         storage=storage,
+        source=_text(found[0], "datasourceguid"),
     ).validate()

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import Catalog
-from ..spec import Model, Tag
+from ..spec import Model, SpecError, Tag
 from ..streaming.runlog import FAILED, SUCCESS, RunLog
 from .store import ResultStore
 from .tag import TagResult, compute_tag, item_message
@@ -106,22 +106,36 @@ def model_settings(spark: SparkSession, model: Model) -> Iterator[None]:
                 spark.conf.set(name, value)
 
 
+def _catalog_of(tag: Tag, catalogs: Catalog | Mapping[str, Catalog]) -> Catalog:
+    if isinstance(catalogs, Catalog):
+        return catalogs
+    if tag.source not in catalogs:
+        raise SpecError(f"data source {tag.source} not found")
+    return catalogs[tag.source]
+
+
 def run_model(
-    catalog: Catalog,
+    catalogs: Catalog | Mapping[str, Catalog],
     model: Model,
     store_for: Callable[[Tag], ResultStore],
     log: RunLog,
     operated_at: dt.datetime | None = None,
 ) -> RunReport:
-    """Run all tags of a model; a failed tag is reported and the next one still runs."""
+    """Run all tags of a model; a failed tag is reported and the next one still runs.
+
+    With several ``catalogs``, by name of the data source, every tag reads its own. Messages are logged tag by tag.
+    """
     operated_at = operated_at or log.now()
     watermark = log.last_success(model.name)
     report = RunReport(log.start(model.name, operated_at), list(model.problems))
-    with model_settings(catalog.spark, model):
+    with model_settings(log.spark, model):
+        log.append(report.run_id, model.name, operated_at, report.messages)
         for tag in model.tags:
             try:
-                report.messages += run_tag(catalog, tag, store_for(tag), watermark)
+                new = run_tag(_catalog_of(tag, catalogs), tag, store_for(tag), watermark)
             except Exception as error:
-                report.messages.append(f"tag {tag.name}: {type(error).__name__}: {error}")
-    log.finish(report.run_id, model.name, operated_at, report.messages)
+                new = [f"tag {tag.name}: {type(error).__name__}: {error}"]
+            log.append(report.run_id, model.name, operated_at, new)
+            report.messages += new
+    log.finish(report.run_id, model.name, operated_at)
     return report

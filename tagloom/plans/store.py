@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import emptied
+
 
 class ResultStore(Protocol):
     """Where the result of one tag lives between runs."""
@@ -21,7 +23,8 @@ class PathStore:
     """Versions as Parquet folders ``<path>/v=N`` and a log of published versions next to them.
 
     A version counts once its row is in the log. Spark's commit protocol makes that append all or nothing, so
-    a job that dies while writing leaves the earlier version current.
+    a job that dies while writing leaves the earlier version current. The earlier version is kept for readers that are
+    still on it; the files of older ones are freed.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -46,6 +49,8 @@ class PathStore:
         self.spark.range(1).select(F.lit(following).cast("long").alias("version")).write.mode("append").parquet(
             f"{self.path}/versions"
         )
+        if following > 2:
+            emptied(self.spark, f"{self.path}/v={following - 2}")
 
 
 class TableStore:

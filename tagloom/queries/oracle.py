@@ -209,6 +209,12 @@ _ORACLE = {
         {_TREE} SELECT pos AS category_pos, s_suppkey AS orderno, s_name AS itemanothername FROM supplier JOIN (
           SELECT id, row_number() OVER (ORDER BY a DESC, b DESC NULLS FIRST, c DESC NULLS FIRST) AS pos FROM tree
         ) ON id = concat('n', s_nationkey) WHERE s_acctbal > 0""",
+    "model_two_sources": """
+        SELECT 'sales' AS tag, o_custkey AS id, max(o_totalprice) AS top FROM orders GROUP BY 2
+        UNION ALL SELECT 'stock', s_suppkey, max(s_acctbal) FROM supplier GROUP BY 2""",
+    "runlog_append": """
+        SELECT 'm' AS model, 'failed' AS status, '["first", "' || count(*) || ' errors", "third", "last"]' AS messages
+        FROM events WHERE event_type = 'error'""",
     "user_profile": """
         SELECT user_id, n_events, n_errors, CAST(n_errors AS DOUBLE) / n_events AS error_rate,
                CAST(n_errors AS DOUBLE) / n_events AS health_ctr,

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import functions as F
+
 from ..plans.metadata import load_model
 from ..plans.model import run_model
 from ..plans.store import PathStore
 from ..sources import Catalog, shared_folder
-from ..spec import Item, PostProcess, Tag
+from ..spec import Item, Model, PostProcess, Tag
 from ..streaming.runlog import RunLog
 from .common import (
     CUSTOMER,
@@ -166,4 +168,40 @@ def model_run(spark, folder):
     return store.read()
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (customer_profile, user_profile, model_run)}
+def model_two_sources(spark, folder):
+    """Two tags of one model, each over a data source of its own, and one whose source is missing."""
+    where = f"{shared_folder(spark)}/model-run-{uuid.uuid4().hex}"
+    tables = catalog(spark, folder)
+    sales = Catalog(spark, {"facts": lambda: tables.table("orders").selectExpr("o_custkey AS k", "o_totalprice AS v")})
+    stock = Catalog(spark, {"facts": lambda: tables.table("supplier").selectExpr("s_suppkey AS k", "s_acctbal AS v")})
+    items = (
+        Item("id", "key", "k", table="facts", type="int"),
+        Item("top", "basic", "v", table="facts", key_column="k", type="double", default="-1e9"),
+    )
+    tags = tuple(Tag(name, items, source=name) for name in ("sales", "stock", "nowhere"))
+    stores = {tag.name: PathStore(spark, f"{where}/{tag.name}") for tag in tags}
+    report = run_model(
+        {"sales": sales, "stock": stock}, Model("two", tags), lambda tag: stores[tag.name], RunLog(spark, f"{where}/log")
+    )
+    if len(report.messages) != 1 or "nowhere not found" not in report.messages[0]:
+        raise RuntimeError("; ".join(report.messages))
+    named = [stores[n].read().select(F.lit(n).alias("tag"), "id", "top") for n in ("sales", "stock")]
+    return named[0].unionByName(named[1])
+
+
+def runlog_append(spark, folder):
+    """Messages of a run, one of them about the events, added step by step to one JSON array."""
+    events = catalog(spark, folder).table("events")
+    few = events.where("event_type = 'error'").groupBy("event_type").agg(F.count("event_id").alias("n")).first()
+    log = RunLog(spark, f"{shared_folder(spark)}/run-log-{uuid.uuid4().hex}")
+    started = log.now()
+    run = log.start("m", started)
+    log.append(run, "m", started, ["first"])
+    log.append(run, "m", started, [f"{few['n'] if few else 0} errors", "third"])
+    log.finish(run, "m", started, ["last"])
+    return log.runs().select("model", "status", "messages")
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (customer_profile, user_profile, model_run, model_two_sources, runlog_append)
+}

@@ -122,7 +122,7 @@ class Tag:
 
     ``storage`` ``table`` gives every column a typed default; ``cell`` leaves cells without a declared default
     empty and back-fills blank cells of the keys of the run. ``values`` picks the strict or the lenient
-    invalid-value and text-coercion rules.
+    invalid-value and text-coercion rules. ``source`` names the data source, where a model has several.
     """
 
     name: str
@@ -130,6 +130,7 @@ class Tag:
     staging: tuple[Staging, ...] = ()
     storage: str = "table"
     values: str = "strict"
+    source: str | None = None
 
     @property
     def key(self) -> Item:

@@ -48,7 +48,13 @@ class RunLog:
 
     def runs(self) -> DataFrame:
         """Latest state of every run: an ended run outranks its start row."""
-        newest = F.struct(F.coalesce("completed_at", F.lit("1970-01-01").cast("timestamp")), "status", "messages")
+        # Of the rows of a run that is not over, the one with the most messages is the newest, as messages are only added.
+        newest = F.struct(
+            F.coalesce("completed_at", F.lit("1970-01-01").cast("timestamp")),
+            F.coalesce(F.length("messages"), F.lit(0)).alias("size"),
+            "status",
+            "messages",
+        )
         latest = self.rows().groupBy("run_id").agg(
             F.max("model").alias("model"), F.max("operated_at").alias("operated_at"), F.max(newest).alias("last"),
             F.max("completed_at").alias("completed_at"),
@@ -62,9 +68,20 @@ class RunLog:
         self._append(run_id, model, RUNNING, operated_at, None, None)
         return run_id
 
-    def finish(self, run_id: str, model: str, operated_at: dt.datetime, messages: Sequence[str]) -> None:
-        """End a run: successful exactly when it left no messages."""
-        self._append(run_id, model, FAILED if messages else SUCCESS, operated_at, self.now(), messages_json(messages))
+    def messages(self, run_id: str) -> str | None:
+        """What a run has logged so far, as a JSON array; None if nothing."""
+        row = self.runs().where(F.col("run_id") == run_id).select("messages").first()
+        return row["messages"] if row else None
+
+    def append(self, run_id: str, model: str, operated_at: dt.datetime, messages: Sequence[str]) -> None:
+        """Add messages to a run that goes on, so that they are kept if it never ends."""
+        if messages:
+            self._append(run_id, model, RUNNING, operated_at, None, messages_json(messages, self.messages(run_id)))
+
+    def finish(self, run_id: str, model: str, operated_at: dt.datetime, messages: Sequence[str] = ()) -> None:
+        """End a run, with further messages if any: successful exactly when it left none at all."""
+        logged = messages_json(messages, self.messages(run_id))
+        self._append(run_id, model, FAILED if logged else SUCCESS, operated_at, self.now(), logged)
 
     def last_success(self, model: str) -> dt.datetime | None:
         """Start of the latest successful run, None before the first."""

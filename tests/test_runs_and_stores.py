@@ -231,3 +231,26 @@ def test_unusable_tags_of_a_model_are_listed(spark):
     links = spark.createDataFrame([("m1", "gone", 2), ("m1", "t1", 1)], "modelguid string, tagguid string, orderno int")
     model = load_model(metadata.scoped().add("model_tag", links), "m1")
     assert [t.name for t in model.tags] == ["customer_spend"] and "gone" in model.problems[0]
+
+
+def test_messages_are_kept_when_a_run_never_ends(spark, tmp_path):
+    log = RunLog(spark, str(tmp_path / "log"))
+    started = log.now()
+    run = log.start("m", started)
+    log.append(run, "m", started, ["a"])
+    log.append(run, "m", started, [])
+    log.append(run, "m", started, ["b", "c"])
+    row = log.runs().first()
+    assert (row["status"], row["messages"]) == ("running", '["a", "b", "c"]')
+    log.finish(run, "m", started)
+    row = log.runs().first()
+    assert (row["status"], row["messages"]) == ("failed", '["a", "b", "c"]')
+
+
+def test_path_store_frees_older_versions(spark, tmp_path):
+    store = PathStore(spark, str(tmp_path / "r"))
+    for n in range(1, 5):
+        store.publish(spark.range(n * 100))
+    assert store.read().count() == 400
+    size = lambda v: sum(f.stat().st_size for f in (tmp_path / "r" / f"v={v}").glob("*.parquet"))
+    assert size(1) < size(3) and size(2) < size(3) and spark.read.parquet(str(tmp_path / "r" / "v=3")).count() == 300
