@@ -7,9 +7,8 @@ leaves no slot empty: longer ones after one or two levels.
 
 Documents with the same shingle set form one class, and only one member of a class goes on. Bands of the signature put
 classes into buckets. Within a bucket not all pairs are compared: all members are verified against one leader per
-round, linked ones join a component, and only pairs between different components remain. These are compared as well,
-unless the distances to a common leader prove that they cannot be similar, so no link that could join two components
-is lost. Every link is verified on the whole shingle sets.
+round, linked ones join a component, and only pairs between different components remain. These are compared as well, so no
+link that could join two components is lost. Every link is verified on the whole shingle sets.
 """
 
 from __future__ import annotations
@@ -26,11 +25,13 @@ from .text import mix, shingle_hashes, signed, slices, split_words, word_hashes
 
 WIDTH = 5  # words of a shingle
 SIMILAR = 75  # percent of the union that the intersection has at least
-ROWS = 5
-BANDS = 32  # two sets of similarity 0.75 share no bucket with probability (1 - 0.75^5)^32 = 0.0002
-STAR_ROUNDS = 6
-# Star rounds go on while more cross pairs than this remain per bucket member; the rest is compared exactly.
-CROSS_PAIRS = 2
+# Two sets of similarity 0.75 share no bucket with probability (1 - 0.75^7)^60 = 0.0002; two that share a passage and have
+# a similarity of 0.3 share one with 0.013.
+ROWS = 7
+BANDS = 60
+STAR_ROUNDS = 3
+BLOCK = 256  # documents of a block, and the size from which a component is compared in blocks
+_SWAPS = 24  # levels up to which the swaps of a permutation are kept rather than the whole of it
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64(0xFFFFFFFF)
 
@@ -45,22 +46,35 @@ def signatures(elements: np.ndarray, owner: np.ndarray, n: int, slots: int) -> n
     for level in range(slots):
         if not len(state):
             break
+        if level == _SWAPS:
+            # Only small sets get this far; their permutations are kept in full from here on.
+            rows = np.arange(len(state))
+            order = np.tile(np.arange(slots, dtype=np.int16), (len(state), 1))
+            for t, (k, content) in enumerate(swaps):
+                order[rows, t], order[rows, k] = order[rows, k], content
+            swaps = []
         state = state + _GOLD
         random = mix(state)
         k = level + (((random & _LOW) * np.uint64(slots - level)) >> np.uint64(32)).astype(np.int16)
-        slot, held = k, np.full(len(k), level, np.int16)
-        for before, content in swaps:
-            slot = np.where(before == k, content, slot)
-            held = np.where(before == level, content, held)
+        if level < _SWAPS:
+            slot, held = k, np.full(len(k), level, np.int16)
+            for before, content in swaps:
+                slot = np.where(before == k, content, slot)
+                held = np.where(before == level, content, held)
+            swaps.append((k, held))
+        else:
+            slot = order[rows, k]
+            order[rows, k] = order[:, level]
         value = (random >> np.uint64(32)) | np.uint64(level << 32)
         np.minimum.at(out, owner * slots + slot, value)
-        swaps.append((k, held))
         # Later levels have greater values, so a set whose slots are all filled is finished.
         open_sets = out.reshape(n, slots).max(1) >= np.uint64((level + 1) << 32)
         left = open_sets[owner]
         if not left.all():
             state, owner = state[left], owner[left]
             swaps = [(a[left], b[left]) for a, b in swaps]
+            if level >= _SWAPS:
+                order, rows = order[left], np.arange(len(state))
     return out.reshape(n, slots)
 
 
@@ -129,6 +143,51 @@ def _compare(width: int):
     return run
 
 
+def _shingles(width: int):
+    """All shingles of every text, with the size of its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches):
+            sets = shingle_sets(piece["text"].cast(pa.binary()).to_pylist(), width)
+            sizes = np.array([len(s) for s in sets], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(piece["b"].to_numpy(), sizes)),
+                    pa.array(np.repeat(sizes, sizes)),
+                    pa.array(signed(np.concatenate(sets))),
+                ],
+                ["rep", "n", "shingle"],
+            )
+
+    return run
+
+
+def _links_in_block(similar: int):
+    """Linked pairs between two blocks of documents, each with its size and the shingles it has in common with others."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        sets = right["shared"].to_pylist()
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        flat = np.array([h for x in sets for h in x], np.int64)
+        order = np.argsort(flat)
+        flat, owner = flat[order], owner[order]
+        sizes, names = right["n"].to_numpy(), right["rep"].to_numpy()
+        out = []
+        for rep, n, own in zip(left["rep"].to_pylist(), left["n"].to_pylist(), left["shared"].to_pylist()):
+            own = np.array(own, np.int64)
+            low, high = np.searchsorted(flat, own, "left"), np.searchsorted(flat, own, "right")
+            times = high - low
+            at = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(int(times.sum()))
+            both = np.bincount(owner[at], minlength=len(sets))
+            either = n + sizes - both
+            for k in np.flatnonzero(100 * both >= similar * either).tolist():
+                out.append((rep, int(names[k]), int(both[k]), int(either[k])))
+        columns = [pa.array([r[k] for r in out], pa.int64()) for k in range(4)]
+        return pa.Table.from_arrays(columns, ["a", "b", "n_both", "n_either"])
+
+    return run
+
+
 class _Scratch:
     """Written tables of one call; all but the result are emptied at the end."""
 
@@ -217,22 +276,17 @@ def near_duplicates(
 
     for turn in range(STAR_ROUNDS):
         now = scratch.keep(labelled(), "labelled")
-        # Per bucket the number of pairs in different components, from sums over components.
+        # Per bucket its largest component, and a random member of that as the leader of this round.
         parts = now.groupBy("bucket", "component").agg(
             F.count("rep").alias("k"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep")).alias("lead")
         )
         buckets = parts.groupBy("bucket").agg(
-            F.sum("k").alias("members"),
-            (F.sum("k") * F.sum("k") - F.sum(F.col("k") * F.col("k"))).alias("cross"),
+            F.count("k").alias("n_parts"),
             F.max(F.struct("k", "component")).getField("component").alias("largest"),
             F.max(F.struct("k", "component", "lead")).getField("lead").getField("rep").alias("lead"),
         )
-        mixed = scratch.keep(buckets.where("cross > 0"), "mixed")
-        open_pairs = mixed.agg(F.sum("cross"), F.sum("members")).first()
-        if not open_pairs[0]:
-            break
-        last = turn and open_pairs[0] <= 2 * CROSS_PAIRS * open_pairs[1]
-        if last or turn == STAR_ROUNDS - 1:
+        mixed = scratch.keep(buckets.where("n_parts > 1"), "mixed")
+        if mixed.isEmpty():
             break
         pairs = (
             now.join(mixed.select("bucket", "lead", "largest"), "bucket")
@@ -249,31 +303,75 @@ def near_duplicates(
         labels = components(tested.where(linked), scratch)
 
     if tested is not None:
-        now = scratch.keep(labelled(), "labelled")
-        parts = now.groupBy("bucket", "component").agg(F.count("rep").alias("k"))
-        mixed = parts.groupBy("bucket").agg(F.max(F.struct("k", "component")).getField("component").alias("largest"), F.count("k").alias("n_parts"))
-        both = now.join(mixed.where("n_parts > 1").select("bucket", "largest"), "bucket")
-        other = both.where("component <> largest").select("bucket", F.col("rep").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_part"))
-        # Pairs that touch a part other than the bucket's largest one, each once; their sizes must allow the similarity.
+        # Documents of buckets that still hold several components. Of a similar pair, each has most of its shingles in
+        # other documents too, and they share one of the rarest of these: only such pairs are left. Passages that many
+        # documents have in common make none.
+        now = labelled()
+        mixed = now.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+        left = now.join(mixed.select("bucket"), "bucket", "left_semi").select("rep", "component").distinct()
+        left = scratch.keep(left, "left")
+        bodies = texts.join(left.select(F.col("rep").alias("b")), "b", "left_semi")
+        own = scratch.keep(bodies.mapInArrow(_shingles(WIDTH), "rep bigint, n bigint, shingle bigint"), "shingles")
+        often = own.groupBy("shingle").agg(F.count("rep").alias("times")).where("times > 1")
+        sets = (
+            own.join(often, "shingle")
+            .groupBy("rep", "n")
+            .agg(F.sort_array(F.collect_list(F.struct("times", "shingle"))).alias("shared"))
+            .withColumn("s", F.size("shared"))
+            .withColumn("need", F.ceil(F.col("n") * similar / 100).cast("int"))
+            .where("s >= need")
+            .select("rep", "n", "s", "need", F.col("shared.shingle").alias("shared"))
+            .join(left, "rep")
+        )
+        sets = scratch.keep(sets, "sets")
+        rare = sets.select("rep", "n", "s", "component", F.explode(F.expr("slice(shared, 1, s - need + 1)")).alias("shingle"))
+        rare = scratch.keep(rare, "rare")
+        parts = rare.groupBy("shingle", "component").agg(F.count("rep").alias("k"))
+        several = parts.groupBy("shingle").agg(
+            F.max(F.struct("k", "component")).getField("component").alias("largest"), F.count("k").alias("n_parts")
+        )
+        large = scratch.keep(
+            left.groupBy(F.col("component").alias("largest")).agg(F.count("rep").alias("size")).where(F.col("size") >= BLOCK), "large"
+        )
+        several = several.where("n_parts > 1").join(large.withColumn("big", F.lit(True)), "largest", "left")
+        both = scratch.keep(rare.join(several.select("shingle", "largest", "big"), "shingle"), "both")
+        other = both.where("component <> largest").select(
+            "shingle",
+            F.col("rep").alias("a"),
+            F.col("n").alias("a_n"),
+            F.col("s").alias("a_s"),
+            F.col("component").alias("a_part"),
+        )
+        # A document outside a large component is compared with all of it, block by block; rows of this are only the
+        # documents repeated for every block of the other side.
+        against = both.where("big and component <> largest").select("rep", "largest").distinct()
+        asked = against.groupBy("largest").agg(F.count("rep").alias("asks")).join(large, "largest")
+        blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+        of = lambda n: F.pmod(F.xxhash64("rep"), blocks(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+        data = ("largest", "x", "y", "rep", "n", "shared")
+        one = against.join(asked, "largest").join(sets.drop("component"), "rep").withColumn("x", of("asks"))
+        two = sets.withColumnRenamed("component", "largest").join(asked, "largest").withColumn("y", of("size"))
+        grouped = [
+            df.select(*(F.col(c).alias(c) for c in data)).groupBy("largest", "x", "y")
+            for df in (one.withColumn("y", every("size")), two.withColumn("x", every("asks")))
+        ]
+        blocked = grouped[0].cogroup(grouped[1]).applyInArrow(
+            _links_in_block(similar), "a bigint, b bigint, n_both bigint, n_either bigint"
+        )
+        blocked = scratch.keep(blocked, "blocked")
+        # Pairs at shingles without a large component, and pairs that touch neither it nor each other's component, each
+        # once, whose sizes and shared shingles allow the similarity.
         rest = (
-            other.join(both, "bucket")
-            .where("a_part <> component and (component = largest or a < rep)")
-            .where(f"100 * least(a_n, n) >= {similar} * greatest(a_n, n)")
+            other.join(both, "shingle")
+            .where("a_part <> component and ((component = largest and big is null) or (component <> largest and a < rep))")
+            .where(f"{100 + similar} * least(a_s, s) >= {similar} * (a_n + n)")
             .select("a", F.col("rep").alias("b"))
             .distinct()
         )
         known = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        rest = scratch.keep(rest.join(known, ["a", "b"], "left_anti"), "rest")
-        # Distances are a metric: with a common leader c, d(a, b) >= |d(a, c) - d(b, c)|.
-        far = lambda name: tested.select(F.col("a").alias("c"), F.col("b").alias(name), (1 - F.col("n_both") / F.col("n_either")).alias(f"d_{name}"))
-        apart = (
-            rest.join(far("a"), "a").join(far("b"), ["c", "b"])
-            .where(F.abs(F.col("d_a") - F.col("d_b")) > 1 - similar / 100 + 1e-9)
-            .select("a", "b").distinct()
-        )
-        new = scratch.keep(verified(rest.join(apart, ["a", "b"], "left_anti")), "verified")
-        links = tested.unionByName(new).where(linked)
-        labels = components(links, scratch)
+        new = scratch.keep(verified(rest.join(known, ["a", "b"], "left_anti")), "verified")
+        labels = components(tested.unionByName(new).unionByName(blocked).where(linked), scratch)
     leads = classes.select("f1", "f2", "rep")
     if labels is not None:
         named = labels.withColumnRenamed("node", "rep")

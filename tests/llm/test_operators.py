@@ -267,7 +267,9 @@ def brute_components(texts):
     return {(k, len(sets[k]), lead[k], lead[k] == k) for k in range(len(texts))}
 
 
-def test_near_duplicates_equal_brute_force(spark, make_docs):
+@pytest.mark.parametrize("block", [8, neardup.BLOCK])  # a small one has the large components compared in blocks
+def test_near_duplicates_equal_brute_force(spark, make_docs, monkeypatch, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rng = random.Random(4)
     base = [f"w{rng.randint(0, 900)}" for _ in range(120)]
     texts = [*ODD, "a b", "A B", "a B c"]
@@ -280,6 +282,11 @@ def test_near_duplicates_equal_brute_force(spark, make_docs):
     texts += [" ".join(chain[k : k + 150]) for k in range(0, 50, 5)]
     texts += [" ".join(f"u{rng.randint(0, 10**6)}" for _ in range(30)) for _ in range(20)]
     texts += [" ".join(base), " ".join(base).upper()]
+    for _ in range(12):  # too far from most copies
+        own = base[:]
+        for _ in range(9):
+            own[rng.randrange(len(own))] = f"z{rng.randint(0, 10**6)}"
+        texts.append(" ".join(own))
     got = {tuple(r) for r in neardup.near_duplicates(clashing(make_docs(texts))).collect()}
     assert got == brute_components(texts)
 
