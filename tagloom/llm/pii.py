@@ -1,7 +1,8 @@
 """Personal data by weak supervision: labelers vote on candidate spans, EM weighs them, a classifier decides.
 
 Four kinds have a fixed definition (``base_spans``) and are always reported. Around them the method looks at
-candidates the definitions leave out: credentials, and numbers shaped like phone or identity numbers. Regex, gazetteer
+candidates the definitions leave out: credentials, and numbers shaped like phone or identity numbers or beside a word
+for them, wherever they stand in a list of numbers. Regex, gazetteer
 and context labelers vote yes, no or nothing on each; expectation-maximisation over the counts of vote patterns gives
 every labeler's reliability and every pattern a probability; these soft labels train a naive Bayes classifier
 over span features, which decides. All texts take part in the counts, and only counts of votes and features, both of
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -106,6 +108,14 @@ _TEL_SHAPE = re.compile(r"(?:1[ .-])?\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}")
 _ID_SHAPE = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
 _TOKEN_END = re.compile(r"[\s\"'`,;|<>()\[\]{}]")
 _SEPARATOR = re.compile(r"[=:\"' ]+\Z")
+# Values beside a word of the gazetteer, and those that look like a credential by themselves.
+_NAMED = re.compile(rf"(?:{'|'.join(_SECRET_WORDS)})[=:\"' ]+([^\s\"'`,;|<>()\[\]{{}}]+)", re.I | re.A)
+_SHAPED = re.compile(
+    rf"(?<![0-9A-Za-z_-])(?:(?:{'|'.join(_SECRET_PREFIXES)})[^\s\"'`,;|<>()\[\]{{}}]+|(?:{_SECRET_SHAPES.pattern})(?![0-9A-Za-z_-]))"
+)
+# Numbers of a telephone's or identity number's shape, also where other numbers stand beside them.
+_NUMBER_SHAPES = re.compile(rf"(?<![0-9])(?:{_ID_SHAPE.pattern}|{_TEL_SHAPE.pattern})(?![0-9])")
+_FIELD = re.compile(r"[0-9(][0-9.()-]*")
 
 
 @dataclass(frozen=True)
@@ -129,18 +139,23 @@ def _token(text: str, start: int, end: int) -> tuple[int, int]:
     return start, stop.start() if stop else len(text)
 
 
-def _secret(text: str, start: int, end: int) -> Candidate | None:
-    cut = max(text.rfind("=", start, end - 8), text.rfind(":", start, end - 8)) + 1
-    value_start = cut if cut > start else start
+def _secret(text: str, start: int, value_start: int, end: int) -> Candidate | None:
+    """The value from ``value_start`` in the token from ``start``; away from secret words it needs length, digits and letters."""
     value = text[value_start:end].rstrip(".!?")
     end = value_start + len(value)
     digits = len(_DIGIT.findall(value))
     letters = sum(c.isalpha() for c in value)
-    if len(value) < 12 or not digits or not letters or "@" in value or "://" in value:
+    if not digits and not letters:
         return None
     named = text[start:value_start].rstrip("=:").lower()
-    before = _SEPARATOR.sub("", text[max(0, value_start - 40) : value_start]).lower()
+    gap = text[max(0, value_start - 40) : value_start]
+    separator = _SEPARATOR.search(gap)
+    assigned = separator is not None and any(c in "=:" for c in separator.group())
+    before = _SEPARATOR.sub("", gap).lower()
     cue = next((w for w in _SECRET_WORDS if before.endswith(w)), "")
+    known = bool(_SECRET_SHAPES.fullmatch(value)) or value.startswith(_SECRET_PREFIXES)
+    if not cue and not known and (len(value) < 12 or not digits or not letters or "@" in value or "://" in value):
+        return None
     share = digits / len(value)
     even = len(set(value)) / min(len(value), 16)
     case = "upper" if value.upper() == value else "lower" if value.lower() == value else "mixed"
@@ -148,61 +163,125 @@ def _secret(text: str, start: int, end: int) -> Candidate | None:
     votes = (
         _vote(bool(_SECRET_SHAPES.fullmatch(value)))
         + _vote(value.startswith(_SECRET_PREFIXES) or any(w in named for w in _SECRET_WORDS))
-        + _vote(bool(cue))
+        + _vote(bool(cue) and (assigned or digits > 0))
         + _vote(0.1 <= share <= 0.85 and even >= 0.5 and plain, not plain or share < 0.1)
         + _vote(False, not value.isascii())
+        + _vote(bool(cue) and assigned, bool(cue) and not assigned and not digits)
     )
-    size = "12-15" if len(value) < 16 else "16-31" if len(value) < 32 else "32+"
+    size = "1-11" if len(value) < 12 else "12-15" if len(value) < 16 else "16-31" if len(value) < 32 else "32+"
     return Candidate(
         "secret", value_start, end, votes, (f"size={size}", f"digits={round(share * 4)}", f"case={case}", f"plain={plain}")
     )
 
 
-def _number(text: str, start: int, end: int) -> Candidate | None:
+def _number(text: str, start: int, end: int, run: int) -> Candidate | None:
+    """The number in a stretch of the run of numbers that begins at ``run``; a word before the run stands for all its numbers."""
     value = text[start:end].rstrip(" .(-")
+    lead = len(value) - len(value.lstrip(" .)-"))
+    start, value = start + lead, value[lead:]
     if start and text[start - 1] == "(" and ")" in value:
         start, value = start - 1, "(" + value
     elif ")" in value and "(" not in value:
         value = value.split(")")[0]
     digits = len(_DIGIT.findall(value))
-    if not 9 <= digits <= 12 or value.isdigit() or _DOTTED.fullmatch(value):
+    if not digits:
+        return None
+    before = f"{text[max(0, run - 24) : run]} {text[max(0, start - 24) : start]}".lower()
+    cued = [any(w in before for w in words) for words in (_PHONE_WORDS, _ID_WORDS)]
+    shapes = bool(_TEL_SHAPE.fullmatch(value)), bool(_ID_SHAPE.fullmatch(value))
+    if not any(shapes) and not any(cued) and (not 9 <= digits <= 12 or _DOTTED.fullmatch(value)):
         return None
-    kind = "id" if _ID_SHAPE.fullmatch(value) else "tel"
-    before = text[max(0, start - 24) : start].lower()
-    cues = _ID_WORDS if kind == "id" else _PHONE_WORDS
+    kind = "id" if shapes[1] or not shapes[0] and cued[1] and not cued[0] else "tel"
     votes = (
-        _vote(bool((_ID_SHAPE if kind == "id" else _TEL_SHAPE).fullmatch(value)))
+        _vote(shapes[kind == "id"])
         + _vote(kind == "tel" and value.lstrip("(").startswith(("800", "888", "877", "555")))
-        + _vote(any(w in before for w in cues), any(w in before for w in _NUMBER_WORDS))
+        + _vote(cued[kind == "id"] and 7 <= digits <= 15, any(w in before for w in _NUMBER_WORDS))
         + _vote(False, value.count(" ") > 3 or value.count(".") > 3)
         + _vote(False, start > 0 and text[start - 1].isalnum())
+        + _vote(cued[kind == "id"] and digits in ((9,) if kind == "id" else (7, 10, 11, 12)), not 7 <= digits <= 15)
     )
-    marks = "".join(sorted(set(value) - set("0123456789")))
+    marks = "".join(sorted(set(value) - set("0123456789"))).replace(" ", "_")
     return Candidate(kind, start, start + len(value), votes, (f"digits={digits}", f"marks={marks}"))
 
 
+def _without(start: int, end: int, cut: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What is left of a stretch without the stretches in ``cut``, which are sorted by their starts."""
+    for a, b in cut[max(0, bisect_left(cut, (start, 0)) - 1) :]:
+        if a >= end:
+            break
+        if b > start:
+            if a > start:
+                yield start, a
+            start = b
+    if start < end:
+        yield start, end
+
+
+def _merged(spans: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for start, _, end in spans:
+        if out and start < out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], end)
+        else:
+            out.append((start, end))
+    return out
+
+
 def candidates(text: str, spans: list[tuple[int, str, int]], runs: list[tuple[int, int]]) -> list[Candidate]:
-    """Candidate spans that overlap neither each other nor a base span, by start."""
-    found: list[Candidate] = []
-    taken = iter(spans)
-    span = next(taken, None)
-    done = 0
+    """All candidates outside the base spans, by start. They may overlap each other: the classifier decides between them.
+
+    Secrets are the values beside a secret word, those of a credential's shape and the tokens around digits; numbers are
+    those of a known shape inside a run, what is left of the run between them, and the single fields of that.
+    """
+    base = _merged(spans)
+    found: dict[tuple[str, int, int], Candidate] = {}
+
+    def keep(one: Candidate | None) -> None:
+        if one:
+            found.setdefault((one.kind, one.start, one.end), one)
+
+    beside: list[tuple[int, int]] = []
+    for pattern, group in ((_NAMED, 1), (_SHAPED, 0)):
+        for m in pattern.finditer(text):
+            beside.append(m.span(group))
+            first = _token(text, *m.span(group))[0]
+            for a, b in _without(*m.span(group), base):
+                keep(_secret(text, first, a, b))
+    beside = _merged([(a, "", b) for a, b in sorted(beside)])
+    seen = 0  # end of the last token taken, as many runs may lie in one
     for start, end in runs:
-        if start < done:
-            continue
-        while span and span[2] <= start:
-            done = max(done, span[2])
-            span = next(taken, None)
-        if span and span[0] < end:
-            continue
-        first, last = _token(text, start, end if end - start < 2 else start + 1)
-        one = _secret(text, max(first, done), last) if last - first >= 12 else None
-        if one is None and end - start >= 9:
-            one = _number(text, start, end)
-        if one and one.start >= done and not (span and span[0] < one.end):
-            found.append(one)
-            done = one.end
-    return found
+        if start >= seen:
+            first, last = _token(text, start, end if end - start < 2 else start + 1)
+            seen = last
+            if last - first >= 12:
+                for a, b in _without(first, last, base):
+                    for c, d in _without(a, b, beside):
+                        cut = max(text.rfind("=", c, d - 8), text.rfind(":", c, d - 8)) + 1
+                        keep(_secret(text, first, max(c, cut), d))
+        for a, b in _without(start, end, base):
+            if a == start and a and text[a - 1] == "(":
+                a -= 1
+            shaped = [m.span() for m in _NUMBER_SHAPES.finditer(text, a, b)]
+            for c, d in shaped:
+                keep(_number(text, c, d, start))
+            for c, d in _without(a, b, shaped):
+                keep(_number(text, c, d, start))
+                for m in _FIELD.finditer(text, c, d):
+                    keep(_number(text, *m.span(), start))
+    return sorted(found.values(), key=lambda c: (c.start, KINDS.index(c.kind), c.end))
+
+
+def additions(text: str, spans: list[tuple[int, str, int]], runs: list[tuple[int, int]], model: Model) -> list[tuple[int, str, int]]:
+    """Spans of the candidates that the classifier takes; of those that overlap the most probable, then the longest."""
+    rated = [(model.probability(c), c) for c in candidates(text, spans, runs)]
+    likely = sorted((-p, c.start - c.end, c.start, KINDS.index(c.kind)) for p, c in rated if p >= THRESHOLD)
+    out: list[tuple[int, str, int]] = []
+    for _, size, start, kind in likely:
+        k = bisect_left(out, (start, "", 0))
+        end = start - size
+        if (not k or out[k - 1][2] <= start) and (k == len(out) or end <= out[k][0]):
+            out.insert(k, (start, KINDS[kind], end))
+    return out
 
 
 @dataclass(frozen=True)
@@ -302,9 +381,7 @@ def annotate(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for body in piece["text"].to_pylist():
             spans, runs = base_spans(body) if body else ([], [])
             base.append([{"kind": k, "start": s, "end": e} for s, k, e in spans])
-            more = [
-                (c.start, c.kind, c.end) for c in candidates(body, spans, runs) if model.probability(c) >= THRESHOLD
-            ] if runs else []
+            more = additions(body, spans, runs, model) if body else []
             if more:
                 spans = sorted(spans + more, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
             whole.append([{"kind": k, "start": s, "end": e} for s, k, e in spans])
@@ -334,9 +411,8 @@ def masked(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         out = []
         for body in piece["text"].to_pylist():
             spans, runs = base_spans(body) if body else ([], [])
-            if runs:
-                more = [c for c in candidates(body, spans, runs) if model.probability(c) >= THRESHOLD]
-                spans = sorted(spans + [(c.start, c.kind, c.end) for c in more])
+            if body:
+                spans = sorted(spans + additions(body, spans, runs, model))
             out.append(mask_text(body, [{"kind": k, "start": s, "end": e} for s, k, e in spans]))
         return [pa.array(out, pa.string())]
 

@@ -133,6 +133,28 @@ def test_personal_data_adds_credentials_and_masks(spark, make_docs):
     assert pii.annotate(empty, pii.fit(empty)).collect() == []
 
 
+def test_numbers_beside_numbers_and_named_values_are_found(spark, make_docs):
+    found = {
+        "SSN 123-45-6789 555-123-4567": [("id", "123-45-6789"), ("tel", "555-123-4567")],
+        "Call 555-123-4567. 2024 was": [("tel", "555-123-4567")],
+        "555-123-4567 192.168.0.1": [("tel", "555-123-4567"), ("ip", "192.168.0.1")],
+        "ssn 123456789": [("id", "123456789")],
+        "call 4155550123 4155550199 4155550200 now": [("tel", n) for n in ("4155550123", "4155550199", "4155550200")],
+        "phone 415.555.0123": [("tel", "415.555.0123")],
+        "password: hunter2": [("secret", "hunter2")],
+        "password: letmein": [("secret", "letmein")],
+        "the token of page 12 and 3.4": [],
+    }
+    found |= {f"contact {k} of them": [] for k in range(40)}
+    docs = make_docs(list(found))
+    model = pii.fit(docs)
+    masked = {r.doc_id: r.text for r in pii.masked(docs, model).collect()}
+    for r in pii.annotate(docs, model).collect():
+        text, want = list(found.items())[r.doc_id]
+        assert [(s.kind, text[s.start : s.end]) for s in r.spans] == want, text
+        assert not any(value in masked[r.doc_id] for _, value in want)
+
+
 # language identification
 
 
