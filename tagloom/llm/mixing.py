@@ -9,9 +9,11 @@ table of (id, tokens, probabilities), and a document's rate is a column expressi
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Mapping
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +22,11 @@ from .text import let
 
 TRAIN_ROWS = 20_000  # labelled documents, the bound of the training sample
 WORDS = 96  # words taken as features, those that tell the domains apart best
-ROUNDS = 40
-CLOSE = 1e-3
+ROUNDS = 80  # of descent; what is still off then is left to Newton's method
+STRETCH = 20  # rounds of descent between rewriting the rates
+TRIALS = 60  # of Newton's method; what is off target after them is reported
+PENALTY = 1e8
+CLOSE = 1e-3  # of each domain's own target
 SHAPES = ("size", "symbols", "capitals", "marks", "lines")
 TARGETS = {"clean": 0.92, "low": 0.07, "toxic": 0.01}
 
@@ -149,35 +154,112 @@ class Fit:
     rate: Column
     reached: dict[str, float]
     rounds: int
+    missed: dict[str, float]  # reached minus wanted of the domains that are off target
 
 
 def fit_rates(members: DataFrame, names: tuple[str, ...], targets: Mapping[str, float], rounds: int = ROUNDS) -> Fit:
     """Nonnegative rates whose expected domain totals are closest to ``targets`` (tokens by domain).
 
-    ``members`` has ``n_tokens`` and ``p``. Starts from rate 1. Domains without expected tokens cannot be reached and are
-    left out, as are targets for unknown domains; a domain without a target gets 0.
+    ``members`` has ``n_tokens`` and ``p``. Starts from rate 1 and goes on until every domain is within ``CLOSE`` of its own
+    target (a target of 0: of nothing), by Newton's method where ``rounds`` of descent do not suffice; what is still
+    missed, as where no nonnegative rates reach it, is warned of and returned. Domains without expected tokens cannot be reached and only count as missed;
+    targets for unknown domains are left out; a domain without a target gets 0.
     """
     if not names:
-        return Fit(F.lit(1.0), {}, 0)
+        return Fit(F.lit(1.0), {}, 0, {})
     n, p = F.col("n_tokens"), [F.get("p", F.lit(k)) for k in range(len(names))]
     size = range(len(names))
-    first = members.agg(*(F.sum(n * p[i] * p[j]).alias(f"g{i}_{j}") for i in size for j in size if i <= j)).first()
+    grams = [F.sum(n * p[i] * p[j]).alias(f"g{i}_{j}") for i in size for j in size if i <= j]
+    first = members.agg(*grams, *(F.sum(n * p[k]).alias(f"n{k}") for k in size)).first()
     gram = [[first[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in size] for i in size]
     want = [float(targets.get(name, 0.0)) for name in names]
     scale = [1 / gram[k][k] if gram[k][k] > 0 else 0.0 for k in size]
     step = 1 / max(_largest([[math.sqrt(scale[i] * scale[j]) * gram[i][j] for j in size] for i in size]), 1e-300)
-    rate = F.lit(1.0)
-    reached = [0.0] * len(names)
-    done = 0
-    for done in range(rounds + 1):
-        sums = members.agg(*(F.sum(n * rate * p[k]).alias(f"e{k}") for k in size)).first()
+    floor = CLOSE * CLOSE * sum(first[f"n{k}"] or 0.0 for k in size)
+    close = [max(CLOSE * w, floor if w == 0 else 0.0) for w in want]
+    now, rate = members, F.lit(1.0)
+    moves: list[list[float]] = []
+    while True:
+        sums = now.agg(*(F.sum(n * rate * p[k]).alias(f"e{k}") for k in size)).first()
         reached = [x or 0.0 for x in sums]
-        off = [scale[k] * (reached[k] - want[k]) for k in size]
-        if done == rounds or all(abs(reached[k] - want[k]) <= CLOSE * max(want) for k in size if scale[k]):
+        gap = [reached[k] - want[k] for k in size]
+        met = all(abs(gap[k]) <= close[k] for k in size if scale[k])
+        if len(moves) == rounds or met:
+            break
+        if moves and len(moves) % STRETCH == 0:
+            # The rates so far become a column, so that expressions stay short.
+            now, rate = written(now.select("n_tokens", "p", rate.alias("__rate")), "mixing-rates"), F.col("__rate")
+        moves.append([step * scale[k] * gap[k] for k in size])
+        rate = F.greatest(F.lit(0.0), rate - sum((p[k] * moves[-1][k] for k in size), F.lit(0.0)))
+    rate = F.lit(1.0)
+    if moves:
+        each = F.array(*(F.array(*map(F.lit, m)) for m in moves))
+        step_of = lambda r, m: F.greatest(F.lit(0.0), r - sum((p[k] * F.get(m, F.lit(k)) for k in size), F.lit(0.0)))
+        rate = F.aggregate(each, rate, step_of)
+    if not met:
+        nearest = sum(scale[k] * gap[k] ** 2 for k in size)
+        other, found = _newton(members, want, close, scale)
+        if sum(scale[k] * (found[k] - want[k]) ** 2 for k in size) < nearest:
+            rate, reached, gap = other, found, [found[k] - want[k] for k in size]
+    missed = {names[k]: gap[k] for k in size if abs(gap[k]) > close[k]}
+    if missed:
+        warnings.warn(f"mixing misses its targets, in tokens: {missed}", stacklevel=2)
+    return Fit(rate, dict(zip(names, reached)), len(moves), missed)
+
+
+def _newton(members: DataFrame, want: list[float], close: list[float], scale: list[float]) -> tuple[Column, list[float]]:
+    """Rates ``max(0, 1 - l p)`` that meet the targets with the least change from 1, and the totals they give.
+
+    Newton's method on the dual, with step halving; a trial is one aggregation. A large penalty in place of equality gives
+    the nearest totals where the targets cannot be met.
+    """
+    use = [k for k in range(len(want)) if scale[k] > 0]
+    n, p = F.col("n_tokens"), [F.get("p", F.lit(k)) for k in range(len(want))]
+
+    def rate_of(dual: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), F.lit(1.0) - sum((p[k] * float(x) for k, x in zip(use, dual)), F.lit(0.0)))
+
+    def trial(dual: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, list[float]]:
+        rate = F.col("__rate")
+        rows = members.select("n_tokens", "p", rate_of(dual).alias("__rate"))
+        active = F.when(rate > 0, n).otherwise(0)
+        pairs = [(i, j) for i in use for j in use if i <= j]
+        row = rows.agg(
+            F.sum(n * rate * rate),
+            *(F.sum(n * rate * x) for x in p),
+            *(F.sum(active * p[i] * p[j]) for i, j in pairs),
+        ).first()
+        values = [x or 0.0 for x in row]
+        totals = values[1 : 1 + len(p)]
+        gram = np.zeros((len(want), len(want)))
+        for (i, j), x in zip(pairs, values[1 + len(p) :]):
+            gram[i, j] = gram[j, i] = x
+        soft = np.array([1 / (PENALTY * scale[k]) for k in use])
+        aim = np.array([want[k] for k in use])
+        value = values[0] / 2 + float(dual @ aim + (soft * dual * dual).sum() / 2)
+        slope = aim - np.array([totals[k] for k in use]) + soft * dual
+        return value, slope, gram[np.ix_(use, use)] + np.diag(soft), totals
+
+    dual = np.zeros(len(use))
+    value, slope, bend, totals = trial(dual)
+    trials = 1
+    while trials < TRIALS and any(abs(totals[k] - want[k]) > close[k] for k in use):
+        size = np.sqrt(np.diag(bend))
+        move = -np.linalg.lstsq(bend / np.outer(size, size), slope / size, rcond=None)[0] / size
+        part = 1.0
+        while trials < TRIALS:
+            new = trial(dual + part * move)
+            trials += 1
+            if new[0] <= value + 1e-4 * part * float(slope @ move):
+                break
+            part /= 2
+        else:
+            break
+        if value - new[0] <= 1e-15 * abs(value):
+            dual, totals = dual + part * move, new[3]
             break
-        move = sum((p[k] * (step * off[k]) for k in size), F.lit(0.0))
-        rate = F.greatest(F.lit(0.0), rate - move)
-    return Fit(rate, dict(zip(names, reached)), done)
+        dual, (value, slope, bend, totals) = dual + part * move, new
+    return rate_of(dual), totals
 
 
 def mix(docs: DataFrame, labels: DataFrame, shares: Mapping[str, float] = TARGETS, total: float = 0.8) -> DataFrame:

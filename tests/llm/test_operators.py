@@ -498,6 +498,26 @@ def test_rates_reach_targets_and_equal_plain_descent(spark):
     assert np.allclose(plain, rate)
 
 
+def test_rates_reach_small_targets_and_tell_what_they_miss(spark):
+    # 0.05 % of the tokens are toxic and the clean total is right from the start.
+    rows = [(k, 100, [1.0, 0.0]) for k in range(1999)] + [(1999, 100, [0.0, 1.0])]
+    members = spark.createDataFrame(rows, "doc_id long, n_tokens long, p array<double>")
+    fit = mixing.fit_rates(members, ("clean", "toxic"), {"clean": 199_900, "toxic": 5})
+    assert not fit.missed and math.isclose(fit.reached["toxic"], 5, rel_tol=mixing.CLOSE)
+    assert math.isclose(members.where("doc_id = 1999").select(fit.rate).first()[0], 0.05, rel_tol=mixing.CLOSE)
+    # Too few rounds of descent leave the rest to Newton's method.
+    rng = np.random.default_rng(2)
+    p = rng.dirichlet([4.0, 1.0, 0.2], 300)
+    members = spark.createDataFrame([(k, 50, p[k].tolist()) for k in range(300)], "doc_id long, n_tokens long, p array<double>")
+    want = dict(zip("abc", 50 * np.array([0.6, 0.5, 0.4]) @ np.diag(p.sum(0))))
+    fit = mixing.fit_rates(members, ("a", "b", "c"), want, rounds=2)
+    rate = np.array([r.rate for r in members.withColumn("rate", fit.rate).orderBy("doc_id").collect()])
+    assert (rate >= 0).all() and not fit.missed and np.allclose((rate * 50) @ p, list(want.values()), rtol=1.01 * mixing.CLOSE)
+    with pytest.warns(UserWarning, match="misses"):
+        impossible = mixing.fit_rates(members.limit(1), ("a", "b", "c"), {"a": 0, "b": 0, "c": 50.0})
+    assert impossible.missed
+
+
 def test_mixing_of_documents(spark, make_docs):
     texts = ["good words here and there " * 9] * 20 + ["awful stupid words " * 9] * 20 + [None, "", "### $$$ %%%"]
     docs = clashing(make_docs(texts))
