@@ -1,5 +1,6 @@
 """The SQL that results must equal, for the operators that SQL can express."""
 
+from . import clusters
 from .packing import BUCKETS, BUDGET, MAX_LEN
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -121,4 +122,96 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS
 FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN own USING (doc_id) LEFT JOIN part USING (rep)
 """
 
-ORACLE_SQL = {"op6_near_duplicates": NEAR_DUPLICATES, "op1_packing": PACKING, "op4_topk": TOPK, "op10_quality": QUALITY}
+LINE_DEDUP = r"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents),
+lines AS (SELECT doc_id, i, s[i] AS line FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM split)),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+),
+shared AS (
+  SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+),
+judged AS (SELECT k.*, coalesce(k.doc_id <> first, false) AS gone FROM keyed k LEFT JOIN shared USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+FILL_IN_MIDDLE = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id) AS h,
+    regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u
+  FROM documents
+),
+drawn AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM docs
+),
+cut AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100
+      THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM drawn
+),
+parts AS (
+  SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s
+  FROM cut
+)
+SELECT doc_id, n::BIGINT AS n, form,
+  CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+def _clusters(count: int, dimensions: int, rounds: int, scale: int, seed: int) -> str:
+    """Every round as a table of distances, of nearest centroids, and of moved centroids."""
+    steps = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, [CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e
+  FROM embeddings WHERE len(embedding) = {dimensions} AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+)""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS cluster, e AS c FROM v
+  ORDER BY sha256('{seed}:' || vec_id) LIMIT {count}
+)""",
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+  SELECT r, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS d FROM (
+    SELECT r, cluster, list_sum([(e[i] - c[i]) * (e[i] - c[i]) FOR i IN range(1, {dimensions + 1})])::BIGINT AS d
+    FROM v, c{k}) GROUP BY r
+)""")
+        if k < rounds:
+            steps.append(f"""s{k} AS (
+  SELECT cluster, i, sum(x)::BIGINT AS s, count(*) AS n FROM (
+    SELECT cluster, unnest(e) AS x, unnest(range(1, {dimensions + 1})) AS i FROM v JOIN a{k} USING (r)) GROUP BY cluster, i
+)""")
+            steps.append(f"""c{k + 1} AS MATERIALIZED (
+  SELECT cluster, coalesce(m, c) AS c FROM c{k} LEFT JOIN (
+    SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS m FROM s{k} GROUP BY cluster) USING (cluster)
+)""")
+    return f"""
+WITH {", ".join(steps)}
+SELECT vec_id, a.cluster::INT AS cluster, d AS distance, (sum(d) OVER (PARTITION BY a.cluster))::BIGINT AS cluster_inertia,
+  (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN v USING (r) JOIN c{rounds} f ON f.cluster = a.cluster
+"""
+
+
+CLUSTERS = _clusters(clusters.CENTROIDS, clusters.DIMENSIONS, clusters.ROUNDS, clusters.SCALE, clusters.SEED)
+
+ORACLE_SQL = {
+    "op6_near_duplicates": NEAR_DUPLICATES,
+    "op1_packing": PACKING,
+    "op4_topk": TOPK,
+    "op10_quality": QUALITY,
+    "op11_line_dedup": LINE_DEDUP,
+    "op12_fill_in_middle": FILL_IN_MIDDLE,
+    "op13_clusters": CLUSTERS,
+}

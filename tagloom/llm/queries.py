@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, lm, mixing, neardup, packing, pii, quality, sequences, topk
+from . import (
+    clusters,
+    fim,
+    langid,
+    licenses,
+    linededup,
+    lm,
+    mixing,
+    neardup,
+    packing,
+    pii,
+    quality,
+    sequences,
+    topk,
+)
 from .oracle import ORACLE_SQL
 from .text import crc, table
 
@@ -89,9 +103,46 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    rows = linededup.drop_lines(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    rows = fim.fill_in_middle(table(spark, folder, "documents").select("doc_id", "text"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return rows.select(
+        "doc_id",
+        "n",
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        digest(F.col("output")).alias("output_sha256"),
+        digest(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"),
+    )
+
+
+def op13_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters.cluster(table(spark, folder, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_packing, op2_pii, op3_language, op4_topk, op5_sequences, op6_near_duplicates, op7_language_model, op8_licenses, op9_mixing, op10_quality)
+    for f in (
+        op1_packing,
+        op2_pii,
+        op3_language,
+        op4_topk,
+        op5_sequences,
+        op6_near_duplicates,
+        op7_language_model,
+        op8_licenses,
+        op9_mixing,
+        op10_quality,
+        op11_line_dedup,
+        op12_fill_in_middle,
+        op13_clusters,
+    )
 }
 
 
