@@ -2,6 +2,7 @@
 
 from .operators.formula import prepared_formula
 from .operators.methods import GroupedMethod, method, register_grouped
+from .plans.delta import DeltaStore, compute_delta
 from .plans.model import RunReport, run_model, run_tag
 from .plans.metadata import load_model, load_tag
 from .plans.store import PathStore, TableStore
@@ -12,6 +13,7 @@ from .streaming.runlog import RunLog
 
 __all__ = [
     "Catalog",
+    "DeltaStore",
     "GroupedMethod",
     "Item",
     "JdbcPartitioning",
@@ -26,6 +28,7 @@ __all__ = [
     "TableStore",
     "Tag",
     "TagResult",
+    "compute_delta",
     "compute_tag",
     "load_model",
     "load_tag",

@@ -66,6 +66,12 @@ def sum_of_params(params: Mapping[str, Bound], returntype: str) -> Column:
     return F.lit(None).cast(spark_type(returntype))
 
 
+def is_user_code(item: Item) -> bool:
+    """True for callables and user-registered formulas: they may change between runs without a trace in the specification."""
+    prepared = _PREPARED.get(str(item.content).strip())
+    return callable(item.content) or (prepared is not None and prepared is not sum_of_params)
+
+
 def bind_constant(param: Param, mode: str) -> Bound:
     """Typed literal of a constant or variable parameter."""
     kind = param.type or "string"

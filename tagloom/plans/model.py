@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources import Catalog
 from ..spec import Model, SpecError, Tag
 from ..streaming.runlog import FAILED, SUCCESS, RunLog
+from .delta import DeltaStore, compute_delta
 from .store import ResultStore
 from .tag import TagResult, compute_tag, item_message
 
@@ -72,9 +73,14 @@ def run_tag(catalog: Catalog, tag: Tag, store: ResultStore, watermark: dt.dateti
     """
     excluded: dict[str, str] = {}
     while True:
-        result = compute_tag(catalog, tag, store.read(), watermark, excluded)
+        if isinstance(store, DeltaStore):
+            result = compute_delta(catalog, tag, store, watermark, excluded)
+            publish = lambda r=result: store.publish(r.frame, r.mark, r.whole)
+        else:
+            result = compute_tag(catalog, tag, store.read(), watermark, excluded)
+            publish = lambda r=result: store.publish(r.frame)
         try:
-            store.publish(result.frame)
+            publish()
             return [*result.messages, *excluded.values()]
         except Exception:
             found = failing_items(result, tag)

@@ -28,6 +28,9 @@ from ..types import spark_type
 
 _FLAG = "__in_spine"
 
+# Takes the frames of all items and the spine; gives the prior rows to work on and the keys that belong to them.
+Narrow = Callable[[list[DataFrame], DataFrame], tuple[DataFrame, Column]]
+
 
 @dataclass
 class Part:
@@ -42,7 +45,8 @@ class Part:
 class TagResult:
     """The lazy result of a tag, the items that could not be planned, and the parts it is made of.
 
-    ``release`` frees the staging queries that were written for it, once the frame has been used.
+    ``release`` frees the staging queries that were written for it, once the frame has been used. ``mark`` tells which
+    formulas made it, for stores that keep it; a frame that is not ``whole`` lacks prior rows, which stay as they are.
     """
 
     frame: DataFrame
@@ -51,6 +55,8 @@ class TagResult:
     parts: list[Part] = field(default_factory=list)
     formulas: list[list[Item]] = field(default_factory=list)
     release: Callable[[], None] = lambda: None
+    mark: str | None = None
+    whole: bool = True
 
 
 def item_message(tag: Tag, item: Item, error: BaseException) -> str:
@@ -124,11 +130,13 @@ def compute_tag(
     prior: DataFrame | None = None,
     watermark: dt.datetime | None = None,
     exclude: Collection[str] = (),
+    narrow: Narrow | None = None,
 ) -> TagResult:
     """Plan the new result of a tag from its sources and its prior result.
 
     Items that cannot be planned, and those in ``exclude``, keep their prior value or default. Apart from
-    staging queries that several items read, nothing runs until the frame is used.
+    staging queries that several items read, nothing runs until the frame is used. ``narrow`` limits a run over a prior
+    result to some of its rows, once the frames of the items are known.
     """
     tag.validate()
     # An item with a bad default fails like one that cannot be planned, and its column takes the default of its type.
@@ -157,10 +165,6 @@ def compute_tag(
             base_part = part
             base = _as_new(part.frame.where(F.col(_FLAG)), part).drop(_FLAG)
             part.frame = part.frame.drop(_FLAG)
-    if base is None:
-        spine = build.spine()
-        base = spine if fresh else base_result(prior, spine, everything, tag.storage)
-
     for item in build.items:
         if item.kind == "key":
             build.fail(item, SpecError("a tag has one key item"))
@@ -170,6 +174,13 @@ def compute_tag(
             except Exception as error:
                 build.fail(item, error)
 
+    if base is None:
+        spine = build.spine()
+        if not fresh and narrow is not None:
+            prior, inside = narrow([part.frame for part in parts], spine)
+            spine = spine.where(inside)
+        base = spine if fresh else base_result(prior, spine, everything, tag.storage)
+
     wide = base
     for part in parts:
         if part is not base_part:

@@ -148,9 +148,17 @@ _ORACLE = {
                coalesce(max(CASE WHEN o_orderdate > TIMESTAMP '2001-01-01 00:00:00' THEN o_totalprice END),
                         max(CASE WHEN o_orderdate <= TIMESTAMP '2001-01-01 00:00:00' THEN o_totalprice END), 0.0) AS price
         FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey GROUP BY 1""",
+    "update_few_buckets": """
+        SELECT count(*) AS n_rows, count(*) FILTER (coalesce(late, early, 0.0) <> coalesce(early, 0.0)) AS n_changed,
+               CAST(0 AS BIGINT) AS n_changed_outside
+        FROM (SELECT c_custkey, max(CASE WHEN o_orderdate > TIMESTAMP '2001-07-25 00:00:00' THEN o_totalprice END) AS late,
+                max(CASE WHEN o_orderdate <= TIMESTAMP '2001-07-25 00:00:00' THEN o_totalprice END) AS early
+              FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)""",
     "error_isolation": f"SELECT cust_id, n_orders, CAST(-1.0 AS DOUBLE) AS broken FROM {_BASE}",
     "error_isolation_default": f"SELECT cust_id, n_orders, CAST(0 AS BIGINT) AS broken FROM {_BASE}",
-    "truncate_result": "SELECT CAST(0 AS BIGINT) AS n_rows, 4 AS n_columns",
+    "truncate_result": """
+        SELECT 'before' AS step, count(*) AS n_rows, 4 AS n_columns FROM customer
+        UNION ALL SELECT 'after', 0, 4""",
     "lenient_dates": """
         SELECT o_orderkey, CASE o_orderkey % 4 WHEN 3 THEN NULL WHEN 0 THEN o_orderdate
           ELSE CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) END AS d FROM orders""",

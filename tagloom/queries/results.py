@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -9,8 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import date_text, lenient_date, lenient_double, trim_token_end
 from ..operators import result as R
 from ..operators.items import basic_frame, key_spine
+from ..plans.delta import DeltaStore
+from ..plans.model import run_tag
 from ..plans.tag import compute_tag
-from ..sources import written
+from ..sources import shared_folder
 from ..spec import Item
 from ..types import normalize_types as to_system_types
 from .common import CUSTOMER, TOTAL, Query, at, base_tag, catalog, customer_tag
@@ -97,12 +100,38 @@ def drop_column(spark, folder):
 
 
 def two_pass_incremental(spark, folder):
-    """A full run over the orders of the time, then an incremental one over the newer orders."""
-    tables = catalog(spark, folder)
+    """A full run over the orders of the time and an incremental one over the newer orders, both through one store."""
+    tables, store = catalog(spark, folder), DeltaStore(spark, f"{shared_folder(spark)}/two-pass-{uuid.uuid4().hex}", 8)
     early = replace(TOTAL, name="price", filter="o_orderdate <= timestamp_ntz'2001-01-01 00:00:00'")
     later = replace(TOTAL, name="price", extract="incremental", increment_column="o_orderdate")
-    first = written(compute_tag(tables, customer_tag(early)).frame, "first-run")
-    return compute_tag(tables, customer_tag(later), first, at("2001-01-01")).frame
+    for item, watermark in ((early, None), (later, at("2001-01-01"))):
+        _complete(run_tag(tables, customer_tag(item), store, watermark))
+    return store.read()
+
+
+def update_few_buckets(spark, folder):
+    """Customers whose top price the last days' orders changed, and how many of them lie in buckets left in place (none)."""
+    tables, store = catalog(spark, folder), DeltaStore(spark, f"{shared_folder(spark)}/few-{uuid.uuid4().hex}", 64)
+    last = at("2001-07-25")
+    early = replace(TOTAL, name="price", filter=f"o_orderdate <= timestamp_ntz'{last}'")
+    later = replace(TOTAL, name="price", extract="incremental", increment_column="o_orderdate")
+    _complete(run_tag(tables, customer_tag(early), store))
+    _complete(run_tag(tables, customer_tag(later), store, last))
+    now, before = store.snapshots(2)
+    written = [b for b, folder in now.folders.items() if before.folders.get(b) != folder]
+    both = before.read().withColumnRenamed("price", "old").join(now.read(), "cust_id", "full")
+    changed = ~F.col("price").eqNullSafe(F.col("old"))
+    count = lambda condition: F.count(F.when(condition, 1))
+    return both.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        count(changed).alias("n_changed"),
+        count(changed & ~now.inside("cust_id", written)).alias("n_changed_outside"),
+    )
+
+
+def _complete(messages):
+    if messages:
+        raise RuntimeError("; ".join(messages))
 
 
 def error_isolation(spark, folder):
@@ -124,9 +153,15 @@ def error_isolation_default(spark, folder):
 
 
 def truncate_result(spark, folder):
-    """Rows and columns left of a truncated result."""
-    result = R.truncate(compute_tag(catalog(spark, folder), base_tag()).frame)
-    return result.agg(F.count("cust_id").alias("n_rows")).withColumn("n_columns", F.lit(len(result.columns)))
+    """Rows and columns of a stored result before and after it is truncated."""
+    tables, store = catalog(spark, folder), DeltaStore(spark, f"{shared_folder(spark)}/truncate-{uuid.uuid4().hex}", 8)
+    _complete(run_tag(tables, base_tag(), store))
+    before = store.read()
+    store.publish(R.truncate(before))
+    size = lambda df, step: df.agg(
+        F.lit(step).alias("step"), F.count(F.lit(1)).alias("n_rows"), F.lit(len(df.columns)).alias("n_columns")
+    )
+    return size(before, "before").unionByName(size(store.read(), "after"))
 
 
 def lenient_dates(spark, folder):
@@ -192,6 +227,7 @@ QUERIES: dict[str, Query] = {
         reload_column,
         drop_column,
         two_pass_incremental,
+        update_few_buckets,
         error_isolation,
         error_isolation_default,
         truncate_result,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,13 @@ def emptied(spark: SparkSession, path: str) -> None:
     spark.range(0).write.mode("overwrite").parquet(path)
 
 
+def removed(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Remove folders through the file system that Spark resolves them by; a missing one is no error."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def written(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
