@@ -127,6 +127,7 @@ def basic_frame(
 ) -> DataFrame:
     """One row per key for all basic items of one table and key column: one scan, one aggregation.
 
+    The filter of an item decides which rows count for it, also for items that count or add up rows.
     With ``spine_flag`` the key item, which must read the same table and column, is answered by the same
     aggregation: the flag is true for keys it selects.
     """
@@ -140,12 +141,14 @@ def basic_frame(
         kept = is_valid(value, dtype, mode)
         if condition is not None:
             kept = condition & kept
-        inputs[item.name] = F.when(kept, to_system(value, dtype, item.system_type))
+        # The number of values is that of the source's own, whatever type the item declares for it.
+        typed = F.lit(1) if item.duplicates == "count" else to_system(value, dtype, item.system_type)
+        inputs[item.name] = F.when(kept, typed)
         order = None
         if item.duplicates == "latest" and item.increment_column:
             inputs[f"{item.name}__order"] = source_column(df, item.increment_column)[0]
             order = F.col(f"`{item.name}__order`")
-        aggregates.append(single_value(item.duplicates, F.col(f"`{item.name}`"), order).alias(item.name))
+        aggregates.append(_chosen(item, F.col(f"`{item.name}`"), order))
     if spine_flag is not None:
         condition = row_condition(df, key, watermark)
         conditions.append(condition)
@@ -202,7 +205,18 @@ def declared_pairs(df: DataFrame, key: Item, item: Item, mode: str = "strict") -
 def one_per_key(pairs: DataFrame, key: Item, item: Item) -> DataFrame:
     """Bring the value to the declared type and keep one value per key by the item's rule."""
     fields = {field.name: field.dataType for field in pairs.schema.fields}
-    value = to_system(F.col(f"`{item.name}`"), fields[item.name], item.system_type)
+    value = F.col(f"`{item.name}`")
+    if item.duplicates != "count":
+        value = to_system(value, fields[item.name], item.system_type)
     order = f"{item.name}__order"
-    chosen = single_value(item.duplicates, value, F.col(f"`{order}`") if order in fields else None)
-    return pairs.groupBy(key.name).agg(chosen.alias(item.name))
+    return pairs.groupBy(key.name).agg(_chosen(item, value, F.col(f"`{order}`") if order in fields else None))
+
+
+def _chosen(item: Item, value: Column, order: Column | None) -> Column:
+    """The value of a key under the item's rule, in the item's declared type."""
+    chosen = single_value(item.duplicates, value, order)
+    if item.duplicates == "count":
+        chosen = to_system(chosen, T.LongType(), item.system_type)
+    elif item.duplicates == "sum":
+        chosen = chosen.cast(spark_type(item.system_type))
+    return chosen.alias(item.name)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources import Catalog, written
+from ..sources import Catalog
 from ..spec import SpecError
 
 # Prefixes of a code name that say which catalog holds the dictionary.
@@ -19,6 +19,7 @@ LOCAL_PREFIX = "local:"
 # A lookup side is broadcast only if it is at most this many bytes of text and numbers.
 BROADCAST_BYTES = 64 << 20
 HEAVY_VALUES = 10_000
+SALTS = 64
 POINT_KEYS = 1_000
 
 
@@ -63,31 +64,30 @@ def lookup_join(
     size: int | None = None,
     limit: int = BROADCAST_BYTES,
     heavy_values: int = HEAVY_VALUES,
+    salts: int = SALTS,
 ) -> DataFrame:
     """Join rows with a lookup that has at most one row per value of ``on``; ``left``, ``inner`` or ``left_semi``.
 
-    A lookup of at most ``limit`` bytes (``size`` if already measured) is broadcast. For a larger one the rows
-    are split: those of the ``heavy_values`` most frequent values meet the few lookup rows of these values as a
-    broadcast, wherever they are, and only the other rows are shuffled by value. So a value that holds a third
-    of all rows never gathers in one task; neither do rows without a value, which match nothing.
+    A lookup of at most ``limit`` bytes (``size`` if already measured) is broadcast. A larger one is joined in one
+    shuffle by value and salt. One pass over the column finds the ``heavy_values`` most frequent values; their rows get a
+    salt from a hash of the row and its task, and their lookup rows are repeated for each, so a value that holds a third of
+    all rows is spread over ``salts`` tasks. Rows without a value match nothing and are spread over all tasks.
     """
     if (measured_bytes(lookup) if size is None else size) <= limit:
         return df.join(F.broadcast(lookup), on, how)
     value = F.col(f"`{on}`")
-    counts = df.where(value.isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("__n"))
-    # Written once, so that every branch below splits by the same values.
-    heavy = written(counts.orderBy(F.col("__n").desc(), value).limit(heavy_values).select(on), "heavy-values")
-    flagged = df.join(F.broadcast(heavy.withColumn("__heavy", F.lit(True))), on, "left")
-    light = flagged.where(F.col("__heavy").isNull() & value.isNotNull()).drop("__heavy")
-    hot = flagged.where(F.col("__heavy").isNotNull()).drop("__heavy")
-    parts = [hot.join(F.broadcast(lookup.join(heavy, on, "left_semi")), on, how), light.join(lookup, on, how)]
-    if how == "left":
-        extra = {c: F.lit(None).cast(lookup.schema[c].dataType) for c in lookup.columns if c != on}
-        parts.append(df.where(value.isNull()).withColumns(extra) if extra else df.where(value.isNull()))
-    joined = parts[0]
-    for part in parts[1:]:
-        joined = joined.unionByName(part)
-    return joined
+    # Hashes of values are few and small, whatever the values are; two values with one hash are both salted.
+    name = F.xxhash64(value)
+    counts = df.where(value.isNotNull()).groupBy(name.alias("h")).agg(F.count(F.lit(1)).alias("n"))
+    frequent = counts.orderBy(F.col("n").desc(), "h").limit(heavy_values).where(F.col("n") > salts).collect()
+    heavy = name.isin(*(r.h for r in frequent)) if frequent else F.lit(False)
+    hashable = [F.col(f"`{f.name}`") for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    # Exact copies of a row differ by the task that reads them, which has the same number if it runs again.
+    row = F.xxhash64(*hashable, F.spark_partition_id())
+    salt = F.when(value.isNull(), row).when(heavy, F.pmod(row, F.lit(salts))).otherwise(F.lit(0).cast("bigint"))
+    every = F.sequence(F.lit(0).cast("bigint"), F.when(heavy, F.lit(salts - 1)).otherwise(0).cast("bigint"))
+    repeated = lookup.where(value.isNotNull()).withColumn("__salt", F.explode(every))
+    return df.withColumn("__salt", salt).join(repeated, [on, "__salt"], how).drop("__salt")
 
 
 def decode(df: DataFrame, column: str, codes: DataFrame, alias: str | None = None) -> DataFrame:
@@ -115,4 +115,5 @@ def multi_get(df: DataFrame, key: str, keys: Sequence[Any] | DataFrame, columns:
         texts = df.sparkSession.createDataFrame([(None if k is None else str(k),) for k in keys], "k string")
         keys = texts.select(_key(F.col("k"), kind).alias(key))
     wanted = keys.select(F.col(f"`{keys.columns[0]}`").alias(key)).where(F.col(f"`{key}`").isNotNull()).distinct()
-    return projected.join(wanted, key, "left_semi")
+    # A key may have many rows, so a long list goes the way of large lookups.
+    return lookup_join(projected, key, wanted, "left_semi")

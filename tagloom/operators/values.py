@@ -36,6 +36,11 @@ def single_value(rule: str, value: Column, order: Column | None = None) -> Colum
     """Aggregate that leaves one value per key; all of them combine partially before the shuffle."""
     if rule == "max":
         return F.max(value)
+    if rule == "count":
+        # A key without a value keeps what it has, as under the other rules.
+        return F.nullif(F.count(value), F.lit(0).cast("bigint"))
+    if rule == "sum":
+        return F.sum(value)
     if rule == "latest":
         if order is None:
             raise SpecError("the latest rule needs an increment column")

@@ -14,8 +14,6 @@ from ..spec import Item, Model, PostProcess, Tag
 from ..streaming.runlog import RunLog
 from .common import (
     CUSTOMER,
-    N_OPEN,
-    N_ORDERS,
     RETURNED_QTY,
     TOTAL,
     USER,
@@ -35,8 +33,17 @@ CUSTOMER_PROFILE = Tag(
             "sql",
             "SELECT c_custkey, n_name FROM customer JOIN nation ON n_nationkey = c_nationkey",
         ),
-        N_ORDERS,
-        N_OPEN,
+        Item("n_orders", "basic", "1", table="orders", key_column="o_custkey", type="int", duplicates="count"),
+        Item(
+            "n_open",
+            "basic",
+            "1",
+            table="orders",
+            key_column="o_custkey",
+            filter="o_orderstatus = 'O' AND o_orderdate > timestamp_ntz'1999-01-01 00:00:00'",
+            type="int",
+            duplicates="count",
+        ),
         Item(
             "open_ratio",
             "formula",
@@ -53,12 +60,16 @@ USER_PROFILE = Tag(
     "user_profile",
     (
         USER,
-        Item("n_events", "sql", "SELECT user_id, count(*) FROM events GROUP BY user_id", type="int"),
+        Item("n_events", "basic", "1", table="events", key_column="user_id", type="int", duplicates="count"),
         Item(
             "n_errors",
-            "sql",
-            "SELECT user_id, count(*) FROM events WHERE event_type = 'error' GROUP BY user_id",
+            "basic",
+            "1",
+            table="events",
+            key_column="user_id",
+            filter="event_type = 'error'",
             type="int",
+            duplicates="count",
         ),
         Item(
             "last_type",

@@ -14,7 +14,7 @@ EXTRACTS = ("full", "incremental", "reload")
 ACCESSES = ("variable", "constant", "tagitem")
 POST_KINDS = ("none", "weight", "number")
 STORAGES = ("table", "cell")
-DUPLICATE_RULES = ("max", "latest", "error")
+DUPLICATE_RULES = ("max", "latest", "error", "count", "sum")
 VALUE_MODES = ("strict", "compat")
 
 # Fixed value: suffix of the column that keeps the value before post-processing.
@@ -61,7 +61,11 @@ class PostProcess:
 
 @dataclass(frozen=True)
 class Item:
-    """One column of a tag. ``content`` is a column, SQL text, method name or formula by ``kind``."""
+    """One column of a tag. ``content`` is a column, SQL text, method name or formula by ``kind``.
+
+    ``duplicates`` says what becomes of several values of a key: the largest, the latest by the increment column, an
+    error, or (``count``, ``sum``) their number or total. A key without values has no value under any rule.
+    """
 
     name: str
     kind: str = "basic"

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tagloom import Catalog, GroupedMethod, SpecError
-from tagloom.operators import paging
+from tagloom.operators import lookup, methods, paging
 from tagloom.operators.category import category_ancestors, category_paths, category_preorder
 from tagloom.operators.lookup import code_map, decode, lookup_join, measured_bytes, multi_get, named_code_map
 from tagloom.queries.extraction import _value_range
@@ -51,13 +52,13 @@ def test_split_lookup_equals_broadcast_lookup(spark, how):
     small = lookup_join(rows, "v", lookup, how)
     large = lookup_join(rows, "v", lookup, how, limit=0, heavy_values=5)
     assert "BroadcastHashJoin" in small._jdf.queryExecution().toString()
-    assert "__heavy" in large._jdf.queryExecution().toString()
+    assert "__salt" in large._jdf.queryExecution().toString()
     columns = small.columns
     assert large.select(columns).exceptAll(small).count() == 0 and small.exceptAll(large.select(columns)).count() == 0
 
 
-def test_split_lookup_shuffles_no_heavy_rows(spark):
-    """All rows have one of the heavy values: nothing is left for the shuffled join."""
+def test_split_lookup_of_heavy_values_only(spark):
+    """All rows have one of the heavy values, and the lookup lacks one of them."""
     rows = spark.range(4000).select((F.col("id") % 3).alias("v"))
     lookup = spark.range(2).select(F.col("id").alias("v"), F.lit("t").alias("text"))
     joined = lookup_join(rows, "v", lookup, limit=0)
@@ -65,6 +66,46 @@ def test_split_lookup_shuffles_no_heavy_rows(spark):
     assert counts == {(0, "t"): 1334, (1, "t"): 1333, (2, None): 1333}
 
 
+@pytest.fixture
+def eight_tasks(spark):
+    """Every shuffle partition is a task of its own."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+@pytest.mark.parametrize("value", ["7", "cast(NULL AS int)"])
+def test_salted_lookup_spreads_exact_copies_of_a_heavy_value(spark, eight_tasks, value):
+    """All rows are the same row, or have no value at all."""
+    rows = spark.range(0, 8000, 1, 32).selectExpr(f"{value} AS v", "1 AS x")
+    lookup = spark.range(40).selectExpr("cast(id AS int) AS v", "id * 2 AS y")
+    joined = lookup_join(rows, "v", lookup, limit=0)
+    assert joined.where("y = 14").count() == (8000 if value == "7" else 0)
+    share = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(share) == 8000 and max(share) <= 8000 / 2
+
+
+def test_salted_lookup_reads_its_rows_once_beside_the_count(spark, eight_tasks):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").select("l_suppkey", "l_quantity")
+    lookup = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet").selectExpr("s_suppkey AS l_suppkey", "s_name")
+    joined = lookup_join(lines, "l_suppkey", lookup, limit=0)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1 and plan.count("Exchange hashpartitioning") == 2
+    assert joined.count() == lines.count()
+
+
+def test_long_key_lists_go_the_way_of_large_lookups(spark, eight_tasks, monkeypatch):
+    rows = spark.range(0, 6000, 1, 16).selectExpr("if(id % 3 = 0, 7, id) AS k", "id AS x")
+    monkeypatch.setattr(lookup, "measured_bytes", lambda frame: lookup.BROADCAST_BYTES + 1)
+    keys = spark.range(3000).selectExpr("id AS k")
+    found = multi_get(rows, "k", keys, ["x"])
+    assert "__salt" in found._jdf.queryExecution().toString() and found.columns == ["k", "x"]
+    assert found.count() == rows.join(keys, "k", "left_semi").count()
+
+
 def test_multi_get(spark):
     df = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"), F.lit(0).alias("other"))
     for keys in ([3, 9999], list(range(3, 4)) + list(range(6000, 8000)), spark.createDataFrame([(3,), (3,)], "x long")):
@@ -188,3 +229,53 @@ def test_grouped_method_gets_parameters(spark):
     grouped = GroupedMethod(("k", "v"), "k long, n long", count, add, lambda: F.col("n") * 10)
     df = spark.createDataFrame([(1, 1.0), (1, 3.0), (1, 4.0)], "k long, v double")
     assert [tuple(r) for r in grouped(df, {"low": 2}).collect()] == [(1, 20)]
+
+
+def _range_method():
+    def partial(pdf, params):
+        g = pdf.groupby("k")["v"]
+        return pd.DataFrame({"k": list(g.groups), "lo": g.min().values, "hi": g.max().values})
+
+    def merge(pdf, params):
+        return pdf.groupby("k", as_index=False).agg({"lo": "min", "hi": "max"})
+
+    return GroupedMethod(("k", "v"), "k long, lo double, hi double", partial, merge, "hi - lo")
+
+
+def _third_on_one_key(spark, rows=30_000, parts=12):
+    """A third of all rows on key 7, the others on keys of their own, some rows without a key."""
+    key = F.expr("CASE WHEN id % 3 = 0 THEN 7 WHEN id % 1000 = 1 THEN NULL ELSE 1000 + id END")
+    return spark.range(0, rows, 1, parts).select(key.alias("k"), F.col("id").cast("double").alias("v"))
+
+
+def test_a_hot_key_of_a_grouped_method_sends_a_summary_per_task(spark, monkeypatch):
+    grouped, df = _range_method(), _third_on_one_key(spark)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")  # 25 batches a task
+    monkeypatch.setattr(methods, "BUFFER_ROWS", 1000)
+    try:
+        partial, merge = (lambda rows: grouped.partial(rows, {})), (lambda rows: grouped.merge(rows, {}))
+        summary = df.mapInPandas(methods._summaries(partial, merge), grouped.schema)
+        sent = {r.k: r["count"] for r in summary.groupBy("k").count().collect()}
+        # 2,500 rows a task, 1,667 of them on different keys: two flushes at most, so no more than two summaries a key and task.
+        assert sent[7] <= 12 * 2 and None not in sent
+        salted = summary.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(methods.SALTS)))
+        first = methods._merged(salted, [F.col("k"), F.col("__salt")], merge, grouped.schema)
+        assert first.where("k = 7").count() <= min(12, methods.SALTS)
+        found = {r.k: r.value for r in grouped(df, {}).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    want = {r.k: r.v for r in df.where("k IS NOT NULL").groupBy("k").agg((F.max("v") - F.min("v")).alias("v")).collect()}
+    assert found == want
+
+
+def test_summaries_are_merged_before_they_go_out(monkeypatch):
+    monkeypatch.setattr(methods, "BUFFER_ROWS", 10)
+    grouped = _range_method()
+    task = methods._summaries(lambda rows: grouped.partial(rows, {}), lambda rows: grouped.merge(rows, {}))
+    one_key = [pd.DataFrame({"k": [1, 1], "v": [float(n), -float(n)]}) for n in range(200)]
+    assert [len(out) for out in task(iter(one_key))] == [1]
+    many = [pd.DataFrame({"k": [2 * n, 2 * n + 1], "v": [0.0, 1.0]}) for n in range(50)]
+    assert sum(len(out) for out in task(iter(many))) == 100
+    assert list(task(iter([]))) == []
+    assert list(task(iter([pd.DataFrame({"k": pd.Series([None], dtype="Int64"), "v": [1.0]})]))) == []
