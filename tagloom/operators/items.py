@@ -214,6 +214,8 @@ def one_per_key(pairs: DataFrame, key: Item, item: Item) -> DataFrame:
 
 def _chosen(item: Item, value: Column, order: Column | None) -> Column:
     """The value of a key under the item's rule, in the item's declared type."""
+    if item.duplicates == "sum" and item.system_type not in ("int", "double"):
+        raise SpecError(f"item {item.name}: only numbers can be added up")
     chosen = single_value(item.duplicates, value, order)
     if item.duplicates == "count":
         chosen = to_system(chosen, T.LongType(), item.system_type)

@@ -40,7 +40,7 @@ def single_value(rule: str, value: Column, order: Column | None = None) -> Colum
         # A key without a value keeps what it has, as under the other rules.
         return F.nullif(F.count(value), F.lit(0).cast("bigint"))
     if rule == "sum":
-        return F.sum(value)
+        return F.try_sum(value)  # a total beyond 64 bits is no value
     if rule == "latest":
         if order is None:
             raise SpecError("the latest rule needs an increment column")

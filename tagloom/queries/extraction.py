@@ -66,6 +66,27 @@ def basic_items_shared_scan(spark, folder):
     return result_of(spark, folder, tag)
 
 
+def basic_item_aggregates(spark, folder):
+    """Counts and totals of lines under filters of their own: one scan and one aggregation answer all items."""
+    lines = lambda name, content, **more: Item(
+        name, "basic", content, table="lineitem", key_column="l_suppkey", **more
+    )
+    key = Item("supp_id", "key", "s_suppkey", table="supplier", type="int")
+    tag = Tag(
+        "supplier",
+        (
+            key,
+            lines("n_lines", "1", type="int", duplicates="count"),
+            lines("n_returned", "l_orderkey", type="int", duplicates="count", filter="l_returnflag = 'R'"),
+            lines("n_odd", "if(l_linenumber = 2, NULL, 'x')", type="int", duplicates="count", default="-1"),
+            lines("quantity", "l_quantity", type="double", duplicates="sum"),
+            lines("late", "l_linenumber", type="int", duplicates="sum", filter="l_shipdate > date'2001-10-01'", default="-1"),
+            lines("dearest", "l_extendedprice", type="double"),
+        ),
+    )
+    return result_of(spark, folder, tag)
+
+
 def _sql(spark, folder, item, watermark=None):
     return one_per_key(sql_pairs(catalog(spark, folder), CUSTOMER, item, watermark), CUSTOMER, item)
 
@@ -219,6 +240,7 @@ QUERIES: dict[str, Query] = {
         basic_item_latest,
         basic_item_incremental,
         basic_items_shared_scan,
+        basic_item_aggregates,
         sql_item,
         sql_item_latest,
         sql_item_rollup,

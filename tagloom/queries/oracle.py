@@ -55,6 +55,14 @@ _ORACLE = {
                coalesce(max(CASE WHEN o_orderpriority = '1-URGENT' THEN o_totalprice END), 0.0) AS top_urgent,
                coalesce(arg_max(o_orderstatus, (o_orderdate, o_orderstatus)), 'none') AS last_status
         FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1""",
+    "basic_item_aggregates": """
+        SELECT s_suppkey AS supp_id, coalesce(n, 0) AS n_lines, coalesce(r, 0) AS n_returned, coalesce(nullif(o, 0), -1) AS n_odd,
+               coalesce(q, 0.0) AS quantity, coalesce(late, -1) AS late, coalesce(dearest, 0.0) AS dearest
+        FROM supplier LEFT JOIN (
+          SELECT l_suppkey, count(*) AS n, nullif(count(*) FILTER (l_returnflag = 'R'), 0) AS r,
+                 count(*) FILTER (l_linenumber <> 2) AS o, sum(l_quantity) AS q, max(l_extendedprice) AS dearest,
+                 CAST(sum(l_linenumber) FILTER (l_shipdate > TIMESTAMP '2001-10-01 00:00:00') AS BIGINT) AS late
+          FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey""",
     "sql_item": """
         SELECT o.o_custkey AS cust_id, count(*) AS n_returned
         FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE l.l_returnflag = 'R' GROUP BY 1""",

@@ -29,7 +29,9 @@ def shuffles(plan):
         ("basic_items_shared_scan", 2),  # spine and one aggregation for three items
         ("formula_chain", 3),  # spine and the two items the formula needs
         ("post_weight_positive", 1),
-        ("user_profile", 3),  # spine and last_type share one scan; two SQL items
+        ("user_profile", 1),  # the spine, two counts and last_type share one scan
+        ("customer_profile", 8),  # spine, three items of orders in one, and two SQL items with their joins
+        ("basic_item_aggregates", 2),  # spine and one aggregation for six items
         ("save_update_existing", 2),
         ("formula_coerce_negative_compat", 1),  # spine and item share one scan
         ("init_defaults", 1),
@@ -52,6 +54,13 @@ def test_filters_and_columns_reach_the_scan(plan_of):
     assert "In(c_custkey, [1,5,7,999999])" in plan_of("multi_get")
 
 
+@pytest.mark.parametrize(
+    "name, table, scans", [("customer_profile", "orders", 2), ("user_profile", "events", 1), ("basic_item_aggregates", "lineitem", 1)]
+)
+def test_scan_counts(plan_of, name, table, scans):
+    assert plan_of(name).count(f"/{table}.parquet") == scans
+
+
 def test_no_cross_joins(plan_of):
     for name in ("customer_profile", "two_pass_incremental", "code_decode", "cell_storage"):
         plan = plan_of(name)

@@ -8,7 +8,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tagloom import Catalog, Tag, compute_tag
 from tagloom.functions import blank, lenient_date, lenient_double, lenient_int, round_half_up, trim_token, trim_token_end
+from tagloom.operators.items import basic_frame, basic_pairs, one_per_key
 from tagloom.operators.postprocess import post_process
 from tagloom.operators.values import INVALID_TEXTS, exclude_invalid, single_value
 from tagloom.spec import Item, PostProcess
@@ -136,3 +138,37 @@ def test_duplicate_rules(spark):
     with pytest.raises(Exception, match="several values"):
         by("error")
     assert df.where("k = 2").groupBy("k").agg(single_value("error", F.col("v")).alias("v")).first()["v"] == 3.0
+
+
+def test_counts_and_totals_of_a_shared_scan(spark):
+    facts = spark.createDataFrame(
+        [(1, 5, "a"), (1, 7, None), (1, 7, ""), (2, None, "b"), (3, 2**62, "c"), (3, 2**62, "d"), (None, 1, "e")], "k long, v long, s string"
+    )
+    catalog = Catalog(spark).add("facts", facts)
+    of = lambda name, content, rule, **more: Item(name, "basic", content, table="facts", key_column="k", duplicates=rule, **more)
+    tag = Tag(
+        "t",
+        (
+            Item("k", "key", "k", table="facts", type="int"),
+            of("n", "1", "count", type="int"),
+            of("texts", "s", "count", type="int"),  # null and blank texts are no values
+            of("as_text", "v", "count", default="none"),
+            of("total", "v", "sum", type="int", default="-1"),
+            of("part", "v", "sum", type="double", filter="v > 5"),
+            of("words", "s", "sum", default="bad"),
+            of("top", "v", "max", type="int"),
+        ),
+    )
+    result = compute_tag(catalog, tag)
+    assert result.failed == {"words"} and "only numbers" in result.messages[0]
+    rows = sorted(tuple(r) for r in result.frame.collect())
+    assert rows == [
+        (1, 3, 1, "3", 19, 14.0, "bad", 7),
+        (2, 1, 1, "none", -1, 0.0, "bad", 0),
+        (3, 2, 2, "2", -1, 2.0**63, "bad", 2**62),
+    ]
+    # Read alone, an item gives the same.
+    alone = basic_frame(catalog, tag.key, [tag.items[1]]).union(
+        one_per_key(basic_pairs(catalog, tag.key, tag.items[1]), tag.key, tag.items[1])
+    )
+    assert sorted(tuple(r) for r in alone.collect()) == [(1, 3), (1, 3), (2, 1), (2, 1), (3, 2), (3, 2)]
