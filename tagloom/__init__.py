@@ -7,7 +7,7 @@ from .plans.model import RunReport, run_model, run_tag
 from .plans.metadata import load_model, load_tag
 from .plans.store import PathStore, TableStore
 from .plans.tag import TagResult, compute_tag, require_all
-from .sources import Catalog, JdbcPartitioning
+from .sources import Catalog, JdbcPartitioning, Single, SplitBy
 from .spec import Item, Model, Param, PostProcess, SpecError, Staging, Tag
 from .streaming.runlog import RunLog
 
@@ -23,7 +23,9 @@ __all__ = [
     "PostProcess",
     "RunLog",
     "RunReport",
+    "Single",
     "SpecError",
+    "SplitBy",
     "Staging",
     "TableStore",
     "Tag",

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import re
 from collections.abc import Callable, Iterable, Mapping
-from typing import Any
+from typing import Any, Protocol
 
 from ..spec import Param
 
@@ -104,3 +104,34 @@ def sql_arguments(text: str, params: Iterable[Param]) -> tuple[str, Mapping[str,
         return quoted(m[0]) if m[0][0] in "'\"" else m[0]
 
     return _TOKENS.sub(rewrite, text), args
+
+
+class Literals(Protocol):
+    """How values are written into the SQL of a database."""
+
+    def literal(self, value: Any) -> str: ...
+
+    def text(self, value: str, quote: str = "'") -> str: ...
+
+
+def sql_with_literals(text: str, params: Iterable[Param], literals: Literals) -> str:
+    """Write ``#name`` parameters into SQL as literals, by the rules of ``sql_arguments``.
+
+    A value can neither end its literal nor become SQL. A quoted literal with a parameter that has no value is ``NULL``.
+    """
+    by_name = {p.name: p for p in params}
+
+    def quoted(token: str) -> str:
+        quote, inside = token[0], token[1:-1]
+        held = [by_name[m[1]] for m in _NAME.finditer(inside) if m[1] in by_name]
+        if any(p.value is None for p in held):
+            return "NULL"
+        put = lambda m: literals.text(str(by_name[m[1]].value), quote) if m[1] in by_name else m[0]
+        return quote + _NAME.sub(put, inside) + quote
+
+    def rewrite(m: re.Match) -> str:
+        if m[1] is not None:
+            return literals.literal(_unquoted_value(by_name[m[1]])) if m[1] in by_name else m[0]
+        return quoted(m[0]) if m[0][0] in "'\"" else m[0]
+
+    return _TOKENS.sub(rewrite, text.strip().removesuffix(";"))
