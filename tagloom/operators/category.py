@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import blank
 from ..sources.shared import emptied, written
 from ..spec import SpecError
+from .lookup import POINT_KEYS, lookup_join, multi_get
 from .paging import with_position
 
 
@@ -67,7 +70,54 @@ def category_preorder(categories: DataFrame, id: str, parent: str, order: str) -
     return placed
 
 
-def category_ancestors(categories: DataFrame, id: str, parent: str, order: str, label: str, sep: str = "/") -> DataFrame:
-    """Labels from the root down to each category, as one text."""
-    paths = category_paths(categories, id, parent, order, label)
-    return paths.select("id", F.array_join("labels", sep).alias("path"))
+def category_ancestors(
+    categories: DataFrame, id: str, parent: str, order: str, label: str, sep: str = "/", paths: list[str] | None = None
+) -> DataFrame:
+    """Labels from the root down to each category, as one text; what was written for it is added to ``paths``, if given."""
+    found = category_paths(categories, id, parent, order, label, paths)
+    return found.select("id", F.array_join("labels", sep).alias("path"))
+
+
+def category_ancestors_of(
+    categories: DataFrame,
+    ids: DataFrame,
+    id: str,
+    parent: str,
+    order: str,
+    label: str,
+    sep: str = "/",
+    paths: list[str] | None = None,
+) -> DataFrame:
+    """Labels from the root down to each of the categories in the first column of ``ids``, as one text.
+
+    Walks upward: every round reads the categories that the last one names as parents and none met before, and the
+    walk ends when there are none, also on a cycle. Only what was met is joined into paths. Ids that are no category or hang on
+    no root are left out, repeated ids count once. The rounds are freed; the rows that the result reads are
+    added to ``paths``, if given.
+    """
+    spark = categories.sparkSession
+    rounds: list[str] = []
+    kind = categories.schema[id].dataType
+    wanted = ids.select(F.col(f"`{ids.columns[0]}`").cast("string").try_cast(kind).alias(id))
+    wanted = wanted.where(F.col(id).isNotNull()).distinct()
+    columns = list(dict.fromkeys((id, parent, order, label)))
+    frontier, met, mine = wanted, None, []
+    try:
+        while True:
+            # A short frontier becomes a filter of the scan, a long one a semi-join.
+            some = [row[0] for row in frontier.limit(POINT_KEYS + 1).collect()]
+            if not some:
+                break
+            keys = some if len(some) <= POINT_KEYS else frontier
+            mine.append(written(multi_get(categories, id, keys, columns).select(*columns), "ancestors", rounds))
+            met = reduce(DataFrame.unionByName, mine)
+            up = F.col(f"`{parent}`")
+            above = mine[-1].where(~blank(up)).select(up.cast("string").try_cast(kind).alias(id)).distinct()
+            frontier = above.join(met.select(id), id, "left_anti")
+        if met is None:
+            met = categories.select(*columns).where(F.lit(False))
+        found = category_ancestors(met, id, parent, order, label, sep, paths)
+    finally:
+        for path in rounds:
+            emptied(spark, path)
+    return lookup_join(found, "id", wanted.withColumnRenamed(id, "id"), "left_semi")

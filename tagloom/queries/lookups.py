@@ -117,6 +117,14 @@ def category_ancestors(spark, folder):
     return category.category_ancestors(_tree(catalog(spark, folder)), "id", "parent", "orderno", "name")
 
 
+def category_ancestors_of(spark, folder):
+    """Paths of the customers in debt, and of their nations: the tree is walked upward from them."""
+    tables = catalog(spark, folder)
+    poor = tables.table("customer").where("c_acctbal < 0")
+    ids = poor.selectExpr("concat('c', c_custkey) AS x").union(poor.selectExpr("concat('n', c_nationkey)"))
+    return category.category_ancestors_of(_tree(tables), ids, "id", "parent", "orderno", "name")
+
+
 def item_order(spark, folder):
     """Suppliers as items of their nation, in the order in which a tag runs its items."""
     tables = catalog(spark, folder)
@@ -148,6 +156,7 @@ QUERIES: dict[str, Query] = {
         runlog_messages,
         category_preorder,
         category_ancestors,
+        category_ancestors_of,
         item_order,
     )
 }

@@ -221,6 +221,10 @@ _ORACLE = {
         {_TREE} SELECT id, depth,
           row_number() OVER (ORDER BY a DESC, b DESC NULLS FIRST, c DESC NULLS FIRST) AS pos FROM tree""",
     "category_ancestors": f"{_TREE} SELECT id, path FROM tree",
+    "category_ancestors_of": f"""
+        {_TREE} SELECT id, path FROM tree WHERE id IN (
+          SELECT concat('c', c_custkey) FROM customer WHERE c_acctbal < 0
+          UNION ALL SELECT concat('n', c_nationkey) FROM customer WHERE c_acctbal < 0)""",
     "item_order": f"""
         {_TREE} SELECT pos AS category_pos, s_suppkey AS orderno, s_name AS itemanothername FROM supplier JOIN (
           SELECT id, row_number() OVER (ORDER BY a DESC, b DESC NULLS FIRST, c DESC NULLS FIRST) AS pos FROM tree

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tagloom import Catalog, GroupedMethod, SpecError
 from tagloom.operators import lookup, methods, paging
-from tagloom.operators.category import category_ancestors, category_paths, category_preorder
+from tagloom.operators import category
+from tagloom.operators.category import category_ancestors, category_ancestors_of, category_paths, category_preorder
 from tagloom.operators.lookup import code_map, decode, lookup_join, measured_bytes, multi_get, named_code_map
 from tagloom.queries.extraction import _value_range
 
@@ -178,6 +179,52 @@ def test_deep_category_tree(spark):
     assert out[149]["labels"] == [str(k) for k in range(150)]
 
 
+def _forest(spark):
+    """Chains of three below a root, a cycle, a category without its parent, and a self-parent."""
+    rows = [("root", "", 1, "Root")]
+    rows += [(f"{a}{n}", f"{chr(ord(a) - 1)}{n}" if a != "a" else "root", n, f"{a.upper()}{n}") for n in range(50) for a in "abc"]
+    rows += [("x", "y", 1, "X"), ("y", "z", 1, "Y"), ("z", "x", 1, "Z"), ("lost", "gone", 1, "Lost"), ("own", "own", 1, "Own")]
+    return spark.createDataFrame(rows, "id string, parent string, orderno int, name string")
+
+
+@pytest.mark.parametrize("points", [1000, 3])
+def test_ancestors_of_given_ids_equal_those_of_the_whole_tree(spark, monkeypatch, points):
+    monkeypatch.setattr(category, "POINT_KEYS", points)
+    forest = _forest(spark)
+    ids = [*(f"c{n}" for n in range(0, 50, 7)), "b3", "root", "x", "lost", "own", "nowhere", "c7", None]
+    paths = []
+    found = category_ancestors_of(
+        forest, spark.createDataFrame([(i,) for i in ids], "k string"), "id", "parent", "orderno", "name", paths=paths
+    )
+    whole = {r.id: r.path for r in category_ancestors(forest, "id", "parent", "orderno", "name").collect()}
+    assert {r.id: r.path for r in found.collect()} == {i: whole[i] for i in ids if i in whole}
+    assert found.count() == len({i for i in ids if i in whole}) and whole["c7"] == "Root/A7/B7/C7"
+    assert len(paths) == 1
+    none = category_ancestors_of(forest, spark.createDataFrame([], "k string"), "id", "parent", "orderno", "name")
+    assert none.collect() == [] and none.columns == ["id", "path"]
+
+
+def test_rounds_of_the_upward_walk_read_what_is_new_and_leave_nothing(spark, monkeypatch):
+    read, kept = [], []
+    write, free = category.written, category.emptied
+
+    def watched(df, name, paths=None):
+        out = write(df, name, paths)
+        if name == "ancestors":
+            read.append(sorted(r.id for r in out.collect()))
+        kept.append(paths[-1])
+        return out
+
+    monkeypatch.setattr(category, "written", watched)
+    monkeypatch.setattr(category, "emptied", lambda s, path: (kept.remove(path), free(s, path)))
+    ids = spark.createDataFrame([("c1",), ("c2",), ("b2",), ("x",)], "k string")
+    paths = []
+    category_ancestors_of(_forest(spark), ids, "id", "parent", "orderno", "name", paths=paths).collect()
+    # b2 is met in the first round and not read again; the cycle ends when it closes.
+    assert read == [["b2", "c1", "c2", "x"], ["a2", "b1", "y"], ["a1", "root", "z"]]
+    assert kept == paths and len(paths) == 1
+
+
 def test_category_below_itself_is_named(spark):
     rows = [("a", None, 1), ("b", "a", 1), ("a", "b", 1)]
     looped = spark.createDataFrame(rows, "id string, parent string, orderno int")

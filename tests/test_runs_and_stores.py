@@ -254,3 +254,55 @@ def test_path_store_frees_older_versions(spark, tmp_path):
     assert store.read().count() == 400
     size = lambda v: sum(f.stat().st_size for f in (tmp_path / "r" / f"v={v}").glob("*.parquet"))
     assert size(1) < size(3) and size(2) < size(3) and spark.read.parquet(str(tmp_path / "r" / "v=3")).count() == 300
+
+
+def test_interleaved_writers_keep_all_messages(spark, tmp_path):
+    one, two = (RunLog(spark, str(tmp_path / "log")) for _ in range(2))
+    started = one.now()
+    run = one.start("m", started)
+    want = []
+    for n in range(3):
+        for name, log in (("one", one), ("two", two)):
+            log.append(run, "m", started, [f"{name} {n} a", f'{name} {n} "b", é'])
+            want += [f"{name} {n} a", f'{name} {n} "b", é']
+    two.finish(run, "m", started, ["end of two"])
+    one.append(run, "m", started, ["late"])
+    row = one.runs().first()
+    assert row["status"] == "failed" and json.loads(row["messages"]) == [*want, "end of two", "late"]
+    assert row["messages"] == json.dumps([*want, "end of two", "late"], ensure_ascii=False)
+    # A later run with more text in its messages is not the newer state of this one.
+    other = two.start("m", started)
+    two.finish(other, "m", started)
+    assert {r.run_id: r.status for r in two.runs().collect()} == {run: "failed", other: "success"}
+
+
+def test_appending_reads_nothing_and_takes_one_job(spark, tmp_path):
+    log = RunLog(spark, str(tmp_path / "log"))
+    spark.sparkContext.setJobGroup("log-jobs", "")
+    try:
+        run = log.start("m", dt.datetime(2024, 1, 1))
+        log.append(run, "m", dt.datetime(2024, 1, 1), ["a", "b"])
+        log.finish(run, "m", dt.datetime(2024, 1, 1))
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("log-jobs")) == 3
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_compaction_keeps_every_row_once(spark, tmp_path, monkeypatch):
+    log = RunLog(spark, str(tmp_path / "log"))
+    assert log.compact() == []
+    started = log.now()
+    runs = [log.start("m", started) for _ in range(3)]
+    for run in runs[:2]:
+        log.append(run, "m", started, ["x", "y"])
+        log.finish(run, "m", started)
+    before = sorted(map(tuple, log.runs().collect()))
+    assert log.compact(files=2) == []  # today's folder is still written to
+    today = log._today()
+    monkeypatch.setattr(RunLog, "_today", lambda self: "9999-12-31")
+    assert log.compact(files=100) == [] and log.compact(files=2) == [today]
+    files = list((tmp_path / "log" / f"day={today}").glob("*.parquet"))
+    assert len(files) == 1 and sorted(map(tuple, log.runs().collect())) == before
+    # A job that dies after writing the new file leaves rows twice, which readers take once.
+    spark.read.parquet(str(files[0])).write.mode("append").parquet(str(tmp_path / "log" / f"day={today}"))
+    assert sorted(map(tuple, log.runs().collect())) == before and log.last_success("m") is None
