@@ -44,7 +44,8 @@ def category_paths(
         above = known.select(
             F.col("id").alias("up"), F.col("up").alias("next"), F.col("path").alias("p"), F.col("labels").alias("n")
         )
-        longer = open_.join(above, "up").select(
+        # A category may have very many children, so each finds its ancestor as in a lookup.
+        longer = lookup_join(open_, "up", above, "inner").select(
             "id", F.col("next").alias("up"), F.concat("p", "path").alias("path"), F.concat("n", "labels").alias("labels")
         )
         known = written(known.where(ended).unionByName(longer), "tree", used)

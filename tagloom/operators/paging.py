@@ -8,11 +8,12 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_folder
-from .lookup import lookup_join
+from ..sources.shared import emptied, shared_folder, written
+from .lookup import POINT_KEYS, lookup_join
 
 # Pages that end within this many rows are a top-k; deeper ones are cut out by position.
 SHALLOW_ROWS = 100_000
+_PLACE_BYTES = 64  # of a row id with its position
 
 
 def with_position(df: DataFrame, *order: Column, name: str = "position") -> DataFrame:
@@ -60,6 +61,50 @@ def page(df: DataFrame, first: int, size: int, *order: Column) -> DataFrame:
     return wanted.orderBy("__position").drop("__position")
 
 
+class OrderedIndex:
+    """The row ids of a table in a total order, written once; pages of any depth are cut from it without sorting again.
+
+    Only the order columns and the ids are sorted, never the wide rows. ``key`` must be unique; end the order with it. The
+    index answers for the rows at the time it was built, and ``release`` frees it.
+    """
+
+    def __init__(self, df: DataFrame, key: str, columns: Sequence[str], *order: Column):
+        """``order`` reads ``columns`` and the key only."""
+        self.df, self.key = df, key
+        self._paths: list[str] = []
+        narrow = df.select(*(F.col(f"`{c}`") for c in dict.fromkeys((key, *columns))))
+        placed = with_position(narrow, *order, name="__position")
+        # The files hold consecutive positions, so a page reads the row groups it lies in.
+        self._index = written(
+            placed.select(F.col("__position").alias("position"), F.col(f"`{key}`").alias("key")), "ordered-index", self._paths
+        )
+
+    def count(self) -> int:
+        return self._index.count()
+
+    def page(self, first: int, size: int) -> DataFrame:
+        """Rows ``first`` to ``first + size`` in order."""
+        return self._rows(self._index.where((F.col("position") > first) & (F.col("position") <= first + size)), size)
+
+    def page_after(self, key: Any, size: int) -> DataFrame:
+        """The rows behind the one with this key; none if no row has it."""
+        at = self._index.where(F.col("key") == F.lit(key)).select("position").first()
+        return self.page(at["position"], size) if at else self.df.where(F.lit(False))
+
+    def release(self) -> None:
+        while self._paths:
+            emptied(self.df.sparkSession, self._paths.pop())
+
+    def _rows(self, part: DataFrame, size: int) -> DataFrame:
+        rows = self.df
+        if size <= POINT_KEYS:
+            # The ids of a short page are a filter that reaches the scan.
+            rows = rows.where(F.col(f"`{self.key}`").isin(*(r["key"] for r in part.collect())))
+        places = part.select(F.col("key").alias(self.key), F.col("position").alias("__position"))
+        wide = lookup_join(rows, self.key, places, "inner", size=_PLACE_BYTES * size)
+        return wide.orderBy("__position").limit(size).select(*(F.col(f"`{c}`") for c in self.df.columns))
+
+
 def grid_page(df: DataFrame, first: int, size: int, sort: Column | None, *default_sort: Column) -> DataFrame:
     """A page by the user's sort, with the default sort as tie-breaker."""
     return page(df, first, size, *([sort] if sort is not None else []), *default_sort)

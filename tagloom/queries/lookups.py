@@ -57,6 +57,15 @@ def row_positions(spark, folder):
     return paging.with_position(orders, F.col("o_totalprice").desc(), F.col("o_orderkey")).select("o_orderkey", "position")
 
 
+def deep_pages(spark, folder):
+    """Two pages of wide rows deep in one order, cut from an index that is built once."""
+    orders = catalog(spark, folder).table("orders")
+    by_price = (F.col("o_totalprice").desc(), F.col("o_orderkey"))
+    index = paging.OrderedIndex(orders, "o_orderkey", ["o_totalprice"], *by_price)
+    first = index.page(500, 40)
+    return first.unionByName(index.page(1200, 30)).select("o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority")
+
+
 def key_page(spark, folder):
     return paging.key_page(catalog(spark, folder).table("customer"), "c_custkey", 100, 10)
 
@@ -147,6 +156,7 @@ QUERIES: dict[str, Query] = {
         page_with_tiebreak,
         page_with_condition,
         row_positions,
+        deep_pages,
         key_page,
         key_page_from,
         count_where,

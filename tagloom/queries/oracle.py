@@ -221,6 +221,10 @@ _ORACLE = {
         {_TREE} SELECT id, depth,
           row_number() OVER (ORDER BY a DESC, b DESC NULLS FIRST, c DESC NULLS FIRST) AS pos FROM tree""",
     "category_ancestors": f"{_TREE} SELECT id, path FROM tree",
+    "deep_pages": """
+        WITH placed AS (SELECT *, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS p FROM orders)
+        SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM placed
+        WHERE p BETWEEN 501 AND 540 OR p BETWEEN 1201 AND 1230""",
     "category_ancestors_of": f"""
         {_TREE} SELECT id, path FROM tree WHERE id IN (
           SELECT concat('c', c_custkey) FROM customer WHERE c_acctbal < 0

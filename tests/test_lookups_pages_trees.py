@@ -148,6 +148,29 @@ def test_positions_of_empty_and_hot_groups(spark):
     assert got == {(g, i): n + 1 for g, ids in groups.items() for n, i in enumerate(reversed(ids))}
 
 
+def test_pages_of_an_index_sort_nothing_again(spark, eight_tasks):
+    df = spark.range(0, 20_000, 1, 6).selectExpr("id AS k", "id % 7 AS g", "concat('wide', id) AS text", "if(id % 5 = 0, NULL, id % 11) AS n")
+    order = (F.col("g").desc(), F.col("n").asc_nulls_last(), F.col("k"))
+    index = paging.OrderedIndex(df, "k", ["g", "n"], *order)
+    want = [tuple(r) for r in df.orderBy(*order).collect()]
+    assert index.count() == len(want)
+    for first, size in ((0, 5), (7777, 20), (15_000, 3000), (19_990, 50), (20_000, 10), (3, 0)):
+        assert [tuple(r) for r in index.page(first, size).collect()] == want[first : first + size]
+    assert [tuple(r) for r in index.page_after(want[123][0], 4).collect()] == want[124:128]
+    assert index.page_after(-1, 4).collect() == [] and index.page(5, 3).columns == df.columns
+    plan = index.page(12_000, 30)._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "Sort [" not in plan and "TakeOrderedAndProject" in plan
+    assert "GreaterThan(position,12000)" in plan and "LessThanOrEqual(position,12030)" in plan
+    index.release()
+
+
+def test_wide_rows_stay_out_of_the_index(spark):
+    df = spark.range(50).selectExpr("id AS k", "repeat('x', 1000) AS text")
+    index = paging.OrderedIndex(df, "k", [], F.col("k").desc())
+    assert index._index.columns == ["position", "key"]
+    assert [r.k for r in index.page(48, 5).collect()] == [1, 0]
+
+
 def test_count_where(spark):
     assert paging.count_where(spark.range(10), "id > 6").first()["n"] == 3
     assert paging.count_where(spark.range(10)).first()["n"] == 10
