@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -212,6 +212,7 @@ def compute_delta(
     store: DeltaStore,
     watermark: dt.datetime | None = None,
     exclude: Collection[str] = (),
+    observed: Observation | None = None,
 ) -> TagResult:
     """Plan a run over the current version of a store, for its ``publish``.
 
@@ -224,13 +225,13 @@ def compute_delta(
     result = None
     if current and current.buckets == store.buckets and mark is not None and mark == current.mark:
         if _only_newer_rows(tag, watermark, exclude):
-            result = compute_tag(catalog, tag, prior, watermark, exclude, _touched_buckets(tag, current))
+            result = compute_tag(catalog, tag, prior, watermark, exclude, _touched_buckets(tag, current), observed)
             result.whole = False
             if _shape(result.frame.drop(*OLD).schema) != _shape(current.schema):
                 result.release()  # columns have changed, so all rows have
-                result = None
+                result, observed = None, Observation() if observed else None  # one serves one plan only
     if result is None:
-        result = compute_tag(catalog, tag, prior, watermark, exclude)
+        result = compute_tag(catalog, tag, prior, watermark, exclude, observed=observed)
     # A formula that failed left its old values, so the next run has to see all rows again.
     wanted = {i.name for i in tag.value_items if i.kind == "formula"}
     done = {i.name for level in result.formulas for i in level}

@@ -6,7 +6,7 @@ import datetime as dt
 from collections.abc import Callable, Collection
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..operators.formula import evaluate
@@ -57,6 +57,11 @@ class TagResult:
     release: Callable[[], None] = lambda: None
     mark: str | None = None
     whole: bool = True
+    observed: Observation | None = None
+
+    def counts(self) -> dict[str, int]:
+        """Rows that each item wrote a value into, once the frame has been published; '' is the number of rows."""
+        return dict(self.observed.get) if self.observed is not None else {}
 
 
 def item_message(tag: Tag, item: Item, error: BaseException) -> str:
@@ -131,12 +136,14 @@ def compute_tag(
     watermark: dt.datetime | None = None,
     exclude: Collection[str] = (),
     narrow: Narrow | None = None,
+    observed: Observation | None = None,
 ) -> TagResult:
     """Plan the new result of a tag from its sources and its prior result.
 
     Items that cannot be planned, and those in ``exclude``, keep their prior value or default. Apart from
     staging queries that several items read, nothing runs until the frame is used. ``narrow`` limits a run over a prior
-    result to some of its rows, once the frames of the items are known.
+    result to some of its rows, once the frames of the items are known. With ``observed`` the result counts what its items
+    write; columns that are not used are then computed all the same.
     """
     tag.validate()
     # An item with a bad default fails like one that cannot be planned, and its column takes the default of its type.
@@ -202,6 +209,9 @@ def compute_tag(
             columns[item.name] = F.when(raw.isNotNull(), value).otherwise(columns[item.name])
             if item.is_post_processed:
                 columns[item.raw_name] = F.coalesce(raw, columns[item.raw_name])
+    if observed is not None:
+        written = [F.count(F.col(f"`__new_{name}`")).alias(name) for name in joined]
+        wide = wide.observe(observed, F.count(F.lit(1)).alias(""), *written)
     kept = [] if fresh else [c for c in prior.columns if c.lower() not in {x.lower() for x in (key.name, *columns)}]
     result = wide.select(
         F.col(f"`{key.name}`"),
@@ -213,7 +223,7 @@ def compute_tag(
     for level in formula_levels(tuple(everything)):
         result, done = _apply_level(result, [i for i in level if i.name not in exclude], build)
         levels.append(done)
-    return TagResult(result, build.messages, build.failed, parts, levels, build.staging.release)
+    return TagResult(result, build.messages, build.failed, parts, levels, build.staging.release, observed=observed)
 
 
 def _as_new(frame: DataFrame, part: Part) -> DataFrame:

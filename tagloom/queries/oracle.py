@@ -236,6 +236,14 @@ _ORACLE = {
     "model_two_sources": """
         SELECT 'sales' AS tag, o_custkey AS id, max(o_totalprice) AS top FROM orders GROUP BY 2
         UNION ALL SELECT 'stock', s_suppkey, max(s_acctbal) FROM supplier GROUP BY 2""",
+    "run_counts": """
+        WITH o AS (SELECT o_custkey AS k, count(*) AS n, nullif(count(*) FILTER (
+            o_orderstatus = 'O' AND o_orderdate > TIMESTAMP '1999-01-01 00:00:00'), 0) AS open FROM orders GROUP BY 1),
+        r AS (SELECT DISTINCT o_custkey AS k FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'),
+        c AS (SELECT * FROM customer LEFT JOIN o ON o.k = c_custkey LEFT JOIN (SELECT k AS rk FROM r) ON rk = c_custkey)
+        SELECT 'customer_profile' AS tag, unnest(['(rows)', 'nation', 'n_orders', 'n_open', 'total', 'returned_qty']) AS item,
+          unnest([count(*), count(*) FILTER (c_nationkey IN (SELECT n_nationkey FROM nation)), count(n), count(open), count(n), count(rk)])
+            AS n_rows FROM c""",
     "runlog_append": """
         SELECT 'm' AS model, 'failed' AS status, '["first", "' || count(*) || ' errors", "third", "last"]' AS messages
         FROM events WHERE event_type = 'error'""",

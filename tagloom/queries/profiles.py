@@ -200,6 +200,18 @@ def model_two_sources(spark, folder):
     return named[0].unionByName(named[1])
 
 
+def run_counts(spark, folder):
+    """How many rows each item of a run wrote into, as the report of the run tells."""
+    where = f"{shared_folder(spark)}/run-counts-{uuid.uuid4().hex}"
+    store = PathStore(spark, f"{where}/result")
+    model = Model("counts", (CUSTOMER_PROFILE,))
+    report = run_model(catalog(spark, folder), model, lambda tag: store, RunLog(spark, f"{where}/log"))
+    if report.messages:
+        raise RuntimeError("; ".join(report.messages))
+    rows = [(tag, item or "(rows)", n) for tag, counts in report.counts.items() for item, n in counts.items()]
+    return spark.createDataFrame(rows, "tag string, item string, n_rows bigint")
+
+
 def runlog_append(spark, folder):
     """Messages of a run, one of them about the events, added step by step to one JSON array."""
     events = catalog(spark, folder).table("events")
@@ -214,5 +226,5 @@ def runlog_append(spark, folder):
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (customer_profile, user_profile, model_run, model_two_sources, runlog_append)
+    f.__name__: f for f in (customer_profile, user_profile, model_run, model_two_sources, run_counts, runlog_append)
 }

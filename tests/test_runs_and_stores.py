@@ -13,7 +13,9 @@ from tagloom import (
     Catalog, Item, Model, Param, PathStore, PostProcess, RunLog, SpecError, Staging, TableStore, Tag, compute_tag, load_model,
     require_all, run_model,
 )
+from tagloom import DeltaStore
 from tagloom.operators.result import drop_column, truncate
+from tagloom.plans import model as model_module
 from tagloom.plans.metadata import item_from_row, ordered_items, param_from_row
 from tagloom.queries.profiles import _metadata
 from tagloom.sources import staging as staging_module
@@ -306,3 +308,46 @@ def test_compaction_keeps_every_row_once(spark, tmp_path, monkeypatch):
     # A job that dies after writing the new file leaves rows twice, which readers take once.
     spark.read.parquet(str(files[0])).write.mode("append").parquet(str(tmp_path / "log" / f"day={today}"))
     assert sorted(map(tuple, log.runs().collect())) == before and log.last_success("m") is None
+
+
+@pytest.mark.parametrize("where", [0, 13, 16, 31])
+def test_one_fault_in_32_parts_takes_six_jobs(spark, monkeypatch, where):
+    jobs = []
+    run = model_module._runs
+    monkeypatch.setattr(model_module, "_runs", lambda frames: (jobs.append(len(frames)), run(frames))[1])
+    frame = lambda n: spark.range(2).select(F.when(F.lit(n == where), F.raise_error(F.lit(f"no {n}"))).otherwise(F.col("id")))
+    found = model_module.faults(range(32), frame)
+    assert [p for p, _ in found] == [where] and f"no {where}" in str(found[0][1]) and len(jobs) <= 6
+
+
+def test_all_faults_are_found(monkeypatch):
+    import random
+
+    rng = random.Random(4)
+    for n in (*range(0, 9), 33):
+        for _ in range(30):
+            bad, jobs = {k for k in range(n) if rng.random() < rng.choice([0, 0.1, 0.6, 1])}, []
+
+            def runs(frames):
+                jobs.append(frames)
+                first = next((k for k in frames if k in bad), None)
+                return None if first is None else ValueError(first)
+
+            monkeypatch.setattr(model_module, "_runs", runs)
+            found = model_module.faults(range(n), lambda k: k)
+            assert {p for p, _ in found} == bad and all(e.args[0] == p for p, e in found)
+            assert len(jobs) <= len(bad) * (n.bit_length() + 1) + n.bit_length() + 1
+
+
+def test_the_report_counts_rows_per_item(spark, catalog, tmp_path):
+    some = Item("some", "sql", "SELECT k, v FROM facts WHERE k = 2 UNION ALL SELECT 77, 1", type="double")
+    none = Item("none", "sql", "SELECT k, v FROM facts WHERE k > 99", type="double")
+    bad = Item("bad", "sql", "SELECT nothing FROM facts", type="double")
+    tags = (Tag("a", (KEY, VALUE, some, none, bad)), Tag("b", (KEY, VALUE)), Tag("c", (VALUE,)))
+    stores = {"a": PathStore(spark, str(tmp_path / "a")), "b": DeltaStore(spark, str(tmp_path / "b"), 4)}
+    log = RunLog(spark, str(tmp_path / "log"))
+    report = run_model(catalog, Model("m", tags), lambda t: stores[t.name], log)
+    assert report.counts == {"a": {"": 2, "v": 2, "some": 1, "none": 0}, "b": {"": 2, "v": 2}}
+    assert report.seconds.keys() == {"a", "b", "c"} and len(report.messages) == 2
+    again = run_model(catalog, Model("m", tags[:2]), lambda t: stores[t.name], log)
+    assert again.counts["b"] == {"": 2, "v": 2}
