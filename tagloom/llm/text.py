@@ -61,9 +61,9 @@ def slices(
 
 
 def add_columns(
-    df: DataFrame, task: Callable[[pa.RecordBatch], list[pa.Array]], new: str, text: str = "text"
+    df: DataFrame, task: Callable[[pa.RecordBatch], list[pa.Array]], new: str, text: str = "text", size: int = SLICE_BYTES
 ) -> DataFrame:
-    """Add columns that ``task`` computes from the column ``text`` of Arrow pieces.
+    """Add columns that ``task`` computes from the column ``text`` of Arrow pieces of about ``size`` bytes of text.
 
     ``new`` is their schema as text; a new column replaces one of the same name, and all others stay.
     """
@@ -80,7 +80,7 @@ def add_columns(
     kept, added = list(place), [f.name for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches):
+        for piece in slices(batches, size=size):
             yield pa.RecordBatch.from_arrays([piece[a] for a in kept] + task(piece), kept + added)
 
     out = source.mapInArrow(run, schema)

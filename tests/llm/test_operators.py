@@ -160,25 +160,71 @@ def test_numbers_beside_numbers_and_named_values_are_found(spark, make_docs):
 
 def test_forward_sums_all_segmentations():
     keys = langid.pieces(tokenizer_file(langid.VOCABULARY))
-    known = {int(k).to_bytes(n, "little"): i for i, (n, k) in enumerate((n + 1, k) for n in range(8) for k in keys[n])}
+    every = langid.piece_bytes(keys)
+    known = {p: i for i, p in enumerate(every)}
+    assert len(known) == len(every) and max(map(len, every)) > 20  # no piece is too long
     rng = np.random.default_rng(0)
     p = rng.random((len(known), 2))
     p /= p.sum(0)
 
     def total(word, lang):
-        if not word:
-            return 1.0
-        return sum(p[known[word[:n]], lang] * total(word[n:], lang) for n in range(1, min(8, len(word)) + 1) if word[:n] in known)
-
-    cases = [b" the", b" a", b" \xc3\xa9t\xc3\xa9", b" keitung"]
+        # sums[i]: all segmentations of the first i bytes
+        sums = [1.0]
+        for end in range(1, len(word) + 1):
+            sums.append(sum(sums[i] * p[known[word[i:end]], lang] for i in range(max(0, end - 40), end) if word[i:end] in known))
+        return sums[-1]
+
+    longest = sorted(every, key=len)[-3:]
+    cases = [b" the", b" a", b" \xc3\xa9t\xc3\xa9", b" keitung", "すべての日本語の文".encode(), *longest, b" x".join(longest), b"ab" + longest[0] + longest[1]]
     logs = langid.Lattice(cases, keys).forward(p)
     for k, word in enumerate(cases):
         for lang in range(2):
             assert math.isclose(logs[k, lang], math.log(total(word, lang)), rel_tol=1e-9)
-    # Expected uses add up to the bytes of the words, each covered once.
-    sizes = np.concatenate([np.full(len(k), n + 1) for n, k in enumerate(keys)])
-    uses = langid.Lattice(cases, keys).expected(p[:, 0], np.array([1.0, 2, 3, 4]))
+    # Expected uses add up to the bytes of the words, each covered once, also where probabilities leave the range of doubles.
+    cases += [b" " + "漢字かな".encode() * 100, b" " + b"internationalization" * 60]
+    sizes = np.array([len(x) for x in every])
+    weight = np.arange(1.0, len(cases) + 1)
+    uses = langid.Lattice(cases, keys).expected(p[:, 0], weight)
     assert math.isclose((uses * sizes).sum(), sum(len(w) * (k + 1) for k, w in enumerate(cases)))
+    # Uses by their definition, over all segmentations.
+    def cuts(word):
+        return [[]] if not word else [[word[:n], *c] for n in range(1, len(word) + 1) if word[:n] in known for c in cuts(word[n:])]
+
+    word = b" there"
+    chance = [(math.prod(p[known[x], 0] for x in c), Counter(c)) for c in cuts(word)]
+    whole = sum(x for x, _ in chance)
+    uses = langid.Lattice([word], keys).expected(p[:, 0], np.ones(1))
+    want = {x: sum(q * c[x] for q, c in chance) / whole for x in set().union(*(c for _, c in chance))}
+    assert len(want) > 9 and all(math.isclose(uses[known[x]], n, rel_tol=1e-9) for x, n in want.items())
+
+
+def test_lattices_in_blocks_hold_every_word():
+    words = [b"x" * n for n in (5, 900, 1, 1, 1, 300, 2000, 7)]
+    parts = list(langid.blocks(words, 310))
+    assert [w for part in parts for w in words[part]] == words and list(langid.blocks([], 3)) == []
+    assert all(sum(map(len, words[part])) <= 310 or part.stop - part.start == 1 for part in parts)
+
+
+def test_texts_without_blanks_are_told_apart(spark, make_docs):
+    """Chinese and Japanese clauses of far more bytes than any usual word."""
+    rng = random.Random(21)
+    chinese = ["我们今天去学校学习", "这个问题很重要但是没有人回答", "中国的经济发展得非常快", "他说他不知道这件事情的原因"]
+    japanese = ["私たちは今日学校に行きました", "この問題はとても重要ですが誰も答えません", "日本の経済はとても早く発展した", "彼は理由を知らないと言っています"]
+    make = lambda pool: "".join(rng.choice(pool) for _ in range(8))
+    train = make_docs([make(chinese) for _ in range(30)], "zh").union(make_docs([make(japanese) for _ in range(30)], "ja"))
+    vocabulary = tokenizer_file(langid.VOCABULARY)
+    model = langid.fit(train, vocabulary)
+    texts = [make(chinese) for _ in range(20)] + [make(japanese) for _ in range(20)]
+    rows = {r.doc_id: r for r in langid.predict(make_docs(texts), model, vocabulary).collect()}
+    assert [rows[k].lang_pred for k in range(40)] == ["zh"] * 20 + ["ja"] * 20 and min(r.score for r in rows.values()) > 0.9
+
+
+def test_dirty_labels_are_bounded(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    train = make_docs(["the cat and the dog"] * 5, "en").union(make_docs(["le chat et la maison"] * 5, "fr"))
+    for k in range(4):
+        train = train.union(make_docs(["noise"], f"x{k}"))
+    assert langid.fit(train, tokenizer_file(langid.VOCABULARY)).langs == ("en", "fr")
 
 
 def test_language_of_held_out_documents(spark):
