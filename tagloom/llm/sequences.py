@@ -11,6 +11,7 @@ lets a reader jump to a batch.
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 import zlib
@@ -30,53 +31,88 @@ from .text import slices
 LENGTH = 2048
 BATCH = 256  # sequences
 END = 0
-CACHE_WORDS = 800_000
-_WHITE_RUN = re.compile(r" \s|\s ")
+CACHE_UNITS = 800_000
 
+# Letters, numbers and white space below U+0250, and the units a byte-level pre-tokenizer cuts texts into.
+_LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_SPACE = " \\t\\n\\r\\f\\v\x85\xa0"
+_UNIT = re.compile(
+    f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+)
+_BEYOND = re.compile("[^\0-\u024f]")
 
-class _Words(dict):
-    """Ids of a blank and the word after it, as bytes, for words met before; a bounded memory of the tokenizer."""
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte: itself where it is printable, else the next one from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
+
+
+class _Units(dict):
+    """Ids, as bytes, of units met before; a bounded memory of the tokenizer's model.
+
+    The pre-tokenizer cuts a text into units by a fixed pattern, and the model encodes each by itself, so a text is the
+    joined ids of its units. Texts that are not cut here for sure are given to the tokenizer whole: those with
+    characters from U+0250 on, whose classes depend on the Unicode version, those that hold an added token, and all texts if the
+    tokenizer is no plain byte-level one.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         self.wide = self.tokenizer.get_vocab_size() > 1 << 16
         self.type = np.dtype("<u4" if self.wide else "<u2")
+        self.letters = _byte_letters()
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        form = json.loads(self.tokenizer.to_str())
+        before = form["pre_tokenizer"] or {}
+        self.plain = (
+            before.get("type") == "ByteLevel"
+            and not before.get("add_prefix_space")
+            and before.get("use_regex", True)
+            and form["normalizer"] is None
+            and form["model"]["type"] == "BPE"
+            and not form["model"].get("dropout")
+        )
 
-    def encode(self, text: str) -> bytes:
+    def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.encode(" " + word)
-        if len(self) < CACHE_WORDS:
-            self[word] = ids
+    def __missing__(self, unit: str) -> bytes:
+        shown = unit.encode().decode("latin-1").translate(self.letters)
+        ids = np.array([t.id for t in self.model.tokenize(shown)], self.type).tobytes()
+        if len(self) < CACHE_UNITS:
+            self[unit] = ids
         return ids
 
 
 @lru_cache(maxsize=1)
-def _words(path: str) -> _Words:
+def _units(path: str) -> _Units:
     """One per worker process and tokenizer file."""
-    return _Words(path)
-
+    return _Units(path)
 
-def encode(text: str, words: _Words) -> bytes:
-    """Ids of a whole text.
 
-    The byte-level pre-tokenizer starts a new piece at every blank between two characters that are no white space, so
-    such a text may be encoded word by word. Texts with blanks beside white space, or at an end, are given to the
-    tokenizer whole.
-    """
+def encode(text: str, units: _Units) -> bytes:
+    """Ids of a whole text, as the tokenizer gives them without special tokens of its own."""
     if not text:
         return b""
-    if text[0] == " " or text[-1] == " " or _WHITE_RUN.search(text):
-        return words.encode(text)
-    first, *rest = text.split(" ")
-    return words.encode(first) + b"".join(map(words.__getitem__, rest))
+    if not units.plain or _BEYOND.search(text) or any(t in text for t in units.added):
+        return units.whole(text)
+    return b"".join(map(units.__getitem__, _UNIT.findall(text)))
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, as Spark itself resolves it: without one it belongs to the default file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
 
 
 def _filesystem(url: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a qualified path; ``file:/folder`` is how Spark writes a local one."""
     return pafs.FileSystem.from_uri(url) if "://" in url else (pafs.LocalFileSystem(), url.removeprefix("file:"))
 
 
@@ -101,9 +137,9 @@ class Writer:
         self.ids: list[np.ndarray] = []
         self.size = 0
         self.ends: list[int] = []  # places of last tokens that are not yet written
-        self.docs: list[int] = []
+        self.docs: list[int | None] = []
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.ids.append(ids)
         self.size += len(ids)
         self.ends.append(self.size - 1)
@@ -170,7 +206,7 @@ class Reader:
         row = self.batch(k).slice(n - int(self.first[k]), 1)
         return row["ids"].flatten().to_numpy(), row["mask"].flatten().to_numpy(zero_copy_only=False)
 
-    def documents(self) -> Iterator[tuple[int, np.ndarray]]:
+    def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
         """(doc_id, ids with the end id) in order, put together again from the sequences."""
         rest: list[np.ndarray] = []
         for k in range(len(self.offsets)):
@@ -191,34 +227,37 @@ def write_sequences(
 ) -> list[tuple[str, int]]:
     """Write the ids of every whole text, each with the end id, in ascending ``id`` order; (url, tokens) of every part.
 
-    Null and empty texts have the end id only; repeated ids follow each other in no fixed order; rows whose id is null
-    are refused; an empty table gives no part. Only the two named columns are read. The texts are dealt out by ranges
-    of ids, so that every task writes one part and no task sees more than its range.
+    Null and empty texts have the end id only; rows without an id come first, with a null in ``doc_ids``; rows of one id
+    follow each other by a hash of their texts; an empty table gives no part. Only the two named columns are read. The
+    texts are dealt out by ranges of ids and hashes, so that every task writes one part, and an id with many texts is
+    spread over several.
     """
     spark = docs.sparkSession
-    folder = folder or f"{shared_folder(spark)}/sequences-{uuid.uuid4().hex}"
+    folder = qualified(spark, folder or f"{shared_folder(spark)}/sequences-{uuid.uuid4().hex}")
     source = docs.select(F.col(f"`{id}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    ranged = source.repartitionByRange("id").sortWithinPartitions("id")
+    order = ("id", "hash")
+    ranged = source.withColumn("hash", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, writer, first, total = _words(tokenizer), None, None, 0
+        units, writer, first, total = _units(tokenizer), None, None, 0
         for piece in slices(batches):
-            for doc_id, body in zip(piece["id"].to_pylist(), piece["text"].to_pylist()):
-                if doc_id is None:
-                    raise ValueError("a document without an id cannot be placed")
+            for doc_id, place, body in zip(*(piece[c].to_pylist() for c in ("id", "hash", "text"))):
                 if writer is None:
-                    first, url = doc_id, f"{folder}/part-{uuid.uuid4().hex}.arrows"
-                    writer = Writer(url, words.type, length)
-                ids = np.append(np.frombuffer(encode(body or "", words), words.type), words.type.type(END))
+                    first, url = (doc_id, place), f"{folder}/part-{uuid.uuid4().hex}.arrows"
+                    writer = Writer(url, units.type, length)
+                ids = np.append(np.frombuffer(encode(body or "", units), units.type), units.type.type(END))
                 writer.add(doc_id, ids)
                 total += len(ids)
         if writer is not None:
             writer.close()
-            yield pa.RecordBatch.from_pydict({"url": [url], "first": [first], "tokens": [total]})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x], t) for x, t in zip((url, *first, total), (pa.string(), pa.int64(), pa.int64(), pa.int64()))],
+                ["url", "first", "hash", "tokens"],
+            )
 
     # One row per part. Attempts that were repeated left files of other names, which no row refers to.
-    parts = ranged.mapInArrow(run, "url string, first bigint, tokens bigint").collect()
-    return [(p.url, p.tokens) for p in sorted(parts, key=lambda p: p.first)]
+    parts = ranged.mapInArrow(run, "url string, first bigint, hash bigint, tokens bigint").collect()
+    return [(p.url, p.tokens) for p in sorted(parts, key=lambda p: (p.first is not None, p.first or 0, p.hash))]
 
 
 def read_documents(spark: SparkSession, parts: list[tuple[str, int]]) -> DataFrame:

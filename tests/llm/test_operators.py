@@ -279,7 +279,6 @@ def test_sequence_files_round_trip(spark, make_docs, tmp_path):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     texts = [*ODD, "!" * 9, " lead", "trail ", "a  b", "it's we'll  n\n \n x", *(f"doc {k} text" for k in range(50))]
     docs = clashing(make_docs([*texts, (2, "again")]))
     parts = sequences.write_sequences(docs, tokenizer_file("byte_bpe_50k.json"), str(tmp_path), length=64)
@@ -309,13 +308,38 @@ def test_sequence_files_round_trip(spark, make_docs, tmp_path):
     assert sequences.read_documents(spark, sequences.write_sequences(make_docs([]), tokenizer_file("byte_bpe_50k.json"))).collect() == []
 
 
-def test_words_are_encoded_as_in_the_whole_text():
-    held = sequences._Words(tokenizer_file("byte_bpe_50k.json"))
-    rng = random.Random(7)
-    bits = ["a", "The", "'s", "é", "1", "\n", "\t", " ", " ", " ", ".", " ", " ", "!", "日本", "<|endoftext|>", "\x1f"]
-    for _ in range(4000):
-        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 10)))
-        assert sequences.encode(text, held) == held.encode(text), repr(text)
+def test_units_are_encoded_as_in_the_whole_text():
+    path = tokenizer_file("byte_bpe_50k.json")
+    held = sequences._Units(path)
+    assert held.plain and held.added == ["<|endoftext|>"]
+    rng = random.Random(9)
+    alphabet = ["a", "B", "the", "'s", "'", "'ll", "1", "23", " ", "  ", "\n", "\n\n", "\t", "\r", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", ".", ",", "!?",
+                "é", "ß", "ª", "º", "µ", "×", "÷", "²", "¼", "½", "\xad", "\xaa", "ǅ", "ɏ", "ſ", "\x00", "\x7f", "_", "<|endoftext|>", "<|"]
+    wild = [*alphabet, "😀", "漢字", "ʰ", "Ω", "\u2028", "\u3000", "٣"]
+    texts = [*filter(None, ODD), *("".join(rng.choice(alphabet) for _ in range(rng.randint(1, 25))) for _ in range(4000))]
+    texts += ["".join(rng.choice(wild) for _ in range(rng.randint(1, 25))) for _ in range(1000)]
+    # Every character that is cut here, in front of, between and behind others.
+    texts += [t for c in map(chr, range(0x250)) for t in (f"{c}{c}a {c}1{c} .{c}\n", f" {c}", f"a{c}", f"{c} {c}")]
+    for text in texts:
+        assert sequences.encode(text, held) == held.whole(text), repr(text)
+    assert 50256 in np.frombuffer(sequences.encode("a <|endoftext|> b", held), held.type).tolist()
+
+
+def test_sequences_of_null_and_repeated_ids(spark, make_docs, tmp_path):
+    pairs = [(None, "no id"), (None, None), (4, "one"), (4, "another text"), (4, "one"), (-2, ""), *((7, f"text {k}") for k in range(40))]
+    path = tokenizer_file("byte_bpe_50k.json")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        parts = sequences.write_sequences(clashing(make_docs(pairs)), path, str(tmp_path), length=8)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(parts) > 2 and all(url.startswith("file:") for url, _ in parts)  # the rows of id 7 are in several parts
+    rows = sorted(map(tuple, sequences.read_documents(spark, parts).collect()), key=lambda r: r[1])
+    assert [r[0] for r in rows] == sorted((k for k, _ in pairs), key=lambda k: (k is not None, k or 0))
+    assert [r[1] for r in rows] == [sum(r[2] for r in rows[:k]) for k in range(len(rows))]
+    held = sequences._Units(path)
+    crcs = lambda t: zlib.crc32(np.append(np.frombuffer(held.whole(t or "") if t else b"", held.type), 0).astype("<u4").tobytes())
+    assert sorted((str(r[0]), r[3]) for r in rows) == sorted((str(k), crcs(t)) for k, t in pairs)
 
 
 # near duplicates
