@@ -253,6 +253,8 @@ def test_topk_equals_brute_force(spark):
     rng = np.random.default_rng(2)
     vectors = [[float(x) for x in rng.normal(size=12)] for _ in range(300)]
     vectors += [vectors[0]] * 40 + [[1e12] * 12, [-1e12] * 12, [], [0.5] * 3, None, [float("nan")] * 12, [1.0, None]]
+    # Components whose squares leave the range of doubles; with them bounds are no numbers.
+    vectors += [[1e200] * 12, [-1e200, 1.0] * 6, [1e200] + [0.0] * 11, [1e160] * 12, [1e-300] * 12]
     rows = [*enumerate(vectors), (None, vectors[1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit(1)).repartition(4)
     found = topk.top_k(df.where("vec_id % 50 = 0 or vec_id >= 340"), df, block=3).collect()
@@ -263,15 +265,34 @@ def test_topk_equals_brute_force(spark):
     want = set()
     for q in ints:
         if q % 50 == 0 or q >= 340:
-            scored = [(-sum(a * b for a, b in zip(ints[q], v)), k) for k, v in ints.items() if k != q]
+            cut = lambda s: min(max(s, -(2**63)), 2**63 - 1)
+            scored = [(-cut(sum(a * b for a, b in zip(ints[q], v))), k) for k, v in ints.items() if k != q]
             for rank, (s, k) in enumerate(sorted(scored)[:5], 1):
-                want.add((q, rank, k, min(max(-s, -(2**63)), 2**63 - 1)))
+                want.add((q, rank, k, -s))
     assert {tuple(r) for r in found} == want
     few = spark.createDataFrame([(50, [1.0]), (50, [2.0]), (1, [1.0])], df.drop("id").schema)
     assert sorted(tuple(r) for r in topk.top_k(few.where("vec_id = 50"), few).collect()) == [(50, 1, 1, 65536)]
     assert topk.top_k(few.limit(0), few.limit(0)).collect() == []
 
 
+def test_bounds_rule_out_pairs_level_by_level(spark):
+    rng = np.random.default_rng(8)
+    # Vectors of very different means: most pairs go at the first level. Without structure the bounds decide little.
+    apart = [(k, (rng.normal(size=64) + (k % 40)).tolist()) for k in range(1500)]
+    alike = [(k, rng.normal(size=64).tolist()) for k in range(1500)]
+    for rows, least in ((apart, 0.7), (alike, 0.0)):
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2)
+        shares = topk.ruled_out(df.where("vec_id % 50 = 0"), df)
+        assert shares.keys() == set(topk.LEVELS) and least <= sum(shares.values()) <= 1
+        ints = np.floor(256 * np.array([v for _, v in rows])).astype(np.int64)
+        found = {(r.query_id, r.rank): (r.row_id, r.score) for r in topk.top_k(df.where("vec_id % 50 = 0"), df).collect()}
+        for q in range(0, 1500, 50):
+            score = ints @ ints[q]
+            order = [k for k in np.lexsort((np.arange(1500), -score)) if k != q][:5]
+            assert [found[q, r] for r in range(1, 6)] == [(k, score[k]) for k in order]
+    assert topk.ruled_out(df.limit(0), df) == dict.fromkeys(topk.LEVELS, 0.0)
+
+
 # sequence files
 
 
