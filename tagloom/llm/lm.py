@@ -34,6 +34,7 @@ LEAST = 2  # occurrences of a next token below which it tells nothing
 GAIN = 10.0  # bits that a state saves at least over all its occurrences
 DISCOUNT = 0.5
 SMOOTH = 0.1
+SLICE_TOKENS = 1 << 20  # words of one numpy step of a task (one longer text goes alone)
 FREQUENT = 200_000  # words whose probabilities go to every task
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 # White space is no word, so these hashes stand for the two ends of a text.
@@ -41,12 +42,12 @@ _END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 _START = np.uint64(xxhash.xxh64_intdigest(b" "))
 
 
-def tokens(parts: list[list[bytes]], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tokens(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens, each text's end included, and the place of each in its text."""
     whole = sizes + 1
     out = np.full(int(whole.sum()), _END, np.uint64)
     place = np.arange(len(out)) - np.repeat(np.cumsum(whole) - whole, whole)
-    out[place < np.repeat(sizes, whole)] = word_hashes(parts, int(sizes.sum()))
+    out[place < np.repeat(sizes, whole)] = words
     return out, place
 
 
@@ -159,13 +160,41 @@ def grow(contexts: np.ndarray, entries: np.ndarray, root: np.ndarray) -> Tree:
     )
 
 
-def _counted(source: DataFrame, keys) -> DataFrame:
-    """Sums over all texts of what ``keys`` gives for (tokens, places): one row per array of names and key columns."""
+def _tokenised(source: DataFrame) -> DataFrame:
+    """(doc_id, train, tokens) with the hashes of the words of every text; the ends are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches):
             parts, sizes = split_words(piece["text"].cast(pa.binary()).to_pylist())
-            for depth, key, following in keys(*tokens(parts, sizes)):
+            flat = pa.array(signed(word_hashes(parts, int(sizes.sum()))))
+            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), flat)
+            yield pa.RecordBatch.from_arrays([piece["doc_id"], piece["train"], lists], ["doc_id", "train", "tokens"])
+
+    return source.mapInArrow(run, "doc_id bigint, train boolean, tokens array<bigint>")
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Arrow batches in slices of about ``SLICE_TOKENS`` tokens: the rows, how many words each has, and ``tokens`` of them."""
+    for batch in batches:
+        sizes = np.diff(batch["tokens"].offsets.to_numpy()).astype(np.int64)
+        ends = np.cumsum(sizes)
+        at = 0
+        while at < batch.num_rows:
+            base = ends[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(ends, base + SLICE_TOKENS, "right")))
+            piece = batch.slice(at, stop - at)
+            words = piece["tokens"].flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            yield piece, sizes[at:stop], *tokens(words, sizes[at:stop])
+            at = stop
+
+
+def _counted(source: DataFrame, keys) -> DataFrame:
+    """Sums over all texts of what ``keys`` gives for (tokens, places): one row per array of names and key columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, token, place in _pieces(batches):
+            for depth, key, following in keys(token, place):
                 both = key if following is None else pair(key, following)
                 _, first, number = np.unique(both, return_index=True, return_inverse=True)
                 zero = np.zeros(len(first), np.int64)
@@ -179,7 +208,7 @@ def _counted(source: DataFrame, keys) -> DataFrame:
                     ["depth", "key", "next", "n"],
                 )
 
-    rows = source.select("text").mapInArrow(run, "depth int, key bigint, next bigint, n bigint")
+    rows = source.select("tokens").mapInArrow(run, "depth int, key bigint, next bigint, n bigint")
     return rows.groupBy("depth", "key", "next").agg(F.sum("n").alias("n"))
 
 
@@ -188,7 +217,7 @@ def _unsigned(table: pa.Table, name: str) -> np.ndarray:
 
 
 def train_tree(source: DataFrame, vocabulary: DataFrame, total: int, distinct: int) -> Tree:
-    """The tree of the column ``text``, given its vocabulary (hash, n) and the numbers of tokens and distinct tokens."""
+    """The tree of the column ``tokens``, given its vocabulary (hash, n) and the numbers of tokens and distinct tokens."""
     enough = max(LEAST, SHARE * total)
     # At most 1 / SHARE words; only contexts made of them can reach the share.
     words = np.sort(_unsigned(vocabulary.where(F.col("n") >= enough).select("hash").toArrow(), "hash"))
@@ -252,6 +281,9 @@ def score(docs: DataFrame, train: Column, id: str = "doc_id", text: str = "text"
         F.col(f"`{text}`").cast("string").alias("text"),
         F.coalesce(train, F.lit(False)).alias("train"),
     )
+    # Texts are split and hashed once; all later passes read the hashes.
+    used: list[str] = []
+    source = written(_tokenised(source), "lm-tokens", used)
     learn = source.where("train")
     vocabulary = written(_vocabulary(learn), "lm-vocabulary")
     sums = vocabulary.agg(F.sum("n"), F.count("n")).first()
@@ -264,14 +296,13 @@ def score(docs: DataFrame, train: Column, id: str = "doc_id", text: str = "text"
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
-        for piece in slices(batches):
-            parts, sizes = split_words(piece["text"].cast(pa.binary()).to_pylist())
-            token, place = tokens(parts, sizes)
-            owner = np.repeat(np.arange(len(parts)), sizes + 1)
+        for piece, sizes, token, place in _pieces(batches):
+            texts = len(sizes)
+            owner = np.repeat(np.arange(texts), sizes + 1)
             gathered, at_root = tree.walk(token, place)
             at, known = _find(names, token)
             base = np.where(known, logs[at] if len(logs) else 0.0, 0.0)
-            add = lambda values: np.bincount(owner, values, len(parts))
+            add = lambda values: np.bincount(owner, values, texts)
             # The others by text and hash: how often, and how often the root decides.
             own, rest, rooted = owner[~known], token[~known], at_root[~known]
             order = np.lexsort((rest, own))
@@ -281,12 +312,12 @@ def score(docs: DataFrame, train: Column, id: str = "doc_id", text: str = "text"
             first = np.flatnonzero(new)
             times = np.diff(np.append(first, len(rest)))
             decides = np.add.reduceat(rooted.astype(np.int64), first) if len(first) else times
-            offsets = np.searchsorted(own[first], np.arange(len(parts) + 1))
+            offsets = np.searchsorted(own[first], np.arange(texts + 1))
             items = [pa.array(signed(rest[first])), pa.array(times.astype(np.int32)), pa.array(decides.astype(np.int32))]
             rare = pa.StructArray.from_arrays(items, ["hash", "times", "decides"])
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(row + np.arange(len(parts))),
+                    pa.array(row + np.arange(texts)),
                     piece["doc_id"],
                     piece["train"],
                     pa.array(sizes + 1),
@@ -297,13 +328,14 @@ def score(docs: DataFrame, train: Column, id: str = "doc_id", text: str = "text"
                 ],
                 ["row", "doc_id", "train", "n_tokens", "n_known", "base_score", "score", "rare"],
             )
-            row += len(parts)
+            row += texts
 
     schema = (
         "row bigint, doc_id bigint, train boolean, n_tokens bigint, n_known bigint, base_score double, score double, "
         "rare array<struct<hash:bigint,times:int,decides:int>>"
     )
     partial = written(source.mapInArrow(look_up, schema), "lm-partial")
+    emptied(spark, used[0])
     rare = partial.select("row", F.explode("rare").alias("r")).select("row", "r.*")
     log = F.log10(F.coalesce("n", F.lit(0)) + SMOOTH) - below
     rest = rare.join(vocabulary, "hash", "left").groupBy("row").agg(

@@ -28,6 +28,8 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "secret", "tel", "id")
 SPAN = "array<struct<kind:string,start:bigint,end:bigint>>"
 THRESHOLD = 0.5
+NAME_CHARS = 200  # characters of a token before a value that may name it
+MOST_DIGITS = 20  # numbers of more digits share one feature
 ROUNDS = 25
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -147,7 +149,7 @@ def _secret(text: str, start: int, value_start: int, end: int) -> Candidate | No
     letters = sum(c.isalpha() for c in value)
     if not digits and not letters:
         return None
-    named = text[start:value_start].rstrip("=:").lower()
+    named = text[max(start, value_start - NAME_CHARS) : value_start].rstrip("=:").lower()
     gap = text[max(0, value_start - 40) : value_start]
     separator = _SEPARATOR.search(gap)
     assigned = separator is not None and any(c in "=:" for c in separator.group())
@@ -201,7 +203,7 @@ def _number(text: str, start: int, end: int, run: int) -> Candidate | None:
         + _vote(cued[kind == "id"] and digits in ((9,) if kind == "id" else (7, 10, 11, 12)), not 7 <= digits <= 15)
     )
     marks = "".join(sorted(set(value) - set("0123456789"))).replace(" ", "_")
-    return Candidate(kind, start, start + len(value), votes, (f"digits={digits}", f"marks={marks}"))
+    return Candidate(kind, start, start + len(value), votes, (f"digits={min(digits, MOST_DIGITS)}", f"marks={marks}"))
 
 
 def _without(start: int, end: int, cut: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -242,9 +244,11 @@ def candidates(text: str, spans: list[tuple[int, str, int]], runs: list[tuple[in
 
     beside: list[tuple[int, int]] = []
     for pattern, group in ((_NAMED, 1), (_SHAPED, 0)):
+        first = last = 0  # of the token around the latest match; a long token may hold very many
         for m in pattern.finditer(text):
             beside.append(m.span(group))
-            first = _token(text, *m.span(group))[0]
+            if not first <= m.start(group) < last:
+                first, last = _token(text, *m.span(group))
             for a, b in _without(*m.span(group), base):
                 keep(_secret(text, first, a, b))
     beside = _merged([(a, "", b) for a, b in sorted(beside)])
@@ -417,7 +421,11 @@ def masked(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         return [pa.array(out, pa.string())]
 
     names = docs.columns
-    return add_columns(docs.withColumnRenamed(text, "__text"), task, f"`{text}` string", "__text").select(*names)
+    held = "__text"
+    while held in (c.lower() for c in names):
+        held += "_"
+    masked_ = add_columns(docs.withColumnRenamed(text, held), task, f"`{text}` string", held)
+    return masked_.select(*(f"`{c}`" for c in names))
 
 
 def join_spans(spans) -> F.Column:

@@ -293,6 +293,32 @@ def test_bounds_rule_out_pairs_level_by_level(spark):
     assert topk.ruled_out(df.limit(0), df) == dict.fromkeys(topk.LEVELS, 0.0)
 
 
+# personal data in long tokens
+
+
+def test_long_tokens_take_linear_time():
+    import hashlib
+    import time
+
+    hexes = [hashlib.md5(str(k).encode()).hexdigest() for k in range(4000)]
+    for joint in (".", "=", "/"):
+        text = joint.join(hexes)
+        began = time.process_time()
+        spans, runs = pii.base_spans(text)
+        found = pii.candidates(text, spans, runs)
+        assert len(found) >= 1 and time.process_time() - began < 4
+    numbers = {f for c in pii.candidates("call 5551234567", *pii.base_spans("call 5551234567")) for f in c.features}
+    assert numbers
+    many = "call " + "1" * 5000
+    assert {f for c in pii.candidates(many, *pii.base_spans(many)) for f in c.features if f.startswith("digits=")} <= {"digits=20", *(f"digits={k}" for k in range(20))}
+
+
+def test_masked_keeps_clashing_columns(spark, make_docs):
+    docs = make_docs(["write to a.b@example.com now", None]).withColumn("__text", F.lit("mine"))
+    rows = pii.masked(docs, pii.fit(docs)).orderBy("doc_id").collect()
+    assert [(r["text"], r["__text"]) for r in rows] == [("write to <EMAIL> now", "mine"), (None, "mine")]
+
+
 # sequence files
 
 
