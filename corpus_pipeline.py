@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tagloom.llm import langid, mixing, neardup, packing, pii
 from tagloom.llm.queries import tokenizer_file
 from tagloom.llm.text import table
+from tagloom.operators.paging import with_position
 from tagloom.sources.shared import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,13 +31,34 @@ def language(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     return found.where(sure).withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
+def row_keys(docs: DataFrame) -> DataFrame | None:
+    """The rows with a key of their own each, ``row_key``, written once; None if doc_id is such a key.
+
+    Keys rise with doc_id, rows without an id come last. Rows that agree in id and text are one.
+    """
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null")
+    if odd.isEmpty():
+        return None
+    named = docs.withColumn("row_hash", F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull()))
+    order = (F.col("id").asc_nulls_last(), F.col("hash"))
+    narrow = named.select(F.col("doc_id").alias("id"), F.col("row_hash").alias("hash")).distinct()
+    keys = with_position(narrow, *order, name="row_key")
+    one = named.dropDuplicates(["doc_id", "row_hash"])
+    same = one.doc_id.eqNullSafe(keys.id) & (one.row_hash == keys.hash)
+    return written(one.join(keys, same).drop("id", "hash", "row_hash"), "pipeline-rows")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest id; of rows that repeat it, one."""
-    found = neardup.near_duplicates(docs)
-    lead = found.where("kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(lead, "doc_id", "left_semi")
-    # Rows without an id cannot be told apart by it and stay as they are.
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """One document of each group of near copies, the one with the smallest id; of rows that agree in id and text, one.
+
+    Unlike texts with one id, and rows without an id, are documents of their own.
+    """
+    keyed = row_keys(docs)
+    rows = docs if keyed is None else keyed.drop("doc_id").withColumnRenamed("row_key", "doc_id")
+    lead = neardup.near_duplicates(rows).where("kept").select("doc_id").distinct()
+    if keyed is None:
+        return docs.join(lead, "doc_id", "left_semi").select(*COLUMNS)
+    return keyed.join(lead.withColumnRenamed("doc_id", "row_key"), "row_key", "left_semi").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -52,6 +74,12 @@ def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     domain of their label.
     """
     labelled = mixing.domains(table(spark, folder, "labels"))
+    keyed = row_keys(docs)
+    if keyed is not None:
+        # Rows are decided by keys of their own; a label is of every row that has its id.
+        ids = keyed.select("doc_id", "row_key")
+        labelled = labelled.join(ids, "doc_id").drop("doc_id").withColumnRenamed("row_key", "doc_id")
+        docs = keyed.withColumnRenamed("doc_id", "own_id").withColumnRenamed("row_key", "doc_id")
     model = mixing.fit(docs, labelled)
     names = model.domains
     members = mixing.posteriors(mixing.features(docs), model)
@@ -67,7 +95,10 @@ def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
             whole = whole | (F.get("p", F.lit(k)) == top)
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     kept = members.where(whole | (chance < fit.rate)).select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").select(*COLUMNS)
+    rows = docs.join(kept, "doc_id", "left_semi")
+    if keyed is not None:
+        rows = rows.drop("doc_id").withColumnRenamed("own_id", "doc_id")
+    return rows.select(*COLUMNS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
