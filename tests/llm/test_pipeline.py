@@ -52,3 +52,25 @@ def test_pipeline_of_no_documents(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{FOLDER}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_rows_without_a_unique_id_are_decided_one_by_one(spark):
+    """Unlike texts of one id are documents of their own; so are rows without an id, near copies of which leave one."""
+    long = lambda word: " ".join(f"{word}{k}" for k in range(60))
+    rows = [
+        (1, long("a")), (1, long("b")), (1, long("b")), (None, long("c")), (None, long("c") + " end"), (None, long("d")),
+        (2, long("a") + " end"), (3, long("e")), (0, long("d") + " tail"), (None, None), (4, None), (4, ""),
+    ]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in rows], pipeline.table(spark, FOLDER, "documents").schema)
+    found = pipeline.near_duplicates(spark, docs, FOLDER)
+    assert found.columns == list(pipeline.COLUMNS)
+    kept = sorted(((r.doc_id, r.text) for r in found.collect()), key=repr)
+    one_c = [t for k, t in kept if t and t.startswith("c0")]
+    assert len(one_c) == 1
+    rest = [(1, long("a")), (1, long("b")), (3, long("e")), (0, long("d") + " tail"), (None, None), (4, None), (4, "")]
+    assert sorted([r for r in kept if r[1] not in one_c], key=repr) == sorted(rest, key=repr)
+
+    mixed = pipeline.mixed(spark, found, FOLDER)
+    assert mixed.columns == list(pipeline.COLUMNS)
+    assert {(r.doc_id, r.text) for r in mixed.collect()} <= set(kept)
+    assert pipeline.row_keys(docs.where("doc_id in (0, 2, 3)")) is None
