@@ -1,21 +1,22 @@
 """Language-model scores by a probabilistic suffix tree over words.
 
 A text is a sequence of words and one end. The tree's root holds the smoothed distribution of single tokens. A longer
-context, up to ``DEPTH`` words before a token or back to the start of the text, becomes a state if it makes up
-``SHARE`` of all training tokens or more and its next-token distribution diverges from that of the context without its
-oldest word. A state keeps the next tokens that follow it often enough; all others have the shorter context's
-distribution, scaled to the remaining probability. A token is scored in the state of the longest suffix before it.
-
-All training texts are counted. As the counts of the contexts of one length add up to the tokens at most, there are no more than
-``1 / SHARE`` states and ``1 / ENTRY`` next tokens per length, so the tree fits into every task at any input size. The
-vocabulary may have any size: the probabilities of the most frequent words go to every task, all others are
-looked up by a join.
+context, up to ``DEPTH`` words before a token or back to the start of the text, is a candidate if it occurs ``EVIDENCE``
+times or more in the training texts, and becomes a state if its next-token distribution diverges from that of the
+context without its oldest word, or if a longer state needs it. A state keeps the next tokens that follow it ``LEAST`` times or more;
+all others have the shorter context's distribution, scaled to the remaining probability. A token is scored in the state
+of the longest suffix before it.
+
+Both numbers are counts, not shares, so a context that was seen often enough stays a state however large the corpus is, and
+the tree grows with it. It is therefore a pair of tables. As a next token of a context also follows the context's suffix, a
+token's logarithm is the root's plus one term for each state before it: what the state adds where it keeps the
+token, and the logarithm of its remaining share where it does not. Terms are looked up one by one: those of the most frequent states and next tokens
+go to every task, ``HELD`` rows of each at most, and all others are found by a join. Words are looked up likewise.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,14 +29,14 @@ from ..sources.shared import emptied, written
 from .text import mix, signed, slices, split_words, word_hashes
 
 DEPTH = 3
-SHARE = 5e-5
-ENTRY = 2e-6
-LEAST = 2  # occurrences of a next token below which it tells nothing
+EVIDENCE = 200  # occurrences of a context from which it is a candidate
+LEAST = 5  # occurrences of a next token below which it tells nothing
 GAIN = 10.0  # bits that a state saves at least over all its occurrences
 DISCOUNT = 0.5
 SMOOTH = 0.1
 SLICE_TOKENS = 1 << 20  # words of one numpy step of a task (one longer text goes alone)
-FREQUENT = 200_000  # words whose probabilities go to every task
+HELD = 1 << 20  # words, states and next tokens of which each task holds at most so many
+BITS = 26  # a filter of keys has two to the power of this many bits
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 # White space is no word, so these hashes stand for the two ends of a text.
 _END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
@@ -69,7 +70,8 @@ def context_keys(token: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray,
 
 
 def pair(context: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return mix(context ^ (token + _GOLD))
+    """The key of a next token of a context; both are hashes already."""
+    return context ^ token
 
 
 def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,84 +82,80 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_keys[at] == keys
 
 
-@dataclass(frozen=True)
-class Tree:
-    """States and their next tokens, by sorted key; logarithms to base 10."""
+class Bits:
+    """A filter of keys in a fixed number of bits: one that is there is always found, some others are too."""
 
-    states: np.ndarray
-    rest: np.ndarray  # log share left to tokens that the state does not keep
-    entries: np.ndarray
-    logs: np.ndarray
+    def __init__(self, rows: DataFrame, key: str):
+        place = F.pmod(F.col(key), F.lit(1 << BITS)) + 1
+        parts = rows.groupBy(F.bitmap_bucket_number(place).alias("part")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")
+        )
+        found = parts.collect()
+        self.bits = np.zeros((1 << BITS) // 8 if found else 0, np.uint8)
+        for part, bits in found:
+            at = (part - 1) * len(bits)
+            own = np.frombuffer(bits, np.uint8)[: len(self.bits) - at]
+            self.bits[at : at + len(own)] = own
 
-    def walk(self, token: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For every token the logarithm gathered in its states, and whether the root's probability comes on top."""
-        gathered, open_ = np.zeros(len(token)), np.ones(len(token), bool)
-        keys = context_keys(token, place)
-        for here, key in reversed(keys):
-            at, known = _find(self.states, key)
-            known &= open_[here]
-            here, key, at = here[known], key[known], at[known]
-            entry, kept = _find(self.entries, pair(key, token[here]))
-            gathered[here] += np.where(kept, self.logs[entry] if len(self.logs) else 0.0, self.rest[at] if len(self.rest) else 0.0)
-            open_[here[kept]] = False
-        return gathered, open_
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.bits):
+            return np.zeros(len(keys), bool)
+        place = keys & np.uint64((1 << BITS) - 1)
+        return (self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def grow(contexts: np.ndarray, entries: np.ndarray, root: np.ndarray) -> Tree:
-    """The tree from counts: rows (depth, key, suffix's key, n) of contexts, and rows (key, next, n) of next tokens with
-    the root's probability of each in ``root``.
+class Held:
+    """Values by key as sorted arrays."""
 
-    From short to long contexts: the state's own probabilities are discounted counts, and the state stays if it saves
-    ``GAIN`` bits over its suffix's distribution, or is the suffix of one that does.
+    def __init__(self, rows: pa.Table, key: str):
+        order = np.argsort(_unsigned(rows, key))
+        self.keys, self.values = _unsigned(rows, key)[order], rows["value"].to_numpy()[order].astype(np.float64)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values of keys, 0 where they are not held, and which are."""
+        at, known = _find(self.keys, keys)
+        return (np.where(known, self.values[at], 0.0) if len(self.keys) else np.zeros(len(keys))), known
+
+
+def hold(rows: DataFrame, key: str, value: Column) -> tuple[Held, DataFrame | None]:
+    """The values of the rows of the highest counts ``n``, at most ``HELD``, and a table of all others, if any.
+
+    Counts are cut at a power of the fourth root of two, which a histogram of few rows finds.
     """
-    order = np.lexsort((contexts["key"], contexts["depth"]))
-    contexts = contexts[order]
-    by_key = np.argsort(entries["key"], kind="stable")
-    entries, root = entries[by_key], root[by_key]
-    first = np.searchsorted(entries["key"], contexts["key"], "left")
-    last = np.searchsorted(entries["key"], contexts["key"], "right")
-    # Shorter contexts are added before longer ones look their distribution up.
-    probability: dict[int, float] = {}
-    rest: dict[int, float] = {}
-    parent = {int(c["key"]): int(c["suffix"]) for c in contexts}
-    gains: dict[int, float] = {}
-
-    def shorter(key: int, tokens_: np.ndarray, at_root: np.ndarray) -> np.ndarray:
-        out, scale, left = np.zeros(len(tokens_)), 1.0, np.ones(len(tokens_), bool)
-        while key in rest:
-            pairs = pair(np.uint64(key), tokens_)
-            for k in np.flatnonzero(left).tolist():
-                p = probability.get(int(pairs[k]))
-                if p is not None:
-                    out[k], left[k] = scale * p, False
-            scale *= rest[key]
-            key = parent[key]
-        out[left] = scale * at_root[left]
-        return out
-
-    for c, a, b in zip(contexts, first.tolist(), last.tolist()):
-        key, n = int(c["key"]), float(c["n"])
-        own, count = entries["next"][a:b], entries["n"][a:b].astype(float)
-        before = shorter(int(c["suffix"]), own, root[a:b])
-        p = (count - DISCOUNT) / n
-        left = (1 - p.sum()) / max(1 - before.sum(), 1e-9)
-        gains[key] = float((count * np.log2(p / before)).sum() + (n - count.sum()) * np.log2(max(left, 1e-9)))
-        rest[key] = left
-        probability.update(zip(pair(np.uint64(key), own).tolist(), p.tolist()))
-    keep = {key for key, gain in gains.items() if gain >= GAIN}
-    for key in list(keep):
-        while (key := parent[key]) in gains:
-            keep.add(key)
-    states = np.array(sorted(keep), np.uint64)
-    inside = np.isin(entries["key"], states)
-    keys = pair(entries["key"][inside], entries["next"][inside])
-    keys = np.sort(keys)
-    return Tree(
-        states,
-        np.log10([max(rest[int(k)], 1e-9) for k in states]) if len(states) else np.empty(0),
-        keys,
-        np.log10([probability[int(k)] for k in keys]) if len(keys) else np.empty(0),
-    )
+    level = F.floor(4 * F.log2("n"))
+    cut, room = 0, HELD
+    for at, n in sorted(rows.groupBy(level.alias("level")).count().collect(), reverse=True):
+        room -= n
+        if room < 0:
+            cut = at + 1
+            break
+    named = rows.withColumn("level", level).select(key, value.alias("value"), "level")
+    held = Held(named.where(F.col("level") >= cut).select(key, "value").toArrow(), key)
+    return held, named.where(F.col("level") < cut).drop("level") if room < 0 else None
+
+
+def _walk(
+    token: np.ndarray, place: np.ndarray, states: Held, entries: Held, more_states: Bits | None, more_entries: Bits | None
+) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
+    """What the states before each token add to its logarithm, and (tokens, state, next token's key, rest) to look up.
+
+    A rest of NaN is to be looked up, too.
+    """
+    gathered, open_ = np.zeros(len(token)), []
+    for here, key in context_keys(token, place):
+        both = pair(key, token[here])
+        rest, known = states.find(key)
+        adds, kept = entries.find(both)
+        unsure = np.zeros(len(key), bool)
+        if more_states is not None:
+            unsure |= ~known & more_states.has(key)
+        if more_entries is not None:
+            unsure |= known & more_entries.has(both)
+        unsure &= ~kept
+        gathered[here] += np.where(unsure, 0.0, np.where(kept, adds, rest))
+        if unsure.any():
+            open_.append((here[unsure], key[unsure], both[unsure], np.where(known, rest, np.nan)[unsure]))
+    return gathered, open_
 
 
 def _tokenised(source: DataFrame) -> DataFrame:
@@ -216,15 +214,18 @@ def _unsigned(table: pa.Table, name: str) -> np.ndarray:
     return table[name].to_numpy().astype(np.int64).view(np.uint64)
 
 
-def train_tree(source: DataFrame, vocabulary: DataFrame, total: int, distinct: int) -> Tree:
-    """The tree of the column ``tokens``, given its vocabulary (hash, n) and the numbers of tokens and distinct tokens."""
-    enough = max(LEAST, SHARE * total)
-    # At most 1 / SHARE words; only contexts made of them can reach the share.
-    words = np.sort(_unsigned(vocabulary.where(F.col("n") >= enough).select("hash").toArrow(), "hash"))
-    allowed = np.sort(np.append(words, _START))
+def train_tree(source: DataFrame, vocabulary: DataFrame, total: int, distinct: int, used: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The tree of the column ``tokens``, given its vocabulary (hash, n) and the numbers of tokens and distinct tokens.
+
+    States are (key, n, rest), next tokens (pair, n, adds); ``rest`` and ``adds`` are logarithms to base 10. Their files
+    are added to ``used``.
+    """
+    own: list[str] = []
+    # All words of a candidate are frequent themselves. A filter may let more through, which the counts sort out.
+    words = Bits(vocabulary.where(F.col("n") >= EVIDENCE), "hash")
 
     def contexts(token: np.ndarray, place: np.ndarray):
-        fits = _find(allowed, token)[1]
+        fits = words.has(token)
         shorter = np.zeros(len(token), np.uint64)
         for d, (here, key) in enumerate(context_keys(token, place), 1):
             good = np.ones(len(here), bool)
@@ -233,30 +234,53 @@ def train_tree(source: DataFrame, vocabulary: DataFrame, total: int, distinct: i
             yield d, key[good], shorter[here[good]]  # a context names its suffix, so no row is added
             shorter[here] = key
 
-    found = _counted(source, contexts).where(F.col("n") >= enough).toArrow()
-    frequent = np.zeros(found.num_rows, [("depth", "i4"), ("key", "u8"), ("suffix", "u8"), ("n", "i8")])
-    frequent["depth"], frequent["key"], frequent["n"] = found["depth"].to_numpy(), _unsigned(found, "key"), found["n"].to_numpy()
-    frequent["suffix"] = _unsigned(found, "next")
-    states = np.sort(frequent["key"])
+    counted = _counted(source, contexts).where(F.col("n") >= EVIDENCE)
+    candidates = written(counted.select("depth", "key", F.col("next").alias("suffix"), F.col("n").alias("times")), "lm-contexts", own)
+    known = Bits(candidates, "key")
 
     def following(token: np.ndarray, place: np.ndarray):
         for d, (here, key) in enumerate(context_keys(token, place), 1):
-            known = _find(states, key)[1]
-            yield d, key[known], token[here[known]]
-
-    used: list[str] = []
-    often = max(LEAST, ENTRY * total)
-    pairs = written(_counted(source, following).where(F.col("n") >= often), "lm-next", used)
-    named = vocabulary.withColumnsRenamed({"hash": "next", "n": "alone"})
-    rows = pairs.join(named, "next").select("key", "next", "n", "alone").toArrow()
-
-    emptied(source.sparkSession, used[0])
-    entries = np.zeros(rows.num_rows, [("key", "u8"), ("next", "u8"), ("n", "i8")])
-    for name in ("key", "next"):
-        entries[name] = _unsigned(rows, name)
-    entries["n"] = rows["n"].to_numpy()
-    root = (rows["alone"].to_numpy() + SMOOTH) / (total + SMOOTH * (distinct + 1))
-    return grow(frequent, entries, root)
+            good = known.has(key)
+            yield d, key[good], token[here[good]]
+
+    pairs = _counted(source, following).where(F.col("n") >= LEAST).select("key", "next", "n")
+    p = (F.col("n") - DISCOUNT) / F.col("times")
+    pairs = written(pairs.join(candidates, "key").withColumn("p", p), "lm-pairs", own)
+    # A next token of a context follows the context's suffix at least as often, so its shorter form is there.
+    suffixes = pairs.select(F.col("key").alias("suffix"), "next", F.col("p").alias("before"))
+    alone = vocabulary.select(
+        F.col("hash").alias("next"), ((F.col("n") + SMOOTH) / (total + SMOOTH * (distinct + 1))).alias("before")
+    )
+    long_, short = pairs.where("depth > 1").join(suffixes, ["suffix", "next"]), pairs.where("depth = 1").join(alone, "next")
+    pairs = written(long_.unionByName(short).select("key", "next", "n", "p", "before"), "lm-next", own)
+    sums = pairs.groupBy("key").agg(
+        F.sum("p").alias("p"),
+        F.sum("before").alias("before"),
+        F.sum("n").alias("n"),
+        F.sum(F.col("n") * F.log2(F.col("p") / F.col("before"))).alias("saved"),
+    )
+    rest = (1 - F.col("p")) / F.greatest(1 - F.col("before"), F.lit(1e-9))
+    gain = F.col("saved") + (F.col("times") - F.col("n")) * F.log2(F.greatest("rest", F.lit(1e-9)))
+    grown = candidates.join(sums, "key").withColumn("rest", rest).withColumn("gain", gain)
+    grown = written(grown.select("depth", "key", "suffix", "times", "rest", "gain"), "lm-grown", own)
+    kept = None
+    for depth in range(DEPTH, 0, -1):
+        level = grown.where(F.col("depth") == depth)
+        if kept is not None:
+            needed = kept.where(F.col("depth") == depth + 1).select(F.col("suffix").alias("key"), F.lit(True).alias("needed")).distinct()
+            level = level.join(needed, "key", "left").where((F.col("gain") >= GAIN) | F.col("needed")).drop("needed")
+        else:
+            level = level.where(F.col("gain") >= GAIN)
+        kept = level if kept is None else kept.unionByName(level)
+    log = F.log10(F.greatest("rest", F.lit(1e-9)))
+    states = written(kept.select("key", F.col("times").alias("n"), log.alias("rest")), "lm-states", used)
+    entries = pairs.join(states.select("key"), "key", "left_semi").select(
+        F.col("key").bitwiseXOR(F.col("next")).alias("pair"), "n", F.log10(F.col("p") / F.col("before")).alias("adds")
+    )
+    entries = written(entries, "lm-entries", used)
+    for path in own:
+        emptied(source.sparkSession, path)
+    return states, entries
 
 
 def _vocabulary(source: DataFrame) -> DataFrame:
@@ -266,6 +290,19 @@ def _vocabulary(source: DataFrame) -> DataFrame:
     return _counted(source, each).select(F.col("key").alias("hash"), "n")
 
 
+def _by_text(texts: int, owner: np.ndarray, hashes: np.ndarray, more: dict[str, pa.Array]) -> pa.ListArray:
+    """For every text its distinct hashes, how often each occurs, and what ``more`` says of them."""
+    order = np.lexsort((hashes, owner))
+    owner, hashes = owner[order], hashes[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (hashes[1:] != hashes[:-1])
+    first = np.flatnonzero(new)
+    items = {"hash": pa.array(signed(hashes[first])), "times": pa.array(np.diff(np.append(first, len(hashes))).astype(np.int32))}
+    items |= {name: values.take(pa.array(order[first])) for name, values in more.items()}
+    offsets = np.searchsorted(owner[first], np.arange(texts + 1))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(list(items.values()), list(items)))
+
+
 def score(docs: DataFrame, train: Column, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, train, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
@@ -288,33 +325,26 @@ def score(docs: DataFrame, train: Column, id: str = "doc_id", text: str = "text"
     vocabulary = written(_vocabulary(learn), "lm-vocabulary")
     sums = vocabulary.agg(F.sum("n"), F.count("n")).first()
     total, distinct = sums[0] or 0, sums[1]
-    tree = train_tree(learn, vocabulary, total, distinct)
+    states, entries = train_tree(learn, vocabulary, total, distinct, used)
     below = float(np.log10(total + SMOOTH * (distinct + 1)))
-    top = vocabulary.orderBy(F.desc("n"), "hash").limit(FREQUENT).toArrow()
-    order = np.argsort(_unsigned(top, "hash"))
-    names, logs = _unsigned(top, "hash")[order], np.log10(top["n"].to_numpy()[order] + SMOOTH) - below
+    alone, _ = hold(vocabulary, "hash", F.log10(F.col("n") + SMOOTH) - below)
+    states, other_states = hold(states, "key", F.col("rest"))
+    entries, other_entries = hold(entries, "pair", F.col("adds"))
+    more_states = None if other_states is None else Bits(other_states, "key")
+    more_entries = None if other_entries is None else Bits(other_entries, "pair")
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
         for piece, sizes, token, place in _pieces(batches):
             texts = len(sizes)
             owner = np.repeat(np.arange(texts), sizes + 1)
-            gathered, at_root = tree.walk(token, place)
-            at, known = _find(names, token)
-            base = np.where(known, logs[at] if len(logs) else 0.0, 0.0)
             add = lambda values: np.bincount(owner, values, texts)
-            # The others by text and hash: how often, and how often the root decides.
-            own, rest, rooted = owner[~known], token[~known], at_root[~known]
-            order = np.lexsort((rest, own))
-            own, rest, rooted = own[order], rest[order], rooted[order]
-            new = np.ones(len(rest), bool)
-            new[1:] = (own[1:] != own[:-1]) | (rest[1:] != rest[:-1])
-            first = np.flatnonzero(new)
-            times = np.diff(np.append(first, len(rest)))
-            decides = np.add.reduceat(rooted.astype(np.int64), first) if len(first) else times
-            offsets = np.searchsorted(own[first], np.arange(texts + 1))
-            items = [pa.array(signed(rest[first])), pa.array(times.astype(np.int32)), pa.array(decides.astype(np.int32))]
-            rare = pa.StructArray.from_arrays(items, ["hash", "times", "decides"])
+            gathered, open_ = _walk(token, place, states, entries, more_states, more_entries)
+            base, known = alone.find(token)
+            rare = _by_text(texts, owner[~known], token[~known], {})
+            columns = [np.concatenate(c) for c in zip(*open_)] or [np.empty(0, np.int64), *[np.empty(0, np.uint64)] * 2, np.empty(0)]
+            at, key, both, rest = columns
+            far = _by_text(texts, owner[at], both, {"key": pa.array(signed(key)), "rest": pa.array(rest, from_pandas=True)})
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(row + np.arange(texts)),
@@ -323,33 +353,50 @@ def score(docs: DataFrame, train: Column, id: str = "doc_id", text: str = "text"
                     pa.array(sizes + 1),
                     pa.array(add(known).astype(np.int64)),
                     pa.array(add(base)),
-                    pa.array(add(gathered + base * at_root)),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rare),
+                    pa.array(add(gathered)),
+                    rare,
+                    far,
                 ],
-                ["row", "doc_id", "train", "n_tokens", "n_known", "base_score", "score", "rare"],
+                ["row", "doc_id", "train", "n_tokens", "n_known", "base_score", "gathered", "rare", "far"],
             )
             row += texts
 
     schema = (
-        "row bigint, doc_id bigint, train boolean, n_tokens bigint, n_known bigint, base_score double, score double, "
-        "rare array<struct<hash:bigint,times:int,decides:int>>"
+        "row bigint, doc_id bigint, train boolean, n_tokens bigint, n_known bigint, base_score double, gathered double, "
+        "rare array<struct<hash:bigint,times:int>>, far array<struct<hash:bigint,times:int,key:bigint,rest:double>>"
     )
     partial = written(source.mapInArrow(look_up, schema), "lm-partial")
-    emptied(spark, used[0])
-    rare = partial.select("row", F.explode("rare").alias("r")).select("row", "r.*")
+    each = lambda name: partial.select("row", F.explode(name).alias("r")).select("row", "r.*")
     log = F.log10(F.coalesce("n", F.lit(0)) + SMOOTH) - below
-    rest = rare.join(vocabulary, "hash", "left").groupBy("row").agg(
-        F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("k"),
-        F.sum(F.col("times") * log).alias("b"),
-        F.sum(F.col("decides") * log).alias("s"),
+    found = each("rare").join(vocabulary, "hash", "left").select(
+        "row",
+        F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0).alias("k"),
+        (F.col("times") * log).alias("b"),
+        F.lit(0.0).alias("s"),
     )
-    more = lambda a, b, zero: (F.col(a) + F.coalesce(b, F.lit(zero))).alias(a)
-    return partial.join(rest, "row", "left").select(
+    if more_states is not None or more_entries is not None:
+        far = each("far")
+        if other_states is not None:
+            # Rows whose state was held bring its rest along.
+            left = other_states.withColumnRenamed("value", "left")
+            asked = far.where(F.col("rest").isNull()).join(left, "key", "left").withColumn("rest", F.col("left")).drop("left")
+            far = far.where(F.col("rest").isNotNull()).unionByName(asked)
+        if other_entries is not None:
+            far = far.join(other_entries.withColumnsRenamed({"pair": "hash", "value": "adds"}), "hash", "left")
+        else:
+            far = far.withColumn("adds", F.lit(None).cast("double"))
+        value = F.coalesce("adds", "rest", F.lit(0.0))
+        far = far.select("row", F.lit(0).alias("k"), F.lit(0.0).alias("b"), (F.col("times") * value).alias("s"))
+        found = found.unionByName(far)
+    rest = found.groupBy("row").agg(F.sum("k").alias("k"), F.sum("b").alias("b"), F.sum("s").alias("s"))
+    more = lambda a, b, zero: F.col(a) + F.coalesce(b, F.lit(zero))
+    emptied(spark, used[0])  # the hashes, the largest of all
+    return partial.join(rest, "row", "left").withColumn("base_score", more("base_score", "b", 0.0)).select(
         "doc_id",
         "train",
         "n_tokens",
-        more("n_known", "k", 0),
+        more("n_known", "k", 0).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
-        more("base_score", "b", 0.0),
-        more("score", "s", 0.0),
+        "base_score",
+        (F.col("base_score") + more("gathered", "s", 0.0)).alias("score"),
     )

@@ -467,7 +467,7 @@ def brute_scores(texts, train):
 
 
 def test_language_model(spark, make_docs, monkeypatch):
-    monkeypatch.setattr(lm, "FREQUENT", 40)  # so that many words go through the join
+    monkeypatch.setattr(lm, "HELD", 40)  # so that many words, states and next tokens go through the joins
     folder = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").orderBy("doc_id")
     texts = [r.text for r in docs.collect()]
@@ -488,8 +488,11 @@ def test_language_model(spark, make_docs, monkeypatch):
     assert lm.score(make_docs([]), F.lit(True)).collect() == []
 
 
-def test_tree_follows_its_definition(spark, make_docs, monkeypatch):
-    monkeypatch.setattr(lm, "SHARE", 0.01)
+@pytest.mark.parametrize("held", [1 << 20, 6, 0])
+def test_tree_follows_its_definition(spark, make_docs, monkeypatch, held):
+    monkeypatch.setattr(lm, "HELD", held)
+    monkeypatch.setattr(lm, "EVIDENCE", 8)
+    monkeypatch.setattr(lm, "LEAST", 2)
     monkeypatch.setattr(lm, "GAIN", 1.0)
     rng = random.Random(6)
     texts = [" ".join(rng.choice(["the cat sat", "a dog ran", "the dog", "sat"]) for _ in range(rng.randint(1, 9))) for _ in range(80)]
@@ -505,7 +508,7 @@ def test_tree_follows_its_definition(spark, make_docs, monkeypatch):
                 following.setdefault(tuple(s[i - d : i]), Counter())[s[i]] += 1
     distinct = len(following[()])
     root = lambda w: (following[()][w] + 0.1) / (total + 0.1 * (distinct + 1))
-    frequent = {c for c in counts if c and counts[c] >= 0.01 * total}
+    frequent = {c for c in counts if c and counts[c] >= lm.EVIDENCE}
     kept = {c: {w: n for w, n in following[c].items() if n >= lm.LEAST} for c in frequent}
 
     def p(c, w):
@@ -541,6 +544,20 @@ def test_tree_follows_its_definition(spark, make_docs, monkeypatch):
         assert math.isclose(rows[k], want, rel_tol=1e-9), (k, found)
 
 
+def test_a_context_of_enough_evidence_is_a_state_in_any_corpus(spark, make_docs):
+    """A context seen 1,000 times is used, however many other tokens there are."""
+    own = ["red fox jumps"] * 1000
+    gained = []
+    for others in (0, 2000):
+        rng = random.Random(others)
+        noise = [" ".join(f"w{rng.randrange(5000)}" for _ in range(200)) + " red house" for _ in range(others)]
+        rows = {r.doc_id: r for r in lm.score(make_docs(own + noise), F.lit(True)).collect()}
+        gained.append(rows[0].score - rows[0].base_score)
+        # All but the first word follow from the words before them.
+        assert rows[0].score > math.log10(1000 / (1000 + others)) + 3 * math.log10(0.99)
+    assert gained[1] > gained[0] > 0
+
+
 # licenses
 
 
