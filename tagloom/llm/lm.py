@@ -3,7 +3,8 @@
 A text is a sequence of words and one end. The tree's root holds the smoothed distribution of single tokens. A longer
 context, up to ``DEPTH`` words before a token or back to the start of the text, is a candidate if it occurs ``EVIDENCE``
 times or more in the training texts, and becomes a state if its next-token distribution diverges from that of the
-context without its oldest word, or if a longer state needs it. A state keeps the next tokens that follow it ``LEAST`` times or more;
+context without its oldest word, or if a longer state needs it. Candidates are counted length by length, as a longer one is
+a shorter one and a next token, so what cannot reach the count is not shuffled. A state keeps the next tokens that follow it ``LEAST`` times or more;
 all others have the shorter context's distribution, scaled to the remaining probability. A token is scored in the state
 of the longest suffix before it.
 
@@ -17,6 +18,7 @@ go to every task, ``HELD`` rows of each at most, and all others are found by a j
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +31,8 @@ from ..sources.shared import emptied, written
 from .text import mix, signed, slices, split_words, word_hashes
 
 DEPTH = 3
-EVIDENCE = 200  # occurrences of a context from which it is a candidate
-LEAST = 5  # occurrences of a next token below which it tells nothing
+EVIDENCE = 500  # occurrences of a context from which it is a candidate
+LEAST = 25  # occurrences of a next token below which it tells nothing; at most EVIDENCE
 GAIN = 10.0  # bits that a state saves at least over all its occurrences
 DISCOUNT = 0.5
 SMOOTH = 0.1
@@ -52,14 +54,14 @@ def tokens(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, place
 
 
-def context_keys(token: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For 1 to ``DEPTH`` words of context: which tokens have that many before them, and the contexts' keys.
+def context_keys(token: np.ndarray, place: np.ndarray, depth: int = DEPTH) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For 1 to ``depth`` words of context: which tokens have that many before them, and the contexts' keys.
 
     The start of the text counts as a word. The key of a context is made from that of its suffix.
     """
     out = []
     key = np.zeros(len(token), np.uint64)
-    for d in range(1, DEPTH + 1):
+    for d in range(1, depth + 1):
         here = np.flatnonzero(place >= d - 1)
         before = token[here - d]  # of another text, or none, where the start comes instead
         before = np.where(place[here] == d - 1, _START, before)
@@ -172,15 +174,17 @@ def _tokenised(source: DataFrame) -> DataFrame:
     return source.mapInArrow(run, "doc_id bigint, train boolean, tokens array<bigint>")
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """Arrow batches in slices of about ``SLICE_TOKENS`` tokens: the rows, how many words each has, and ``tokens`` of them."""
+def _pieces(
+    batches: Iterator[pa.RecordBatch], size: int = SLICE_TOKENS
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Arrow batches in slices of about ``size`` tokens: the rows, how many words each has, and ``tokens`` of them."""
     for batch in batches:
         sizes = np.diff(batch["tokens"].offsets.to_numpy()).astype(np.int64)
         ends = np.cumsum(sizes)
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
-            stop = max(at + 1, int(np.searchsorted(ends, base + SLICE_TOKENS, "right")))
+            stop = max(at + 1, int(np.searchsorted(ends, base + size, "right")))
             piece = batch.slice(at, stop - at)
             words = piece["tokens"].flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             yield piece, sizes[at:stop], *tokens(words, sizes[at:stop])
@@ -214,6 +218,30 @@ def _unsigned(table: pa.Table, name: str) -> np.ndarray:
     return table[name].to_numpy().astype(np.int64).view(np.uint64)
 
 
+def _level(depth: int, longer: Bits, likely: Bits):
+    """Keys to count for contexts of one length: the contexts (depth negative) with their suffixes, and their next tokens.
+
+    A context of enough evidence is a shorter one and its next token of as much evidence, in ``longer``; a next token of
+    a context is one of the context's suffix, in ``likely``. For single words both hold words.
+    """
+
+    def rows(token: np.ndarray, place: np.ndarray):
+        keys = context_keys(token, place, depth)
+        here, key = keys[-1]
+        shorter = np.zeros(len(token), np.uint64)
+        if depth > 1:
+            shorter[keys[-2][0]] = keys[-2][1]
+            good = longer.has(pair(shorter[here - 1], token[here - 1]))
+        else:
+            good = longer.has(token[here - 1]) | (place[here] == 0)
+        here, key, suffix = here[good], key[good], shorter[here[good]]
+        yield -depth, key, suffix
+        good = likely.has(pair(suffix, token[here]))
+        yield depth, key[good], token[here[good]]
+
+    return rows
+
+
 def train_tree(source: DataFrame, vocabulary: DataFrame, total: int, distinct: int, used: list[str]) -> tuple[DataFrame, DataFrame]:
     """The tree of the column ``tokens``, given its vocabulary (hash, n) and the numbers of tokens and distinct tokens.
 
@@ -221,38 +249,29 @@ def train_tree(source: DataFrame, vocabulary: DataFrame, total: int, distinct: i
     are added to ``used``.
     """
     own: list[str] = []
-    # All words of a candidate are frequent themselves. A filter may let more through, which the counts sort out.
-    words = Bits(vocabulary.where(F.col("n") >= EVIDENCE), "hash")
-
-    def contexts(token: np.ndarray, place: np.ndarray):
-        fits = words.has(token)
-        shorter = np.zeros(len(token), np.uint64)
-        for d, (here, key) in enumerate(context_keys(token, place), 1):
-            good = np.ones(len(here), bool)
-            for back in range(1, d + 1):
-                good &= fits[here - back] | (place[here] == back - 1)
-            yield d, key[good], shorter[here[good]]  # a context names its suffix, so no row is added
-            shorter[here] = key
-
-    counted = _counted(source, contexts).where(F.col("n") >= EVIDENCE)
-    candidates = written(counted.select("depth", "key", F.col("next").alias("suffix"), F.col("n").alias("times")), "lm-contexts", own)
-    known = Bits(candidates, "key")
-
-    def following(token: np.ndarray, place: np.ndarray):
-        for d, (here, key) in enumerate(context_keys(token, place), 1):
-            good = known.has(key)
-            yield d, key[good], token[here[good]]
-
-    pairs = _counted(source, following).where(F.col("n") >= LEAST).select("key", "next", "n")
-    p = (F.col("n") - DISCOUNT) / F.col("times")
-    pairs = written(pairs.join(candidates, "key").withColumn("p", p), "lm-pairs", own)
+    # Filters may let more through, which the counts sort out.
+    longer = Bits(vocabulary.where(F.col("n") >= EVIDENCE), "hash")
+    likely = Bits(vocabulary.where(F.col("n") >= LEAST), "hash")
+    candidates, pairs = [], []
+    for depth in range(1, DEPTH + 1):
+        level = _counted(source, _level(depth, longer, likely)).where(F.col("n") >= F.when(F.col("depth") < 0, EVIDENCE).otherwise(LEAST))
+        level = written(level, "lm-level", own)
+        some = level.where("depth < 0").select(
+            F.lit(depth).alias("depth"), "key", F.col("next").alias("suffix"), F.col("n").alias("times")
+        )
+        candidates.append(some)
+        p = (F.col("n") - DISCOUNT) / F.col("times")
+        found = level.where("depth > 0").select("key", "next", "n").join(some, "key").withColumn("p", p)
+        pairs.append(written(found.withColumn("pair", F.col("key").bitwiseXOR(F.col("next"))), "lm-pairs", own))
+        longer, likely = Bits(pairs[-1].where(F.col("n") >= EVIDENCE), "pair"), Bits(pairs[-1], "pair")
+    candidates, pairs = reduce(DataFrame.unionByName, candidates), reduce(DataFrame.unionByName, pairs)
     # A next token of a context follows the context's suffix at least as often, so its shorter form is there.
-    suffixes = pairs.select(F.col("key").alias("suffix"), "next", F.col("p").alias("before"))
+    suffixes = pairs.where(F.col("depth") < DEPTH).select(F.col("key").alias("suffix"), "next", F.col("p").alias("before"))
     alone = vocabulary.select(
         F.col("hash").alias("next"), ((F.col("n") + SMOOTH) / (total + SMOOTH * (distinct + 1))).alias("before")
     )
     long_, short = pairs.where("depth > 1").join(suffixes, ["suffix", "next"]), pairs.where("depth = 1").join(alone, "next")
-    pairs = written(long_.unionByName(short).select("key", "next", "n", "p", "before"), "lm-next", own)
+    pairs = written(long_.unionByName(short).select("key", "pair", "n", "p", "before"), "lm-next", own)
     sums = pairs.groupBy("key").agg(
         F.sum("p").alias("p"),
         F.sum("before").alias("before"),
@@ -275,7 +294,7 @@ def train_tree(source: DataFrame, vocabulary: DataFrame, total: int, distinct: i
     log = F.log10(F.greatest("rest", F.lit(1e-9)))
     states = written(kept.select("key", F.col("times").alias("n"), log.alias("rest")), "lm-states", used)
     entries = pairs.join(states.select("key"), "key", "left_semi").select(
-        F.col("key").bitwiseXOR(F.col("next")).alias("pair"), "n", F.log10(F.col("p") / F.col("before")).alias("adds")
+        "pair", "n", F.log10(F.col("p") / F.col("before")).alias("adds")
     )
     entries = written(entries, "lm-entries", used)
     for path in own:
