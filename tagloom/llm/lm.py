@@ -36,7 +36,8 @@ LEAST = 25  # occurrences of a next token below which it tells nothing; at most
 GAIN = 10.0  # bits that a state saves at least over all its occurrences
 DISCOUNT = 0.5
 SMOOTH = 0.1
-SLICE_TOKENS = 1 << 20  # words of one numpy step of a task (one longer text goes alone)
+SLICE_TOKENS = 1 << 19  # words of one numpy step of a task (one longer text goes alone)
+SCORE_TOKENS = 1 << 17  # the same while scoring, which keeps more arrays
 HELD = 1 << 20  # words, states and next tokens of which each task holds at most so many
 BITS = 26  # a filter of keys has two to the power of this many bits
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -354,7 +355,7 @@ def score(docs: DataFrame, train: Column, id: str = "doc_id", text: str = "text"
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
-        for piece, sizes, token, place in _pieces(batches):
+        for piece, sizes, token, place in _pieces(batches, SCORE_TOKENS):
             texts = len(sizes)
             owner = np.repeat(np.arange(texts), sizes + 1)
             add = lambda values: np.bincount(owner, values, texts)
