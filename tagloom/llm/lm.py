@@ -36,7 +36,8 @@ LEAST = 25  # occurrences of a next token below which it tells nothing; at most
 GAIN = 10.0  # bits that a state saves at least over all its occurrences
 DISCOUNT = 0.5
 SMOOTH = 0.1
-SLICE_TOKENS = 1 << 19  # words of one numpy step of a task (one longer text goes alone)
+SLICE_TOKENS = 1 << 18  # words of one numpy step of a task (one longer text goes alone)
+SPLIT_BYTES = 1 << 20  # the same of texts that are split, whose words are objects
 SCORE_TOKENS = 1 << 17  # the same while scoring, which keeps more arrays
 HELD = 1 << 20  # words, states and next tokens of which each task holds at most so many
 BITS = 26  # a filter of keys has two to the power of this many bits
@@ -165,7 +166,7 @@ def _tokenised(source: DataFrame) -> DataFrame:
     """(doc_id, train, tokens) with the hashes of the words of every text; the ends are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches):
+        for piece in slices(batches, size=SPLIT_BYTES):
             parts, sizes = split_words(piece["text"].cast(pa.binary()).to_pylist())
             flat = pa.array(signed(word_hashes(parts, int(sizes.sum()))))
             offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
