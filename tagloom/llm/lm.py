@@ -4,7 +4,8 @@ A text is a sequence of words and one end. The tree's root holds the smoothed di
 context, up to ``DEPTH`` words before a token or back to the start of the text, is a candidate if it occurs ``EVIDENCE``
 times or more in the training texts, and becomes a state if its next-token distribution diverges from that of the
 context without its oldest word, or if a longer state needs it. Candidates are counted length by length, as a longer one is
-a shorter one and a next token, so what cannot reach the count is not shuffled. A state keeps the next tokens that follow it ``LEAST`` times or more;
+a shorter one and a next token, so what cannot reach the count is not shuffled. For the same end a pass before each count
+adds up the next tokens by hashed places: one that is counted often has a place whose sum is as large. A state keeps the next tokens that follow it ``LEAST`` times or more;
 all others have the shorter context's distribution, scaled to the remaining probability. A token is scored in the state
 of the longest suffix before it.
 
@@ -17,7 +18,7 @@ go to every task, ``HELD`` rows of each at most, and all others are found by a j
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -41,10 +42,15 @@ SPLIT_BYTES = 1 << 20  # the same of texts that are split, whose words are objec
 SCORE_TOKENS = 1 << 17  # the same while scoring, which keeps more arrays
 HELD = 1 << 20  # words, states and next tokens of which each task holds at most so many
 BITS = 26  # a filter of keys has two to the power of this many bits
+PART = 16  # places are added up in parts of two to the power of this many
+GATHERED = 1 << 21  # places of which a task adds up so many at a time
+PLACES = 29  # a filter of places has two to the power of at most so many, one for about four tokens
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 # White space is no word, so these hashes stand for the two ends of a text.
 _END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 _START = np.uint64(xxhash.xxh64_intdigest(b" "))
+# Of tokens and their places: contexts and next tokens, one each for every occurrence.
+Following = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 def tokens(words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,30 +68,26 @@ def context_keys(token: np.ndarray, place: np.ndarray, depth: int = DEPTH) -> li
     The start of the text counts as a word. The key of a context is made from that of its suffix.
     """
     out = []
-    key = np.zeros(len(token), np.uint64)
+    here, key = np.arange(len(token)), np.zeros(len(token), np.uint64)
     for d in range(1, depth + 1):
-        here = np.flatnonzero(place >= d - 1)
-        before = token[here - d]  # of another text, or none, where the start comes instead
-        before = np.where(place[here] == d - 1, _START, before)
-        key = key.copy()
-        key[here] = mix(key[here] + _GOLD ^ before)
-        out.append((here, key[here]))
+        here, key = _longer(token, place, here, key, d)
+        out.append((here, key))
     return out
 
 
+def _longer(token: np.ndarray, place: np.ndarray, here: np.ndarray, key: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the tokens ``here`` have d words before them, and the keys of these, given those of one word less."""
+    whole = place[here] >= d - 1
+    here, key = here[whole], key[whole]
+    before = token[here - d]  # of another text, or none, where the start comes instead
+    return here, mix(key + _GOLD ^ np.where(place[here] == d - 1, _START, before))
+
+
 def pair(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     """The key of a next token of a context; both are hashes already."""
     return context ^ token
 
 
-def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in a sorted array, and which keys are there."""
-    if not len(sorted_keys):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return at, sorted_keys[at] == keys
-
-
 class Bits:
     """A filter of keys in a fixed number of bits: one that is there is always found, some others are too."""
 
@@ -104,21 +106,88 @@ class Bits:
     def has(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.bits):
             return np.zeros(len(keys), bool)
-        place = keys & np.uint64((1 << BITS) - 1)
+        place = keys & np.uint64(8 * len(self.bits) - 1)
         return (self.bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
+class Often(Bits):
+    """A filter of next tokens of contexts: one that follows its context ``LEAST`` times or more is always found."""
+
+    def __init__(self, source: DataFrame, following: Following, total: int):
+        """``following`` gives contexts and next tokens for (tokens, places); ``total`` is the number of tokens."""
+        width = min(PLACES, max(PART, (total // 4).bit_length()))
+        # Sums are compared with the count only, so larger ones need no room.
+        most = min(LEAST, 255)
+
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            gathered, size = [], 0
+            for _, _, token, place in _pieces(batches):
+                at = pair(*following(token, place)) & np.uint64((1 << width) - 1)
+                gathered.append(at.astype(np.uint32))
+                size += len(at)
+                if size >= GATHERED:
+                    yield packed(gathered)
+                    gathered, size = [], 0
+            yield packed(gathered)
+
+        def packed(gathered: list[np.ndarray]) -> pa.RecordBatch:
+            at, n = np.unique(np.concatenate([np.empty(0, np.uint32), *gathered]), return_counts=True)
+            part, first = np.unique(at >> np.uint32(PART), return_index=True)
+            gap = np.diff(at, prepend=np.uint32(0))
+            gap[first] = at[first] & np.uint32((1 << PART) - 1)
+            # A gap is as many bytes of 255 as it holds, and one of what is left.
+            ends = np.cumsum(gap // 255 + 1)
+            gaps = np.full(int(ends[-1]) if len(ends) else 0, 255, np.uint8)
+            gaps[ends - 1] = gap % 255
+            bounds = np.append(first, len(at))
+            columns = ((gaps, np.append(0, ends)[bounds]), (np.minimum(n, most).astype(np.uint8), bounds))
+            binary = [
+                pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(c)])
+                for c, at in columns
+            ]
+            return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *binary], ["part", "gaps", "n"])
+
+        def summed(group: pa.Table) -> pa.Table:
+            sums = np.zeros(1 << PART)
+            for gaps, n in zip(group["gaps"].to_pylist(), group["n"].to_pylist()):
+                steps = np.frombuffer(gaps, np.uint8)
+                at = np.cumsum(steps, dtype=np.int64)[steps < 255]
+                sums[at] += np.frombuffer(n, np.uint8)  # a row has every place once
+            bits = np.packbits(sums >= most, bitorder="little").tobytes()
+            return pa.table({"part": group["part"].slice(0, 1), "bits": pa.array([bits], pa.binary())})
+
+        rows = source.select("tokens").mapInArrow(places, "part int, gaps binary, n binary")
+        self.bits = np.zeros((1 << width) // 8, np.uint8)
+        size = (1 << PART) // 8
+        for part, bits in rows.groupBy("part").applyInArrow(summed, "part int, bits binary").collect():
+            self.bits[part * size : (part + 1) * size] = np.frombuffer(bits, np.uint8)
+
+
 class Held:
-    """Values by key as sorted arrays."""
+    """Values by key as sorted arrays, found by the first bits of the keys, which are hashes."""
 
     def __init__(self, rows: pa.Table, key: str):
-        order = np.argsort(_unsigned(rows, key))
-        self.keys, self.values = _unsigned(rows, key)[order], rows["value"].to_numpy()[order].astype(np.float64)
+        keys = _unsigned(rows, key)
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], rows["value"].to_numpy()[order].astype(np.float64)
+        bits = max(1, len(keys).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The values of keys, 0 where they are not held, and which are."""
-        at, known = _find(self.keys, keys)
-        return (np.where(known, self.values[at], 0.0) if len(self.keys) else np.zeros(len(keys))), known
+        if not len(self.keys):
+            return np.zeros(len(keys)), np.zeros(len(keys), bool)
+        last = len(self.keys) - 1
+        at = np.minimum(self.starts[keys >> self.shift], last)
+        below = np.flatnonzero(self.keys[at] < keys)
+        while len(below):
+            at[below] += 1
+            below = below[at[below] <= last]
+            below = below[self.keys[at[below]] < keys[below]]
+        at = np.minimum(at, last)
+        known = self.keys[at] == keys
+        return np.where(known, self.values[at], 0.0), known
 
 
 def hold(rows: DataFrame, key: str, value: Column) -> tuple[Held, DataFrame | None]:
@@ -143,19 +212,25 @@ def _walk(
 ) -> tuple[np.ndarray, list[tuple[np.ndarray, ...]]]:
     """What the states before each token add to its logarithm, and (tokens, state, next token's key, rest) to look up.
 
-    A rest of NaN is to be looked up, too.
+    A rest of NaN is to be looked up, too. A state's suffix is a state, and a next token of a state is one of its suffix,
+    so what is not found for a context is not looked for in longer ones.
     """
     gathered, open_ = np.zeros(len(token)), []
-    for here, key in context_keys(token, place):
-        both = pair(key, token[here])
+    here, key = np.arange(len(token)), np.zeros(len(token), np.uint64)
+    likely = np.ones(len(token), bool)  # whether the shorter context keeps the token, or may
+    for d in range(1, DEPTH + 1):
+        here, key = _longer(token, place, here, key, d)
         rest, known = states.find(key)
-        adds, kept = entries.find(both)
-        unsure = np.zeros(len(key), bool)
-        if more_states is not None:
-            unsure |= ~known & more_states.has(key)
+        state = known if more_states is None else known | more_states.has(key)
+        here, key, rest, known = here[state], key[state], rest[state], known[state]
+        both = pair(key, token[here])
+        asked = likely[here]
+        adds, kept, far = np.zeros(len(here)), np.zeros(len(here), bool), np.zeros(len(here), bool)
+        adds[asked], kept[asked] = entries.find(both[asked])
         if more_entries is not None:
-            unsure |= known & more_entries.has(both)
-        unsure &= ~kept
+            far[asked] = more_entries.has(both[asked])
+        likely[here] = kept | far
+        unsure = (~known | far) & ~kept
         gathered[here] += np.where(unsure, 0.0, np.where(kept, adds, rest))
         if unsure.any():
             open_.append((here[unsure], key[unsure], both[unsure], np.where(known, rest, np.nan)[unsure]))
@@ -220,26 +295,47 @@ def _unsigned(table: pa.Table, name: str) -> np.ndarray:
     return table[name].to_numpy().astype(np.int64).view(np.uint64)
 
 
-def _level(depth: int, longer: Bits, likely: Bits):
+def _contexts(token: np.ndarray, place: np.ndarray, depth: int, longer: Bits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts of one length that may have the evidence: the tokens after them, their keys, and their suffixes.
+
+    A context of enough evidence is a shorter one and its next token of as much evidence, in ``longer``; for single words it
+    holds words.
+    """
+    keys = context_keys(token, place, depth)
+    here, key = keys[-1]
+    shorter = np.zeros(len(token), np.uint64)
+    if depth > 1:
+        shorter[keys[-2][0]] = keys[-2][1]
+        good = longer.has(pair(shorter[here - 1], token[here - 1]))
+    else:
+        good = longer.has(token[here - 1]) | (place[here] == 0)
+    return token[here[good]], key[good], shorter[here[good]]
+
+
+def _following(depth: int, longer: Bits, likely: Bits) -> Following:
+    """Contexts of one length and their next tokens; these are next tokens of the context's suffix, too, in ``likely``."""
+
+    def rows(token: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        after, key, suffix = _contexts(token, place, depth, longer)
+        good = likely.has(pair(suffix, after))
+        return key[good], after[good]
+
+    return rows
+
+
+def _level(depth: int, longer: Bits, likely: Bits, often: Bits):
     """Keys to count for contexts of one length: the contexts (depth negative) with their suffixes, and their next tokens.
 
-    A context of enough evidence is a shorter one and its next token of as much evidence, in ``longer``; a next token of
-    a context is one of the context's suffix, in ``likely``. For single words both hold words.
+    Next tokens are those of ``_following`` that are in ``often``.
     """
 
     def rows(token: np.ndarray, place: np.ndarray):
-        keys = context_keys(token, place, depth)
-        here, key = keys[-1]
-        shorter = np.zeros(len(token), np.uint64)
-        if depth > 1:
-            shorter[keys[-2][0]] = keys[-2][1]
-            good = longer.has(pair(shorter[here - 1], token[here - 1]))
-        else:
-            good = longer.has(token[here - 1]) | (place[here] == 0)
-        here, key, suffix = here[good], key[good], shorter[here[good]]
+        after, key, suffix = _contexts(token, place, depth, longer)
         yield -depth, key, suffix
-        good = likely.has(pair(suffix, token[here]))
-        yield depth, key[good], token[here[good]]
+        good = likely.has(pair(suffix, after))
+        key, after = key[good], after[good]
+        good = often.has(pair(key, after))
+        yield depth, key[good], after[good]
 
     return rows
 
@@ -256,7 +352,8 @@ def train_tree(source: DataFrame, vocabulary: DataFrame, total: int, distinct: i
     likely = Bits(vocabulary.where(F.col("n") >= LEAST), "hash")
     candidates, pairs = [], []
     for depth in range(1, DEPTH + 1):
-        level = _counted(source, _level(depth, longer, likely)).where(F.col("n") >= F.when(F.col("depth") < 0, EVIDENCE).otherwise(LEAST))
+        often = Often(source, _following(depth, longer, likely), total)
+        level = _counted(source, _level(depth, longer, likely, often)).where(F.col("n") >= F.when(F.col("depth") < 0, EVIDENCE).otherwise(LEAST))
         level = written(level, "lm-level", own)
         some = level.where("depth < 0").select(
             F.lit(depth).alias("depth"), "key", F.col("next").alias("suffix"), F.col("n").alias("times")

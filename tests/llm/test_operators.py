@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle_check import duck_rows, spark_rows
 from pyspark.sql import functions as F
@@ -544,6 +545,41 @@ def test_tree_follows_its_definition(spark, make_docs, monkeypatch, held):
         assert math.isclose(rows[k], want, rel_tol=1e-9), (k, found)
 
 
+def test_next_tokens_that_are_rare_are_not_counted_one_by_one(spark, make_docs, monkeypatch):
+    """Words are frequent and most of their pairs are not, so few pairs are shuffled to be counted."""
+    counted, real = [], lm._counted
+
+    def spy(source, keys):
+        rows = real(source, keys)
+        counted.append(rows.where("depth = 1").count())
+        return rows
+
+    monkeypatch.setattr(lm, "_counted", spy)
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(60)) for _ in range(700)] + ["w1 w2 w3"] * 600
+    rows = {r.doc_id: r for r in lm.score(make_docs(texts), F.lit(True)).collect()}
+    pairs = Counter()
+    for t in texts:
+        own = ["<", *t.split(), ">"]
+        pairs.update(zip(own, own[1:]))
+    frequent = sum(n >= lm.LEAST for n in pairs.values())
+    assert frequent < 0.2 * len(pairs)
+    # Words are counted first, then contexts of one word.
+    assert frequent <= counted[1] < 0.1 * len(pairs)  # some share a place
+    assert rows[len(texts) - 1].score > rows[len(texts) - 1].base_score
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 1000])
+def test_held_values_are_found(n):
+    rng = np.random.default_rng(n)
+    keys = np.unique(np.append(rng.integers(0, 2**64, n, np.uint64), np.array([0, 2**64 - 1] if n > 2 else [], np.uint64)))
+    rows = pa.table({"key": pa.array(keys.view(np.int64)), "value": pa.array(np.arange(len(keys)) + 1.0)})
+    asked = np.concatenate([keys, keys + np.uint64(1), keys - np.uint64(1), rng.integers(0, 2**64, 100, np.uint64)])
+    values, known = lm.Held(rows, "key").find(asked)
+    own = {int(k): v for v, k in enumerate(keys, 1)}
+    assert values.tolist() == [own.get(int(k), 0) for k in asked] and known.tolist() == [int(k) in own for k in asked]
+
+
 def test_a_context_of_enough_evidence_is_a_state_in_any_corpus(spark, make_docs):
     """A context seen 1,000 times is used, however many other tokens there are."""
     own = ["red fox jumps"] * 1000
