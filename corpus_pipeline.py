@@ -48,6 +48,11 @@ def row_keys(docs: DataFrame) -> DataFrame | None:
     return written(one.join(keys, same).drop("id", "hash", "row_hash"), "pipeline-rows")
 
 
+def only(docs: DataFrame, ids: DataFrame, id: str) -> DataFrame:
+    """The rows whose id is among distinct ``ids``. Tasks hold a table of ids and pass texts on, which a merge join would sort."""
+    return docs.join(ids.hint("shuffle_hash"), id, "left_semi")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id; of rows that agree in id and text, one.
 
@@ -57,8 +62,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFr
     rows = docs if keyed is None else keyed.drop("doc_id").withColumnRenamed("row_key", "doc_id")
     lead = neardup.near_duplicates(rows).where("kept").select("doc_id").distinct()
     if keyed is None:
-        return docs.join(lead, "doc_id", "left_semi").select(*COLUMNS)
-    return keyed.join(lead.withColumnRenamed("doc_id", "row_key"), "row_key", "left_semi").select(*COLUMNS)
+        return only(docs, lead, "doc_id").select(*COLUMNS)
+    return only(keyed, lead.withColumnRenamed("doc_id", "row_key"), "row_key").select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
@@ -95,7 +100,7 @@ def mixed(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
             whole = whole | (F.get("p", F.lit(k)) == top)
     chance = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
     kept = members.where(whole | (chance < fit.rate)).select("doc_id").distinct()
-    rows = docs.join(kept, "doc_id", "left_semi")
+    rows = only(docs, kept, "doc_id")
     if keyed is not None:
         rows = rows.drop("doc_id").withColumnRenamed("own_id", "doc_id")
     return rows.select(*COLUMNS)

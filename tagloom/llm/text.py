@@ -82,6 +82,9 @@ def add_columns(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, size=size):
             yield pa.RecordBatch.from_arrays([piece[a] for a in kept] + task(piece), kept + added)
+        # Workers outlive their tasks, so what the last batches took goes back.
+        piece = None
+        pa.default_memory_pool().release_unused()
 
     out = source.mapInArrow(run, schema)
     return out.select(*(F.col(a).alias(f.name) for a, f in place.items()), *added)

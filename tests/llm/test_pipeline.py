@@ -74,3 +74,16 @@ def test_rows_without_a_unique_id_are_decided_one_by_one(spark):
     assert mixed.columns == list(pipeline.COLUMNS)
     assert {(r.doc_id, r.text) for r in mixed.collect()} <= set(kept)
     assert pipeline.row_keys(docs.where("doc_id in (0, 2, 3)")) is None
+
+
+def test_texts_are_not_sorted_to_drop_rows(spark):
+    """Rows are kept by their ids: tasks hold a table of these, not the sorted texts of a partition."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").limit(40)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for stage in (pipeline.near_duplicates, pipeline.mixed):
+            plan = stage(spark, docs, FOLDER)._jdf.queryExecution().executedPlan().toString()
+            assert "ShuffledHashJoin" in plan and not re.search(r"Sort \[doc_id", plan)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
